@@ -53,3 +53,28 @@ def winner(votes_by: dict[str, float], least: float = 1.5, lead: float = 1.5) ->
     if len(votes) > 1 and votes[0][1] < lead * votes[1][1]:
         return None
     return votes[0][0]
+
+
+_SETS = {lang: frozenset(words.split()) for lang, words in STOPWORDS.items()}
+_TELLING = re.compile(r"[\u0370-\u03ff\u0400-\u04ff\u0590-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]+")
+
+
+_RANGES = [("ko", re.compile(r"[\uac00-\ud7a3]+")), ("th", re.compile(r"[\u0e00-\u0e7f]+")), ("hi", re.compile(r"[\u0900-\u097f]+")), ("ar", re.compile(r"[\u0600-\u06ff]+")), ("he", re.compile(r"[\u0590-\u05ff]+")), ("ru", re.compile(r"[\u0400-\u04ff]+")), ("el", re.compile(r"[\u0370-\u03ff]+")), ("zh", re.compile(r"[\u3400-\u9fff]+"))]
+_KANA = re.compile(r"[\u3041-\u30fa]")
+
+
+def quick_language(text: str, before: str = "und") -> str:
+    """The language of a stretch of text by its distinct stop words, or by script; ``before`` where that is unclear."""
+    if not text.isascii() and sum(map(len, _TELLING.findall(text))) * 4 > len(text) - text.count(" "):
+        if _KANA.search(text):
+            return "ja"
+        return max((sum(map(len, p.findall(text))), lang) for lang, p in _RANGES)[1]
+    words = set(text.lower().split())
+    best, second, name = 0, 0, before
+    for lang, own in _SETS.items():
+        n = len(words & own)
+        if n > best:
+            best, second, name = n, best, lang
+        elif n > second:
+            second = n
+    return name if best > second else before
