@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import p3_sample, p7_pack, p8_mix
+from granary.llm import p2_neardup, p3_sample, p6_pairs, p7_pack, p8_mix, p9_sentences
 from granary.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,47 @@ def p8_report(spark, d):
 def p8_mix_rows(spark, d):
     """Documents of each mix with their number of copies."""
     return p8_mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows
+
+
+#: Codes of tables in operators that compare records within a table.
+TABLES = ["seed_conversations", "seed_questions", "documents"]
+
+
+def conversation_text():
+    """Non-null contents in turn order, joined by a line break."""
+    turns = F.array_sort(F.transform("messages", lambda m, i: F.struct(m["turn"].alias("turn"), i.alias("i"), m["content"].alias("content"))))
+    return F.array_join(F.transform(F.filter(turns, lambda m: m["content"].isNotNull()), lambda m: m["content"]), "\n")
+
+
+def _name(code="tbl"):
+    return F.element_at(F.array(*[F.lit(t) for t in TABLES]), F.col(code).cast("int") + 1).alias("tbl")
+
+
+def _near(spark, d):
+    c = table(spark, d, "seed_conversations").select(F.lit(0).cast("tinyint").alias("tbl"), F.col("seed_id").alias("id"), conversation_text().alias("text"))
+    q = table(spark, d, "seed_questions").select(F.lit(1).cast("tinyint").alias("tbl"), F.col("seed_id").alias("id"), F.col("question").alias("text"))
+    return p2_neardup.NearDuplicates(c.unionByName(q))
+
+
+@query
+def p2_found(spark, d):
+    """Pairs of nearly equal records of one table."""
+    return _near(spark, d).pairs().select(_name(), "id_a", "id_b")
+
+
+@query
+def p2_groups(spark, d):
+    """Group and number of links of every record."""
+    return _near(spark, d).groups().select(_name(), "id", "group_id", "links")
+
+
+@query
+def p6_found(spark, d):
+    """Broken pairs with their defect."""
+    return p6_pairs.find_defects(table(spark, d, "seed_questions"))
+
+
+@query
+def p9_found(spark, d):
+    """Sentence units of every document."""
+    return p9_sentences.split_sentences(table(spark, d, "documents"))
