@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import p2_neardup, p3_sample, p6_pairs, p7_pack, p8_mix, p9_sentences
+from granary.llm import p2_neardup, p3_sample, p4_personal, p6_pairs, p7_pack, p8_mix, p9_sentences
 from granary.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,25 @@ def p6_found(spark, d):
 def p9_found(spark, d):
     """Sentence units of every document."""
     return p9_sentences.split_sentences(table(spark, d, "documents"))
+
+
+def messages(spark, d):
+    """tbl, rec_id, turn, text of every message."""
+    return table(spark, d, "seed_conversations").select(F.lit("seed_conversations").alias("tbl"), F.col("seed_id").alias("rec_id"), F.explode("messages").alias("m")).select("tbl", "rec_id", F.col("m.turn").alias("turn"), F.col("m.content").alias("text"))
+
+
+def _personal_texts(spark, d):
+    q = table(spark, d, "seed_questions").select(F.lit("seed_questions").alias("tbl"), F.col("seed_id").alias("rec_id"), F.lit(0).alias("turn"), F.col("question").alias("text"))
+    return messages(spark, d).unionByName(q)
+
+
+@query
+def p4_found(spark, d):
+    """Place and kind of every piece of personal data."""
+    return p4_personal.find_personal(_personal_texts(spark, d), table(spark, d, "given_names")).drop("pseudonym")
+
+
+@query
+def p4_redacted(spark, d):
+    """Every text with typed placeholders."""
+    return p4_personal.redact_personal(_personal_texts(spark, d), table(spark, d, "given_names"))
