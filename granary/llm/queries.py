@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import p2_neardup, p3_sample, p4_personal, p6_pairs, p7_pack, p8_mix, p9_sentences
+from granary.functions.matching import category_key
+from granary.llm import p2_neardup, p3_sample, p4_personal, p5_abuse, p6_pairs, p7_pack, p8_mix, p9_sentences
 from granary.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +143,37 @@ def p4_found(spark, d):
 def p4_redacted(spark, d):
     """Every text with typed placeholders."""
     return p4_personal.redact_personal(_personal_texts(spark, d), table(spark, d, "given_names"))
+
+
+def _abuse_texts(spark, d):
+    m = messages(spark, d).select("tbl", "rec_id", "text")
+    q = table(spark, d, "seed_questions").select(F.lit("seed_questions").alias("tbl"), F.col("seed_id").alias("rec_id"), F.col("response").alias("text"))
+    return m.unionByName(q).unionByName(table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "text"))
+
+
+def _abuse(spark, d):
+    texts = _abuse_texts(spark, d)
+    return texts, p5_abuse.fit_on(table(spark, d, "abuse_labels"), texts)
+
+
+@query
+def p5_found(spark, d):
+    """Records with an abusive, threatening, hateful or sexually explicit remark."""
+    texts, net = _abuse(spark, d)
+    return p5_abuse.score_records(texts, net).filter("abusive").select("tbl", "rec_id")
+
+
+@query
+def p5_scores(spark, d):
+    """Score of every record."""
+    texts, net = _abuse(spark, d)
+    return p5_abuse.score_records(texts, net)
+
+
+@query
+def p5_rates(spark, d):
+    """Records, abusive records and rate by table and source (documents' source under its normal spelling)."""
+    texts, net = _abuse(spark, d)
+    source = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), category_key(F.col("source")).alias("source"))
+    per = p5_abuse.score_records(texts, net).join(source, ["tbl", "rec_id"], "left")
+    return per.groupBy("tbl", "source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("abusive").cast("bigint")).alias("abusive"), F.avg(F.col("abusive").cast("double")).alias("rate"))
