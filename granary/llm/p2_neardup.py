@@ -21,14 +21,19 @@ from pyspark.sql import functions as F
 from granary.session import arrow_map, cut, spread, staged
 
 SHINGLE = 5
-#: MinHash samples, bands and samples per band: a pair of similarity 0.83 shares no band with probability 3e-4, of 0.9 with 5e-7.
-BINS, BANDS, ROWS = 128, 16, 5
+#: MinHash samples, bands and samples per band: a pair of similarity 0.83 shares no band with probability 1e-3, of 0.86 with
+#: 1e-4, of 0.9 with 4e-7; one of 0.4 shares a band with probability 0.02, so that the usual turns of a collection stay few.
+BINS, BANDS, ROWS = 256, 26, 8
+#: Samples that are folded into a sketch.
+FOLDED = 128
 #: Bits of an odd sketch, and the estimate under which a candidate is given up (5 standard deviations under 0.8).
 BITS = 256
 LEAST_ESTIMATE = 0.60
 SIMILARITY = 0.8
 
-INDEX = "tbl tinyint, id bigint, hi bigint, lo bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
+#: Tables told apart in a row id: id x TABLES + code of the table.
+TABLES = 8
+INDEX = "rid bigint, hi bigint, lo bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
 _WORDS = re.compile(r"\w+")
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -66,7 +71,7 @@ def samples(texts: list[str]) -> np.ndarray:
             doc = np.repeat(np.arange(at, end), lengths)[: len(h)]
             keep = np.arange(len(h)) + SHINGLE <= np.repeat(ends, lengths)[: len(h)]
             h, doc = h[keep], doc[keep]
-            np.minimum.at(flat, doc * BINS + (h >> np.uint64(57)).astype(np.int64), h & np.uint64((1 << 57) - 1))
+            np.minimum.at(flat, doc * BINS + (h >> np.uint64(56)).astype(np.int64), h & np.uint64((1 << 56) - 1))
         at = end
     some = (out != _EMPTY).any(axis=1)
     rows = np.flatnonzero(some & (out == _EMPTY).any(axis=1))
@@ -79,7 +84,7 @@ def samples(texts: list[str]) -> np.ndarray:
                 break
             lent = np.roll(given, -k, axis=1)
             use = hole & (lent != _EMPTY)
-            filled[use] = _mix(lent[use] + np.uint64(k)) & np.uint64((1 << 57) - 1)
+            filled[use] = _mix(lent[use] + np.uint64(k)) & np.uint64((1 << 56) - 1)
         out[rows] = filled
     return out
 
@@ -95,7 +100,8 @@ def bands(s: np.ndarray, tbl: np.ndarray) -> np.ndarray:
 
 def odd_sketch(s: np.ndarray) -> np.ndarray:
     """BITS parities of the samples, as four 64-bit words."""
-    spot = (_mix(s + _mix(np.arange(BINS, dtype=np.uint64))[None, :]) % np.uint64(BITS)).astype(np.int64)
+    s = s[:, :: BINS // FOLDED]
+    spot = (_mix(s + _mix(np.arange(FOLDED, dtype=np.uint64))[None, :]) % np.uint64(BITS)).astype(np.int64)
     counts = np.zeros((len(s), BITS), dtype=np.uint8)
     np.add.at(counts.reshape(-1), (np.arange(len(s))[:, None] * BITS + spot).reshape(-1), 1)
     return np.packbits(counts & 1, axis=1).view(np.int64).reshape(len(s), BITS // 64)
@@ -104,27 +110,34 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
 def estimate(differing: int) -> float:
     """Similarity by the population count of two odd sketches' XOR."""
     share = 1 - 2 * differing / BITS
-    return 1 + BITS / (4 * BINS) * math.log(share) if share > 0 else 0.0
+    return 1 + BITS / (4 * FOLDED) * math.log(share) if share > 0 else 0.0
 
 
 #: Most differing bits of a candidate that is kept.
 MOST_BITS = max(d for d in range(BITS // 2) if estimate(d) >= LEAST_ESTIMATE)
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [normalise(t) for t in b.column(1).to_pylist()]
+        keep = [k for k, t in enumerate(texts) if len(t) >= SHINGLE]
+        d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(texts[k].encode("utf-8", "surrogatepass")) for k in keep), dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))], ["rid", "hi", "lo"])
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        tbl = np.array(b.column(0).to_pylist(), dtype=np.int8)
-        ids = np.array(b.column(1).to_pylist(), dtype=np.int64)
-        texts = [normalise(t) for t in b.column(2).to_pylist()]
+        rid = np.array(b.column(0).to_pylist(), dtype=np.int64)
+        texts = [normalise(t) for t in b.column(1).to_pylist()]
         keep = np.array([len(t) >= SHINGLE for t in texts], dtype=bool)
         if not keep.any():
             continue
-        texts, tbl, ids = [t for t, k in zip(texts, keep) if k], tbl[keep], ids[keep]
+        texts, rid = [t for t, k in zip(texts, keep) if k], rid[keep]
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), dtype=np.int64).reshape(-1, 2)
         s = samples(texts)
-        sk, bd = odd_sketch(s), bands(s, tbl)
+        sk, bd = odd_sketch(s), bands(s, rid % TABLES)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bd.size + 1, BANDS, dtype=np.int32)), pa.array(bd.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([pa.array(tbl), pa.array(ids), *[pa.array(np.ascontiguousarray(digests[:, i])) for i in range(2)], *[pa.array(np.ascontiguousarray(sk[:, i])) for i in range(4)], lists], ["tbl", "id", "hi", "lo", "s0", "s1", "s2", "s3", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid), *[pa.array(np.ascontiguousarray(digests[:, i])) for i in range(2)], *[pa.array(np.ascontiguousarray(sk[:, i])) for i in range(4)], lists], ["rid", "hi", "lo", "s0", "s1", "s2", "s3", "bands"])
 
 
 def shingles(text: str) -> set[str]:
@@ -144,7 +157,7 @@ def _verify(least: float):
                 if sim > least:
                     kept.append(k)
                     sims.append(sim)
-            yield pa.RecordBatch.from_arrays([pa.array([rows["tbl"][k] for k in kept], pa.int8()), pa.array([rows["a"][k] for k in kept], pa.int64()), pa.array([rows["b"][k] for k in kept], pa.int64()), pa.array(sims, pa.float64())], ["tbl", "a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows["a"][k] for k in kept], pa.int64()), pa.array([rows["b"][k] for k in kept], pa.int64()), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
     return run
 
@@ -152,65 +165,69 @@ def _verify(least: float):
 class NearDuplicates:
     """Near-duplicates among ``texts`` (tbl tinyint, id bigint, text string): similarity of 5-character shingle sets over ``least``.
 
-    Only records of one ``tbl`` are compared; ids are unique in it. Null texts and texts under five characters after
+    Only records of one ``tbl`` (0 to 7) are compared; ids are unique in it and under 2^60. Null texts and texts under five characters after
     :func:`normalise` have no shingles and are near nothing. A record is a class with its exact copies (equal after
     :func:`normalise`); candidates, estimates and checks are between class representatives (the smallest id). Nothing
     is capped: a band shared by many classes is joined as it is, and AQE splits it where it is skewed.
     """
 
     def __init__(self, texts: DataFrame, least: float = SIMILARITY):
-        self.texts = texts.filter("text is not null")
-        self.index = staged(arrow_map(spread(self.texts.select("tbl", "id", "text")), _index, INDEX), "sketches")
-        classes = self.index.groupBy("tbl", "hi", "lo").agg(F.min(F.struct("id", "s0", "s1", "s2", "s3", "bands")).alias("r"), F.count(F.lit(1)).alias("copies"))
-        self.classes = staged(classes.select("tbl", "hi", "lo", "copies", "r.*"), "classes")
-        banded = self.classes.select("tbl", "id", F.explode("bands").alias("key"))
-        pairs = banded.alias("x").join(banded.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
-        candidates = pairs.select(F.col("x.tbl").alias("tbl"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        sketch = lambda s: self.classes.select("tbl", F.col("id").alias(s), *[F.col(f"s{i}").alias(f"{s}{i}") for i in range(4)])
+        rows = texts.filter("text is not null").select((F.col("id") * TABLES + F.col("tbl")).alias("rid"), "text")
+        #: rid, hi, lo: digest of every record; records of one table with one digest are copies
+        self.index = staged(arrow_map(spread(rows), _digests, "rid bigint, hi bigint, lo bigint"), "digests")
+        sketched = arrow_map(spread(rows), _index, INDEX)
+        classes = sketched.groupBy((F.col("rid") % TABLES).alias("tbl"), "hi", "lo").agg(F.min(F.struct("rid", "s0", "s1", "s2", "s3", "bands")).alias("r"), F.count(F.lit(1)).alias("copies"))
+        self.classes = staged(classes.select("hi", "lo", "copies", "r.*"), "classes")
+        banded = self.classes.select("rid", F.explode("bands").alias("key"))
+        pairs = banded.alias("x").join(banded.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")))
+        candidates = pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+        sketch = lambda s: self.classes.select(F.col("rid").alias(s), *[F.col(f"s{i}").alias(f"{s}{i}") for i in range(4)])
         differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-        close = cut(candidates.join(sketch("a"), ["tbl", "a"]).join(sketch("b"), ["tbl", "b"]).filter(differing <= MOST_BITS).select("tbl", "a", "b"))
-        ends = close.select("tbl", F.explode(F.array("a", "b")).alias("id")).distinct()
-        needed = staged(self.texts.select("tbl", "id", "text").join(ends, ["tbl", "id"], "left_semi"), "texts")
-        text = lambda s: needed.select("tbl", F.col("id").alias(s), F.col("text").alias(f"text_{s}"))
-        both = close.join(text("b"), ["tbl", "b"]).join(text("a"), ["tbl", "a"]).select("tbl", "a", "b", "text_a", "text_b")
-        #: tbl, a, b, similarity: pairs of class representatives, a < b
-        self.links = cut(arrow_map(both, _verify(least), "tbl tinyint, a bigint, b bigint, similarity double"))
+        close = cut(candidates.join(sketch("a"), "a").join(sketch("b"), "b").filter(differing <= MOST_BITS).select("a", "b"))
+        ends = close.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+        needed = staged(rows.join(ends, "rid", "left_semi"), "texts")
+        text = lambda s: needed.select(F.col("rid").alias(s), F.col("text").alias(f"text_{s}"))
+        both = close.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
+        #: a, b, similarity: pairs of class representatives by row id, a < b
+        self.links = cut(arrow_map(both, _verify(least), "a bigint, b bigint, similarity double"))
 
     def members(self) -> DataFrame:
-        """tbl, id, rep: rows of classes with copies."""
-        many = self.classes.filter("copies > 1").select("tbl", "hi", "lo", F.col("id").alias("rep"))
-        return self.index.select("tbl", "id", "hi", "lo").join(many, ["tbl", "hi", "lo"]).select("tbl", "id", "rep")
+        """rid, rep: rows of classes with copies."""
+        many = self.classes.filter("copies > 1").select((F.col("rid") % TABLES).alias("tbl"), "hi", "lo", F.col("rid").alias("rep"))
+        return self.index.withColumn("tbl", F.col("rid") % TABLES).join(many, ["tbl", "hi", "lo"]).select("rid", "rep")
 
     def pairs(self) -> DataFrame:
         """tbl, id_a, id_b of all pairs of records over the threshold, copies included."""
         m = self.members()
-        copies = m.alias("x").join(m.alias("y"), (F.col("x.tbl") == F.col("y.tbl")) & (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id"))).select("x.tbl", F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-        side = lambda s: m.select("tbl", F.col("rep").alias(s), F.col("id").alias(f"{s}_id"))
-        wide = self.links.join(side("a"), ["tbl", "a"], "left").join(side("b"), ["tbl", "b"], "left").select("tbl", F.coalesce("a_id", "a").alias("x"), F.coalesce("b_id", "b").alias("y"))
-        return copies.unionByName(wide.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
+        copies = m.alias("x").join(m.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.rid") < F.col("y.rid"))).select(F.col("x.rid").alias("x"), F.col("y.rid").alias("y"))
+        side = lambda s: m.select(F.col("rep").alias(s), F.col("rid").alias(f"{s}_rid"))
+        wide = self.links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_rid", "a").alias("x"), F.coalesce("b_rid", "b").alias("y"))
+        both = copies.unionByName(wide)
+        whole = lambda c: F.expr(f"{c} div {TABLES}")
+        return both.select((F.col("x") % TABLES).cast("tinyint").alias("tbl"), F.least(whole("x"), whole("y")).alias("id_a"), F.greatest(whole("x"), whole("y")).alias("id_b"))
 
     def groups(self) -> DataFrame:
         """tbl, id, group_id (smallest id of the group), links (near classes of the record's class): one row per record with shingles."""
-        comp = components(self.links.select("tbl", "a", "b"))
-        degree = self.links.select("tbl", F.explode(F.array("a", "b")).alias("rep")).groupBy("tbl", "rep").agg(F.count(F.lit(1)).alias("links"))
-        per = self.classes.select("tbl", "hi", "lo", F.col("id").alias("rep")).join(comp.withColumnRenamed("id", "rep"), ["tbl", "rep"], "left").join(degree, ["tbl", "rep"], "left")
-        return self.index.select("tbl", "id", "hi", "lo").join(per, ["tbl", "hi", "lo"]).select("tbl", "id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        comp = components(self.links.select("a", "b"))
+        degree = self.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+        per = self.classes.select((F.col("rid") % TABLES).alias("tbl"), "hi", "lo", F.col("rid").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
+        return self.index.withColumn("tbl", F.col("rid") % TABLES).join(per, ["tbl", "hi", "lo"]).select(F.col("tbl").cast("tinyint").alias("tbl"), F.expr(f"rid div {TABLES}").alias("id"), F.expr(f"coalesce(component, rep) div {TABLES}").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """tbl, id, component (smallest id): connected components by alternating large and small stars, which end in
+    """id, component (smallest id): connected components by alternating large and small stars, which end in
     logarithmically many rounds; each round is checkpointed."""
-    edges = cut(edges.select("tbl", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
         # large star: larger neighbours are linked to the smallest of all neighbours and the node itself
-        both = edges.unionByName(edges.select("tbl", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("tbl", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(least, ["tbl", "u"]).select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.filter("v > u").join(least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the node and its smaller neighbours are linked to the smallest of them
-        low = large.groupBy("tbl", "u").agg(F.min("v").alias("m"))
-        small = large.join(low, ["tbl", "u"]).select("tbl", F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("tbl", "e.u", "e.v").filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         new = cut(small)
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
             break
         edges = new
-    return edges.select("tbl", F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select("tbl", F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

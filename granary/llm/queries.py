@@ -79,7 +79,7 @@ def p8_mix_rows(spark, d):
     return p8_mix.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows
 
 
-#: Codes of tables in operators that compare records within a table.
+#: Codes (places) of tables in operators that compare records within a table.
 TABLES = ["seed_conversations", "seed_questions", "documents"]
 
 
