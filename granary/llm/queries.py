@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.matching import category_key
-from granary.llm import p2_neardup, p3_sample, p4_personal, p5_abuse, p6_pairs, p7_pack, p8_mix, p9_sentences
+from granary.llm import p1_leaks, p2_neardup, p3_sample, p4_personal, p5_abuse, p6_pairs, p7_pack, p8_mix, p9_sentences
 from granary.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,21 @@ def p5_rates(spark, d):
     source = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), category_key(F.col("source")).alias("source"))
     per = p5_abuse.score_records(texts, net).join(source, ["tbl", "rec_id"], "left")
     return per.groupBy("tbl", "source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("abusive").cast("bigint")).alias("abusive"), F.avg(F.col("abusive").cast("double")).alias("rate"))
+
+
+def _leaks(spark, d):
+    q = table(spark, d, "seed_questions").select(F.lit("seed_questions").alias("tbl"), F.col("seed_id").alias("rec_id"), F.col("question").alias("text"))
+    t = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "text")
+    return p1_leaks.find_leaks(messages(spark, d).select("tbl", "rec_id", "text").unionByName(q).unionByName(t), table(spark, d, "held_out"))
+
+
+@query
+def p1_found(spark, d):
+    """Records that contain held-out items."""
+    return _leaks(spark, d).select("tbl", "rec_id", "item_id").distinct()
+
+
+@query
+def p1_matches(spark, d):
+    """Leaks with cosine, share of words and whether the answer is given away."""
+    return _leaks(spark, d)
