@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -343,45 +344,60 @@ def feistel(value: int, size: int, key: bytes, tweak: str = "") -> int:
     """A keyed permutation of range(size): a balanced Feistel network over the next square, walked until it falls inside."""
     if size < 2:
         return value
-    side = 1
-    while side * side < size:
-        side += 1
+    side = math.isqrt(size - 1) + 1
+    label = f"{tweak}|{size}|".encode()
     x = value
     while True:
         a, b = divmod(x, side)
         for r in range(ROUNDS):
-            digest = hmac.new(key, f"{tweak}|{size}|{r}|{b}".encode(), hashlib.sha256).digest()
-            a, b = b, (a + int.from_bytes(digest[:8], "big")) % side
+            digest = hashlib.blake2b(label + b"%d|%d" % (r, b), digest_size=8, key=key[:64]).digest()
+            a, b = b, (a + int.from_bytes(digest, "big")) % side
         x = a * side + b
         if x < size:
             return x
 
 
-def _tfn(d: str) -> bool:
-    return len(d) == 9 and sum(int(c) * w for c, w in zip(d, (1, 4, 3, 7, 5, 8, 6, 9, 10))) % 11 == 0
+def _tfn_digit(d: str) -> int:
+    """The ninth digit that validates eight; 10 where there is none."""
+    return sum(int(c) * w for c, w in zip(d, (1, 4, 3, 7, 5, 8, 6, 9))) % 11
 
 
-def _abn(d: str) -> bool:
-    return len(d) == 11 and sum((int(c) - (i == 0)) * w for i, (c, w) in enumerate(zip(d, (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)))) % 89 == 0
+def _abn_digits(d: str) -> str:
+    """The two leading digits that validate nine."""
+    return str(-sum(int(c) * w for c, w in zip(d, (3, 5, 7, 9, 11, 13, 15, 17, 19))) % 89 + 10)
 
 
-def _luhn(d: str) -> bool:
-    return len(d) >= 12 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+def _luhn_digit(d: str) -> str:
+    return str(-sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(d))) % 10)
+
+
+def _permute(d: str, key: bytes, tweak: str) -> str:
+    """Digits permuted among those of their length; a number with valid check digits among the valid ones: the free
+    digits are permuted and the check digits made anew."""
+    move = lambda x, t: str(feistel(int(x), 10 ** len(x), key, f"{tweak}{t}{len(d)}")).zfill(len(x))
+    if len(d) == 11 and d[0] != "0" and _abn_digits(d[2:]) == d[:2]:
+        free = move(d[2:], "abn")
+        return _abn_digits(free) + free
+    if len(d) == 9 and _tfn_digit(d[:8]) == int(d[8]):
+        free = move(d[:8], "tfn")
+        while _tfn_digit(free) == 10:  # no valid number begins so: walk on along the permutation
+            free = move(free, "tfn")
+        return free + str(_tfn_digit(free))
+    if len(d) >= 12 and _luhn_digit(d[:-1]) == d[-1]:
+        free = move(d[:-1], "luhn")
+        return free + _luhn_digit(free)
+    valid = lambda x: len(x) == 11 and x[0] != "0" and _abn_digits(x[2:]) == x[:2] or len(x) == 9 and _tfn_digit(x[:8]) == int(x[8]) or len(x) >= 12 and _luhn_digit(x[:-1]) == x[-1]
+    out = move(d, "")
+    while valid(out):  # invalid numbers stay among themselves, so that equal results come from equal numbers only
+        out = move(out, "")
+    return out
 
 
 def permute_number(text: str, key: bytes, tweak: str = "") -> str:
     """Digits and letters permuted in place: separators, lengths and letter case stay, and a number with valid check
     digits becomes another valid one. Equal digits give equal results whatever the separators."""
     digits = "".join(c for c in text if c.isdigit() and c.isascii())
-    if digits:
-        tests = [t for t in (_tfn, _abn, _luhn) if t(digits)]
-        d = digits
-        while True:
-            d = str(feistel(int(d), 10 ** len(d), key, f"{tweak}{len(digits)}")).zfill(len(digits))
-            if all(t(d) for t in tests):
-                break
-    else:
-        d = ""
+    d = _permute(digits, key, tweak) if digits else ""
     out, k = [], 0
     for i, c in enumerate(text):
         if c.isdigit() and c.isascii():
