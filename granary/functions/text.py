@@ -21,8 +21,8 @@ def normalise(x: Column) -> Column:
 
 def shingles(x: Column, k: int = 5) -> Column:
     """Distinct character k-grams of a normalised text; a text of k characters or fewer is one shingle, an empty one has none."""
-    chars = F.split(x, "")
-    grams = F.transform(F.sequence(F.lit(1), F.length(x) - (k - 1)), lambda i: F.array_join(F.slice(chars, i, k), ""))
+    # the characters are bound by an outer lambda, so that they are split once and not for each gram
+    grams = F.transform(F.array(F.split(x, "")), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - k), lambda i: F.concat(*[F.get(c, i + j) for j in range(k)])))[0]
     return F.when(x.isNull() | (x == ""), F.array().cast("array<string>")).when(F.length(x) <= k, F.array(x)).otherwise(F.array_distinct(grams))
 
 
@@ -47,7 +47,8 @@ def ngrams(words: Column, n: int) -> Column:
     """n-grams of a list of words, joined by a space; none where the list is shorter."""
     if n == 1:
         return words
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    grams = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)])))[0]
+    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def keyword(x: Column) -> Column:

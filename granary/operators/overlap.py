@@ -78,7 +78,7 @@ def similarity_join(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> Dat
     their first size - ceil(threshold x size) + 1 shingles. Candidates come from an equi-join on these rare shingles,
     are cut by the size ratio, and are then checked exactly. Give it class representatives, not copies.
     """
-    sets = cut(texts.select("id", F.transform(T.shingles(T.normalise(F.col("text")), k), lambda g: F.xxhash64(g)).alias("s")).filter(F.size("s") > 0).select("id", F.array_distinct("s").alias("s")))
+    sets = cut(spread(texts.select("id", "text")).select("id", F.array_distinct(F.transform(T.shingles(T.normalise(F.col("text")), k), lambda g: F.xxhash64(g))).alias("s")).filter(F.size("s") > 0))
     grams = sets.select("id", F.size("s").alias("size"), F.explode("s").alias("g"))
     often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ranked = grams.join(often, "g").filter("df > 1 or size > 0")

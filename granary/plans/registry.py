@@ -20,3 +20,6 @@ def register(name: str, sql: str | None = None):
         return f
 
     return wrap
+
+
+from granary.plans import core  # noqa: E402, F401 - registers the queries
