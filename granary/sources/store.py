@@ -91,6 +91,8 @@ def write_release(records: DataFrame, provenance: DataFrame, failures: DataFrame
     records.orderBy(key).write.mode("overwrite").json(str(tmp / "dataset"))
     provenance.orderBy(key).write.mode("overwrite").json(str(tmp / "provenance"))
     manifest = {r["path"].split(f".{version}.tmp/")[-1]: r["sha"] for r in file_hashes(records.sparkSession, str(tmp)).collect()}
+    for crc in tmp.rglob(".*.crc"):  # the manifest takes their place
+        crc.unlink()
     write_atomic(str(tmp / "manifest.json"), {"version": version, "files": manifest})
     tmp.rename(target)
     return target
