@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -45,3 +47,28 @@ def search(index: Bm25Index, queries: DataFrame, top: int = 10, k1: float = 1.5,
     )
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def build_query(description: str, keywords: list[str]) -> str:
+    """A description and its keywords, underscores read as spaces."""
+    return " ".join([description, *(k.replace("_", " ") for k in keywords)])
+
+
+def retrieve_and_extract(index: Bm25Index, docs: DataFrame, description: str, keywords: list[str], extract: Callable[[str, list[str]], list[str]], iterations: int = 3, sample: int = 5, top: int = 5, cap: int = 200, seed: int = 0) -> tuple[list[str], list[dict]]:
+    """Keywords widened by what ``extract`` finds in the passages that BM25 ranks first for a sample of them; with the history.
+
+    The same seed gives the same samples. A round that brings nothing new ends the loop, as does the cap."""
+    rng, known, history = random.Random(seed), list(dict.fromkeys(keywords))[:cap], []
+    for i in range(iterations):
+        query = build_query(description, rng.sample(known, min(sample, len(known))))
+        frame = docs.sparkSession.createDataFrame([(i, query)], "query_id int, text string")
+        hits = search(index, frame, top).select("id", "rank").join(docs, "id").orderBy("rank").collect()  # top passages only
+        added: list[str] = []
+        for h in hits:
+            added += [k for k in extract(h["text"], known + added) if k not in known and k not in added]
+        added = added[: cap - len(known)]
+        history.append({"iteration": i, "query": query, "documents": [h["id"] for h in hits], "added": added})
+        known += added
+        if not added or len(known) >= cap:
+            break
+    return known, history
