@@ -291,7 +291,7 @@ class Splitter:
         for c in [*cuts, e]:
             piece = text[at:c]
             bare = piece.strip()
-            if bare:
+            if bare and (len(bare) > 8 or any(c.isprintable() for c in bare)):  # invisible characters alone are no sentence
                 lo = at + len(piece) - len(piece.lstrip())
                 out.append((lo, lo + len(bare)))
             at = c

@@ -350,3 +350,20 @@ def test_sentences_cover_all_text_in_order(splitter, text):
         left += text[at:a]
         at = b
     assert not (left + text[at:]).strip()
+
+
+def test_sentences_of_empty_and_odd_tables(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert p9_sentences.split_sentences(empty).count() == 0
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "One. Two.", "x"), (2, "One. Two.", "x"), (3, "a" * 200_000 + ". Next one.", "x"), (4, "﻿​", "x")], "doc_id bigint, text string, lang string")
+    got = [tuple(r) for r in p9_sentences.split_sentences(odd).collect()]
+    assert sorted(got) == [(2, 0, 4), (2, 0, 4), (2, 5, 9), (2, 5, 9), (3, 0, 200_001), (3, 200_002, 200_011)]
+
+
+def test_scores_of_empty_and_odd_tables(spark):
+    labels = spark.createDataFrame([], "text string, rater_a int, rater_b int")
+    texts = spark.createDataFrame([("t", 1, None, 3.0), ("t", 1, "You are a worthless piece of shit.", 1.0), ("t", 2, "", 1.0), ("t", 3, "A calm day.", 1.0)], "tbl string, rec_id bigint, text string, score double")
+    net = p5_abuse.fit_on(labels, texts)
+    got = {r["rec_id"]: r for r in p5_abuse.score_records(texts, net).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["abusive"] and got[2]["score"] == 0 and not got[2]["abusive"]
+    assert p5_abuse.score_records(texts.limit(0), net).count() == 0
