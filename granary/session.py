@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -39,10 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_staged() -> None:
+    """Tables that were staged by this program, as far as the session still lives."""
+    for spark, path in _staged:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to the folder
+            return
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it again: like :func:`cut`, for wide or text rows."""
     path = f"{shared_dir(df.sparkSession)}/granary-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
