@@ -360,6 +360,30 @@ def test_sentences_of_empty_and_odd_tables(spark):
     assert sorted(got) == [(2, 0, 4), (2, 0, 4), (2, 5, 9), (2, 5, 9), (3, 0, 200_001), (3, 200_002, 200_011)]
 
 
+def test_thresholds_are_of_all_background_units(monkeypatch):
+    class Known(p5_abuse.Scorer):
+        def score(self, segments):
+            return np.array([0.2 + 0.5 * ("loud" in s) if "meadow" in s else 0.9 for s in segments])
+
+    monkeypatch.setattr(p5_abuse, "Scorer", Known)
+    words = "the meadow is calm and this is the way to the house"
+    units = [f"{words} {i}" for i in range(9_000)] + [f"{words} loud {i}" for i in range(9_000)]
+    net = p5_abuse.Network({}, [np.zeros((w * p5_abuse.DIM, p5_abuse.FILTERS)) for w in p5_abuse.WIDTHS], [np.zeros(p5_abuse.FILTERS)] * 3, np.zeros(36), 0.0, {"*": 0.5})
+    one, other = (p5_abuse.calibrated([net], u).thresholds for u in (units, units[::-1]))
+    assert one == other and one["en"] == pytest.approx(0.7)
+
+
+def test_background_does_not_depend_on_the_order_of_tables(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(p5_abuse, "arrow_map", lambda df, *_: df.limit(0))
+    monkeypatch.setattr(p5_abuse, "calibrated", lambda nets, background: seen.append(background))
+    labels = spark.createDataFrame([], "text string, rater_a int, rater_b int")
+    rows = [(t, i, f"Text {i} of {t}.") for t in "cadbe" for i in range(2)]
+    for r, n in ((rows, 1), (rows[::-1], 3)):
+        p5_abuse.fit_on(labels, spark.createDataFrame(r, "tbl string, rec_id bigint, text string").repartition(n))
+    assert seen[0] == seen[1] and [u[-2] for u in seen[0]] == list("aabbccddee")
+
+
 def test_scores_of_empty_and_odd_tables(spark):
     labels = spark.createDataFrame([], "text string, rater_a int, rater_b int")
     texts = spark.createDataFrame([("t", 1, None, 3.0), ("t", 1, "You are a worthless piece of shit.", 1.0), ("t", 2, "", 1.0), ("t", 3, "A calm day.", 1.0)], "tbl string, rec_id bigint, text string, score double")
