@@ -62,9 +62,13 @@ def keywords(x: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda k: k != ""))
 
 
+#: What str.split() splits at.
+_SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def excerpt(x: Column, n: int) -> Column:
-    """White space collapsed, cut to n characters, right end trimmed."""
-    return F.rtrim(F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, n))
+    """White space of any script collapsed, cut to n characters, right end trimmed."""
+    return F.rtrim(F.substring(F.trim(F.regexp_replace(x, _SPACES, " ")), 1, n))
 
 
 def json_object(x: Column) -> Column:
