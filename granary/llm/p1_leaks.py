@@ -2,16 +2,18 @@
 
 Passages are windows of WINDOW words at steps of half a window. Word weights come from counts over all texts; a
 randomised subspace iteration over passages, run in blocks on the executors, gives the latent space. Every passage of
-every text is projected and compared with the passages of all items, a stated query set; pairs over a cosine are
-then checked word by word.
+every text is projected and compared with the passages of all items, a stated query set; pairs over a cosine that share
+words enough, in any order, are then checked word by word.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,8 @@ WINDOW, STEP = 64, 32
 BUCKETS, DIMS, EXTRA, ROUNDS = 1 << 16, 112, 16, 2
 #: Texts on whose passages the latent space is fitted, by hash order; all items' passages are added.
 SAMPLE_TEXTS = 6_000
-COSINE = 0.5
+#: Low enough that half of an item, in a passage with other words, is over it; an exact bound on shared words keeps the checks few.
+COSINE = 0.15
 #: Share of an item's words that must stand in a text in order, within STRETCH times the item's length.
 SHARE, STRETCH = 0.5, 1.35
 MAX_ITEMS = 50_000
@@ -228,7 +231,7 @@ def best_share(item: list[str], bag: set[str], text: list[str], a: int, b: int)
     size = int(len(item) * STRETCH) + 6
     step = max(1, len(item) // 6)
     inside = [w in bag for w in text[a:b]]
-    if sum(inside) < SHARE * len(item):
+    if sum(inside) < SHARE * len(item) or subsequence(item, text[a:b]) < SHARE * len(item):  # no stretch has more than the whole
         return 0.0
     hits = [0, *itertools.accumulate(inside)]
     best = 0
@@ -239,6 +242,34 @@ def best_share(item: list[str], bag: set[str], text: list[str], a: int, b: int)
     return best / len(item)
 
 
+class Common:
+    """An upper bound of subsequences, without order: how many words, repeats counted, stretches of a text share with each item."""
+
+    def __init__(self, items: list[list[str]]):
+        self.least = np.array([max(1, math.ceil(SHARE * len(w))) for w in items])
+        self.size = max(int(len(w) * STRETCH) + 6 for w in items) + STEP
+        found: dict[str, list[list[int]]] = {}
+        for k, w in enumerate(items):
+            for t, n in Counter(w).items():
+                times = found.setdefault(t, [])
+                times.extend([] for _ in range(n - len(times)))
+                for own in times[:n]:
+                    own.append(k)
+        #: by word, the items that have it so often: those with it once, twice and so on
+        self.times = {t: [np.array(x) for x in own] for t, own in found.items()}
+
+    def starts(self, text: list[str]) -> dict[int, list[int]]:
+        """By item, the multiples of STEP from which the next STEP words may begin a stretch with SHARE of its words."""
+        out: dict[int, list[int]] = {}
+        known = [w if w in self.times else "" for w in text]
+        for s in range(0, len(text), STEP):
+            hits = [x for w, n in Counter(known[s : s + self.size]).items() if w for x in self.times[w][:n]]
+            if hits:
+                for k in np.flatnonzero(np.bincount(np.concatenate(hits), minlength=len(self.least)) >= self.least).tolist():
+                    out.setdefault(k, []).append(s)
+        return out
+
+
 def answer_words(text: str, answer: str | None) -> list[str]:
     """Words of the option that the answer letter names, else of the answer itself."""
     if not answer:
@@ -259,6 +290,7 @@ def _search(space: Space, items: list[tuple[int, str, str | None]]):
         table = space.sent.table()
         own = [words(t) for _, t, _ in items]
         bags = [set(w) for w in own]
+        common = Common(own)
         answers = [answer_words(t, a) for _, t, a in items]
         used = [k for k, w in enumerate(own) if w]
         ids = np.array([i for k in used for i in ids_of(own[k])])
@@ -272,7 +304,11 @@ def _search(space: Space, items: list[tuple[int, str, str | None]]):
                 x, text, at = blocks(ids, lengths, table)
                 x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
                 near = x @ q.T
-                hit, query = np.nonzero(near >= COSINE)
+                starts = [common.starts(w) for w in ws]
+                possible = np.zeros((len(ws), len(own)), dtype=bool)
+                for t, s in enumerate(starts):
+                    possible[t, list(s)] = True
+                hit, query = np.nonzero((near >= COSINE) & possible[text][:, owner])
                 found: dict[tuple[int, int], list] = {}
                 for h, k in zip(hit.tolist(), query.tolist()):
                     f = found.setdefault((int(text[h]), int(owner[k])), [])
@@ -283,7 +319,7 @@ def _search(space: Space, items: list[tuple[int, str, str | None]]):
                     best, until = 0.0, -1
                     for a in sorted(p for p, _ in places):
                         lo, hi = max(a - room, 0), min(len(w), a + WINDOW + room)
-                        if hi <= until:
+                        if hi <= until or not any(lo < s + STEP and s < hi for s in starts[t][k]):
                             continue
                         best, until = max(best, best_share(item, bags[k], w, lo, hi)), hi
                     if best >= SHARE:

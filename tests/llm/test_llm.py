@@ -35,6 +35,31 @@ def test_leaks_are_found_and_usual_turns_are_not(spark):
     assert p1_leaks.find_leaks(df, held.limit(0)).count() == 0
 
 
+def test_half_of_an_item_is_found_in_long_texts(spark):
+    rng = random.Random(4)
+    rare = [a + b for a in VOCAB for b in VOCAB]
+    words = lambda n: [w for _ in range(n // 2) for w in (rng.choice(VOCAB), rng.choice(rare))]
+    items = [[*rng.choices(VOCAB, k=40), *rng.choices(rare, k=40)] for _ in range(30)]
+    rows = [(1_000 + i, " ".join(words(400))) for i in range(200)]
+    for i in range(120):  # the half that weighs less, among other words
+        doc, at = words(400), rng.randrange(400)
+        rows.append((i, " ".join(doc[:at] + items[i % 30][:40] + doc[at:])))
+    df = spark.createDataFrame([("t", *r) for r in rows], "tbl string, rec_id bigint, text string")
+    held = spark.createDataFrame([(k, " ".join(w), None) for k, w in enumerate(items)], "item_id bigint, text string, answer string")
+    got = {(r["rec_id"], r["item_id"]) for r in p1_leaks.find_leaks(df, held).collect()}
+    assert len({(i, i % 30) for i in range(120)} - got) <= 1
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=150), st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=30))
+def test_common_words_bound_subsequences(text, item):
+    starts = p1_leaks.Common([item, ["z"]]).starts(text)
+    size = int(len(item) * p1_leaks.STRETCH) + 6
+    for s in range(len(text)):
+        if p1_leaks.subsequence(item, text[s : s + size]) >= p1_leaks.SHARE * len(item):
+            assert s // p1_leaks.STEP * p1_leaks.STEP in starts[0]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_subsequence_equals_table(a, b):
