@@ -26,14 +26,17 @@ SHINGLE = 5
 BINS, BANDS, ROWS = 256, 26, 8
 #: Samples that are folded into a sketch.
 FOLDED = 128
-#: Bits of an odd sketch, and the estimate under which a candidate is given up (5 standard deviations under 0.8).
+#: Bits of an odd sketch, and the estimate under which a candidate is given up (5 standard deviations under 0.8
+#: where samples are independent; those that bins borrow are not).
 BITS = 256
 LEAST_ESTIMATE = 0.60
+#: Texts with fewer bins of their own, as under 256 shingles fill, go to the exact check whatever the estimate.
+OWN_BINS = 162
 SIMILARITY = 0.8
 
 #: Tables told apart in a row id: id x TABLES + code of the table.
 TABLES = 8
-INDEX = "rid bigint, hi bigint, lo bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>"
+INDEX = "rid bigint, hi bigint, lo bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, few boolean, bands array<bigint>"
 _WORDS = re.compile(r"\w+")
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -51,6 +54,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def samples(texts: list[str]) -> np.ndarray:
     """BINS MinHash samples of each text's shingles; texts without shingles keep the largest value everywhere."""
+    return _lent(_minima(texts))
+
+
+def _minima(texts: list[str]) -> np.ndarray:
     out = np.full((len(texts), BINS), _EMPTY, dtype=np.uint64)
     flat = out.reshape(-1)
     at = 0
@@ -73,6 +80,10 @@ def samples(texts: list[str]) -> np.ndarray:
             h, doc = h[keep], doc[keep]
             np.minimum.at(flat, doc * BINS + (h >> np.uint64(56)).astype(np.int64), h & np.uint64((1 << 56) - 1))
         at = end
+    return out
+
+
+def _lent(out: np.ndarray) -> np.ndarray:
     some = (out != _EMPTY).any(axis=1)
     rows = np.flatnonzero(some & (out == _EMPTY).any(axis=1))
     if len(rows):  # an empty bin borrows from the next bin that has a sample, marked with the distance
@@ -134,10 +145,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         texts, rid = [t for t, k in zip(texts, keep) if k], rid[keep]
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), dtype=np.int64).reshape(-1, 2)
-        s = samples(texts)
+        s = _minima(texts)
+        few = (s != _EMPTY).sum(axis=1) < OWN_BINS
+        s = _lent(s)
         sk, bd = odd_sketch(s), bands(s, rid % TABLES)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bd.size + 1, BANDS, dtype=np.int32)), pa.array(bd.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([pa.array(rid), *[pa.array(np.ascontiguousarray(digests[:, i])) for i in range(2)], *[pa.array(np.ascontiguousarray(sk[:, i])) for i in range(4)], lists], ["rid", "hi", "lo", "s0", "s1", "s2", "s3", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid), *[pa.array(np.ascontiguousarray(digests[:, i])) for i in range(2)], *[pa.array(np.ascontiguousarray(sk[:, i])) for i in range(4)], pa.array(few), lists], ["rid", "hi", "lo", "s0", "s1", "s2", "s3", "few", "bands"])
 
 
 def shingles(text: str) -> set[str]:
@@ -176,14 +189,14 @@ class NearDuplicates:
         #: rid, hi, lo: digest of every record; records of one table with one digest are copies
         self.index = staged(arrow_map(spread(rows), _digests, "rid bigint, hi bigint, lo bigint"), "digests")
         sketched = arrow_map(spread(rows), _index, INDEX)
-        classes = sketched.groupBy((F.col("rid") % TABLES).alias("tbl"), "hi", "lo").agg(F.min(F.struct("rid", "s0", "s1", "s2", "s3", "bands")).alias("r"), F.count(F.lit(1)).alias("copies"))
+        classes = sketched.groupBy((F.col("rid") % TABLES).alias("tbl"), "hi", "lo").agg(F.min(F.struct("rid", "s0", "s1", "s2", "s3", "few", "bands")).alias("r"), F.count(F.lit(1)).alias("copies"))
         self.classes = staged(classes.select("hi", "lo", "copies", "r.*"), "classes")
         banded = self.classes.select("rid", F.explode("bands").alias("key"))
         pairs = banded.alias("x").join(banded.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")))
         candidates = pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
-        sketch = lambda s: self.classes.select(F.col("rid").alias(s), *[F.col(f"s{i}").alias(f"{s}{i}") for i in range(4)])
+        sketch = lambda s: self.classes.select(F.col("rid").alias(s), *[F.col(f"s{i}").alias(f"{s}{i}") for i in range(4)], F.col("few").alias(f"{s}_few"))
         differing = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-        close = cut(candidates.join(sketch("a"), "a").join(sketch("b"), "b").filter(differing <= MOST_BITS).select("a", "b"))
+        close = cut(candidates.join(sketch("a"), "a").join(sketch("b"), "b").filter((differing <= MOST_BITS) | F.col("a_few") | F.col("b_few")).select("a", "b"))
         ends = close.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
         needed = staged(rows.join(ends, "rid", "left_semi"), "texts")
         text = lambda s: needed.select(F.col("rid").alias(s), F.col("text").alias(f"text_{s}"))

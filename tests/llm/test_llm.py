@@ -105,6 +105,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert groups[0, 104] == groups[0, 0] and (0, 102) not in groups
 
 
+def test_short_near_duplicates_pass_whatever_the_estimate(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(string.ascii_lowercase, k=rng.randrange(20, 36))) for _ in range(8_000)]
+    others = [t + "".join(rng.choices(string.ascii_lowercase, k=len(t) // 8)) for t in texts]
+    s, t = p2_neardup.samples(texts), p2_neardup.samples(others)
+    zero = np.zeros(len(texts), dtype=np.int64)
+    met = (p2_neardup.bands(s, zero) == p2_neardup.bands(t, zero)).any(axis=1)
+    bits = [sum(int(x).bit_count() for x in r) for r in (p2_neardup.odd_sketch(s) ^ p2_neardup.odd_sketch(t)).view(np.uint64)]
+    lost = [k for k in np.flatnonzero(met).tolist() if bits[k] > p2_neardup.MOST_BITS]
+    rows = [(0, 2 * i + j, x) for i, k in enumerate(lost) for j, x in enumerate((texts[k], others[k]))]
+    truth = {k for k, v in near_truth(rows).items() if v > 0.8}
+    assert truth
+    near = p2_neardup.NearDuplicates(spark.createDataFrame(rows, "tbl tinyint, id bigint, text string"))
+    assert {tuple(r) for r in near.pairs().collect()} == truth
+
+
 def test_near_duplicates_of_nothing(spark):
     near = p2_neardup.NearDuplicates(spark.createDataFrame([], "tbl tinyint, id bigint, text string"))
     assert near.pairs().count() == 0 and near.groups().count() == 0
