@@ -185,6 +185,7 @@ class NearDuplicates:
     """
 
     def __init__(self, texts: DataFrame, least: float = SIMILARITY):
+        self.everyone = texts.select("tbl", "id")
         rows = texts.filter("text is not null").select((F.col("id") * TABLES + F.col("tbl")).alias("rid"), "text")
         #: rid, hi, lo: digest of every record; records of one table with one digest are copies
         self.index = staged(arrow_map(spread(rows), _digests, "rid bigint, hi bigint, lo bigint"), "digests")
@@ -226,6 +227,11 @@ class NearDuplicates:
         per = self.classes.select((F.col("rid") % TABLES).alias("tbl"), "hi", "lo", F.col("rid").alias("rep")).join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
         return self.index.withColumn("tbl", F.col("rid") % TABLES).join(per, ["tbl", "hi", "lo"]).select(F.col("tbl").cast("tinyint").alias("tbl"), F.expr(f"rid div {TABLES}").alias("id"), F.expr(f"coalesce(component, rep) div {TABLES}").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
+    def all_groups(self) -> DataFrame:
+        """As :func:`groups`, with one row per record: those without shingles, null texts too, are a group of their own without links."""
+        own = self.everyone.join(self.groups(), ["tbl", "id"], "left")
+        return own.select("tbl", "id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component (smallest id): connected components by alternating large and small stars, which end in

@@ -108,7 +108,7 @@ def p2_found(spark, d):
 @query
 def p2_groups(spark, d):
     """Group and number of links of every record."""
-    return _near(spark, d).groups().select(_name(), "id", "group_id", "links")
+    return _near(spark, d).all_groups().select(_name(), "id", "group_id", "links")
 
 
 @query

@@ -105,6 +105,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert groups[0, 104] == groups[0, 0] and (0, 102) not in groups
 
 
+def test_groups_have_every_record(spark, tmp_path):
+    from granary.llm.queries import QUERIES
+
+    texts = ["A long enough question about ledgers.", None, "", "abc", "A long enough question, about LEDGERS", "?!"]
+    spark.createDataFrame(list(enumerate(texts)), "seed_id bigint, question string").write.parquet(f"{tmp_path}/seed_questions.parquet")
+    spark.createDataFrame([(7, None), (8, [(0, None)])], "seed_id bigint, messages array<struct<turn int, content string>>").write.parquet(f"{tmp_path}/seed_conversations.parquet")
+    got = sorted(tuple(r) for r in QUERIES["p2_groups"](spark, str(tmp_path)).collect())
+    q, c = "seed_questions", "seed_conversations"
+    assert got == [(c, 7, 7, 0), (c, 8, 8, 0), (q, 0, 0, 0), (q, 1, 1, 0), (q, 2, 2, 0), (q, 3, 3, 0), (q, 4, 0, 0), (q, 5, 5, 0)]
+
+
 def test_short_near_duplicates_pass_whatever_the_estimate(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choices(string.ascii_lowercase, k=rng.randrange(20, 36))) for _ in range(8_000)]
