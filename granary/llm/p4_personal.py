@@ -426,6 +426,49 @@ def permute_date(text: str, key: bytes) -> str:
     return (first + datetime.timedelta(days=feistel(n, days, key, "date"))).isoformat() if 0 <= n < days else text
 
 
+_MONTHS = [m.split() for m in ("january januar janvier enero jan jän janv ene", "february februar février febrero feb févr", "march märz mars marzo mar mrz", "april april avril abril apr avr abr", "may mai mai mayo", "june juni juin junio jun", "july juli juillet julio jul juil", "august august août agosto aug ago", "september september septembre septiembre sept sep", "october oktober octobre octubre oct okt", "november november novembre noviembre nov", "december dezember décembre diciembre dec dez déc dic")]
+_MONTH = {w: k + 1 for k, words in enumerate(_MONTHS) for w in words}
+_M = "(?:" + "|".join(sorted(_MONTH, key=len, reverse=True)) + r")\b\.?"
+#: Dates by the order of their parts; years have four digits, or two behind a day and a month.
+_WRITTEN = rf"\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[-/.]\s?\d{{1,2}}[-/.]\s?(?:\d{{4}}|\d{{2}})|\d{{1,2}}(?:st|nd|rd|th|er|\.)?[\s-]+(?:of\s+|de\s+)?{_M},?[\s-]+(?:de\s+|del\s+)?\d{{4}}|{_M}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}"
+_PART = re.compile(rf"(?i)\d+(?:st|nd|rd|th|er)?|{_M}")
+
+
+def permute_written_date(text: str, key: bytes) -> str:
+    """A date in a usual format permuted as :func:`permute_date` does, in the same format; where day and month may be either, the day is first."""
+    parts = list(_PART.finditer(text))
+    if len(parts) != 3:
+        return text
+    raw = [p.group() for p in parts]
+    number = [_MONTH.get(w.rstrip(".").casefold()) or int(re.match(r"\d+", w).group()) for w in raw]
+    if len(raw[0]) == 4 and raw[0].isdigit():
+        order = "ymd"
+    elif not raw[0][0].isdigit() or raw[1][0].isdigit() and number[1] > 12:
+        order = "mdy"
+    else:
+        order = "dmy"
+    y, m, d = (number[order.index(c)] for c in "ymd")
+    short = len(raw[order.index("y")]) == 2
+    iso = f"{y + 1900 * short:04}-{m:02}-{d:02}"
+    new = permute_date(iso, key)
+    if new == iso:
+        return text
+    made = dict(zip("ymd", map(int, new.split("-"))))
+    out, at = [], 0
+    for c, p, w in zip(order, parts, raw):
+        if w[0].isdigit():
+            v = f"{made[c] % 100:02}" if c == "y" and short else f"{made[c]:0{len(re.match(r'[0-9]+', w).group())}}"
+            v += re.sub(r"\d+", "", w)
+        else:  # the same language and length of name
+            forms = _MONTHS[number[order.index("m")] - 1]
+            k = forms.index(w.rstrip(".").casefold())
+            v = _MONTHS[made["m"] - 1][min(k, 3) if k < 4 and len(_MONTHS[made["m"] - 1]) > 3 else 0]
+            v = v.capitalize() if w[0].isupper() else v
+        out += [text[at : p.start()], v]
+        at = p.end()
+    return "".join(out) + text[at:]
+
+
 _EXT = re.compile(r"(?i)(,?\s*(?:ext(?:ension)?\.?|x)\s*)(\d+)$")
 
 
@@ -439,18 +482,18 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
     return hmac.new(key, f"{kind}|{plain}".encode(), hashlib.sha256).hexdigest()[:10]
 
 
-BORN = re.compile(r"(?i)\b(?:born(?:\s+on)?|d\.?o\.?b\.?|date\s+of\s+birth|geboren(?:\s+am)?|née?\s+le|nacid[oa]\s+el)(?:\s+is)?\s*:?\s*(\d{4}-\d{2}-\d{2})\b")
+BORN = re.compile(r"(?i)\b(?:born(?:\s+on)?|d\.?o\.?b\.?|date\s+of\s+birth|geboren(?:\s+am)?|née?\s+le|nacid[oa]\s+el)(?:\s+is)?\s*:?\s*(" + _WRITTEN + r")\b")
 
 
 def redact(text: str, pieces: list[Piece], key: bytes) -> str:
-    """The text with ``[kind pseudonym]`` in place of each piece; dates of birth in ISO form are permuted where they stand."""
+    """The text with ``[kind pseudonym]`` in place of each piece; dates of birth in usual forms are permuted where they stand."""
     out, at = [], 0
     for p in pieces:
         out.append(text[at : p.start])
         out.append(f"[{p.kind} {pseudonym(text[p.start : p.end], p.kind, key)}]")
         at = p.end
     out.append(text[at:])
-    return BORN.sub(lambda m: m.group()[: m.start(1) - m.start()] + permute_date(m.group(1), key), "".join(out))
+    return BORN.sub(lambda m: m.group()[: m.start(1) - m.start()] + permute_written_date(m.group(1), key), "".join(out))
 
 
 # ---------------------------------------------------------------------------- operators

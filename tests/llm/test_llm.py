@@ -278,6 +278,12 @@ def test_pseudonyms_keep_format_validity_and_links():
     assert p4_personal.permute_date("2001-02-03", key) != "2001-02-03" and p4_personal.permute_date("2001-02-33", key) == "2001-02-33"
 
 
+@pytest.mark.parametrize("date, shape", [("1980-03-12", r"\d{4}-\d\d-\d\d"), ("12/03/1980", r"\d\d/\d\d/\d{4}"), ("3.12.80", r"\d+\.\d+\.\d\d"), ("12 March 1980", r"\d+ [A-Z][a-z]+ \d{4}"), ("March 12th, 1980", r"[A-Z][a-z]+ \d+th, \d{4}"), ("03/25/1980", r"\d\d/\d\d/\d{4}"), ("12. März 1980", r"\d+\. [A-Z][a-zä]+ \d{4}"), ("12 de marzo de 1980", r"\d+ de [a-z]+ de \d{4}")])
+def test_dates_of_birth_are_permuted_in_their_format(date, shape):
+    got = p4_personal.redact(f"I was born on {date}, not on 12/03/1970.", [], b"secret")
+    assert date not in got and re.fullmatch(rf"I was born on {shape}, not on 12/03/1970\.", got)
+
+
 def test_redaction_of_tables(spark):
     df = spark.createDataFrame([("t", 1, 0, "Call 0491 570 156 now", "x"), ("t", 2, None, None, "x"), ("t", 3, 1, "", "x")], "tbl string, rec_id bigint, turn int, text string, kind string")
     names = spark.createDataFrame([("Petra",), (None,)], "name string")
