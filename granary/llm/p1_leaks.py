@@ -1,19 +1,16 @@
 """Evaluation texts in training text: latent semantic retrieval of passages, then word subsequences and answers.
 
 Passages are windows of WINDOW words at steps of half a window. Word weights come from counts over all texts; a
-randomised subspace iteration over passages, run in blocks on the executors, gives the latent space. Every passage of
-every text is projected and compared with the passages of all items, a stated query set; pairs over a cosine that share
-words enough, in any order, are then checked word by word.
+randomised subspace iteration over passages, run in blocks on the executors, gives the latent space. The items are a
+stated query set that all texts are held against: an exact prefix bound on shared words says which items a stretch of
+text may contain at all, passages of these texts are projected and compared with those of the items, and pairs over a
+cosine are checked by longest common subsequences, and by the item's answer where the words alone fall a little short.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
-import unicodedata
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.sampling import by_hash
+from granary.llm.words import hashes, slices
 from granary.session import arrow_map, spread, staged
 
 WINDOW, STEP = 64, 32
@@ -34,38 +32,22 @@ SAMPLE_TEXTS = 6_000
 COSINE = 0.15
 #: Share of an item's words that must stand in a text in order, within STRETCH times the item's length.
 SHARE, STRETCH = 0.5, 1.35
-MAX_ITEMS = 50_000
-
-_WORD = re.compile(r"[^\W_]+")
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]")
-_MARKS = re.compile("[̀-ͯ]")
-#: Letters of other scripts that look like Latin ones.
-_LOOK = str.maketrans("аеорсухіјѕԁһԛԝɡνοικαρτ", "aeopcyxijsdhqwgvoikapt")
-_ids: dict[str, int] = {}
-_folded: dict[str, str] = {}
-_ODD = re.compile("[\u0300-\u036f­͏؜ᅟᅠ឴឵᠋-᠎\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\u2460-\u24ff]")
-
-
-def _fold(word: str) -> str:
-    if len(_folded) > 500_000:
-        _folded.clear()
-    return _folded.setdefault(word, _MARKS.sub("", unicodedata.normalize("NFKD", word)).casefold().translate(_LOOK))
-
-
-def words(text: str) -> list[str]:
-    """Words without case, punctuation, accents and special forms of letters; forms are folded once per word, and once per
-    text where marks or invisible characters stand inside words."""
-    if text.isascii():
-        return _WORD.findall(text.lower())
-    if _ODD.search(text):
-        text = _MARKS.sub("", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)))
-    return [w if w.isascii() else _folded[w] if w in _folded else _fold(w) for w in _WORD.findall(text.lower())]
-
-
-def ids_of(ws: list[str]) -> list[int]:
-    if len(_ids) > 1_000_000:
-        _ids.clear()
-    return [_ids[w] if w in _ids else _ids.setdefault(w, zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS) for w in ws]
+#: Share from which a text that also has the item's answer is a leak: a paraphrase keeps fewer of the words.
+WITH_ANSWER = 0.45
+#: Part of the words an item needs in common that must be among its rarest: the prefix bound.
+PREFIX = 0.5
+#: Words of a block; stretches that may contain an item are told by block.
+BLOCK = 16
+#: Items that are counted together, for memory.
+TOGETHER = 1_000
+#: Items that are held against the texts in one pass; a larger set takes several passes.
+MAX_ITEMS = 20_000
+#: Most entries of a dense table of word places by item; beyond it the same table is searched by key.
+DENSE_TABLE = 1 << 23
+
+def buckets(found: np.ndarray) -> np.ndarray:
+    """Bucket of each hashed word, from the hash's highest bits."""
+    return found >> 47
 
 
 def blocks(ids: np.ndarray, lengths: list[int], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,29 +67,14 @@ def blocks(ids: np.ndarray, lengths: list[int], table: np.ndarray) -> tuple[np.n
     return joined[keep], owner[keep], order[keep] * STEP
 
 
-def _texts(b: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, list[list[str]], np.ndarray, list[int]]]:
-    """Slices of a batch of about 12,000 words: row numbers, words, word ids, lengths; texts without words are left out."""
-    rows, ws, n = [], [], 0
-    for k, t in enumerate(b.column(column).to_pylist()):
-        w = words(t) if t else []
-        if w:
-            rows.append(k)
-            ws.append(w)
-            n += len(w)
-        if n > 12_000:
-            yield np.array(rows), ws, np.array([i for x in ws for i in ids_of(x)]), [len(x) for x in ws]
-            rows, ws, n = [], [], 0
-    if ws:
-        yield np.array(rows), ws, np.array([i for x in ws for i in ids_of(x)]), [len(x) for x in ws]
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, passages = np.zeros(BUCKETS, dtype=np.int64), 0
     for b in batches:
-        for _, _, ids, lengths in _texts(b, 0):
-            tile = np.concatenate([np.arange(n) // WINDOW for n in lengths]) + np.repeat(np.cumsum([0] + [-(-n // WINDOW) for n in lengths[:-1]]), lengths)
-            counts += np.bincount(np.unique(tile * BUCKETS + ids) % BUCKETS, minlength=BUCKETS)
-            passages += int(tile[-1]) + 1
+        for _, found, lengths in slices(b.column(0).to_pylist()):
+            per = -(-lengths // WINDOW)
+            tile = np.repeat(np.cumsum(per) - per, lengths) + (np.arange(len(found)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // WINDOW
+            counts += np.bincount(np.unique(tile * BUCKETS + buckets(found)) % BUCKETS, minlength=BUCKETS)
+            passages += int(per.sum())
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(counts[some], passages))], ["bucket", "n"])
 
@@ -143,7 +110,8 @@ def _gram(sent_weights: Sparse, sent: Sparse | None):
         weights, basis = sent_weights.table(), _start() if sent is None else sent.table()
         table = (basis * weights[:, None]).astype(np.float32)
         for b in batches:
-            for _, _, ids, lengths in _texts(b, 0):
+            for _, found, lengths in slices(b.column(0).to_pylist()):
+                ids = buckets(found)
                 if total is None:
                     total = np.zeros((BUCKETS, basis.shape[1]), dtype=np.float32)
                 y, owner, at = blocks(ids, lengths, table)
@@ -180,6 +148,7 @@ def _sum_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Space:
     sent: Sparse  #: weighted latent vector of every bucket
+    weights: Sparse  #: weight of every bucket: the rarer its words, the larger
 
 
 def fit_space(texts: DataFrame, items: list[str]) -> Space:
@@ -207,15 +176,58 @@ def fit_space(texts: DataFrame, items: list[str]) -> Space:
         q, r = np.linalg.qr(product[some].astype(np.float64))
         basis = np.zeros_like(product)  # a small vocabulary fills fewer columns
         basis[some, : q.shape[1]] = q @ np.linalg.svd(r, full_matrices=False)[0]  # columns by falling singular value
-    return Space(Sparse.of(basis[:, :DIMS] * weights[:, None]))
+    return Space(Sparse.of(basis[:, :DIMS] * weights[:, None]), Sparse.of(weights))
 
 
 # ---------------------------------------------------------------------------- checks
 
 
-def subsequence(item: list[str], text: list[str]) -> int:
+def lcs_lengths(masks: Masks, item: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of each item with the words of its row of ``region`` (places in the vocabulary, -1 for
+    words no item has), by bit-parallel rows over all pairs at a time."""
+    wide = masks.wide
+    v = np.full((wide, len(item)), ~np.uint64(0), dtype=np.uint64)
+    for step in range(region.shape[1]):
+        m = masks.of(item, region[:, step])
+        carry = np.zeros(len(item), dtype=np.uint64)
+        for w in range(wide):
+            u = v[w] & m[:, w]
+            total = v[w] + u
+            over = total < u
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            v[w] = total | (v[w] ^ u)
+    return (wide * 64 - np.bitwise_count(v).sum(axis=0)).astype(np.int64)
+
+
+class Masks:
+    """By item and word, the places of the word in the item as bits. Bits past an item's end are never unset."""
+
+    def __init__(self, items: list[np.ndarray], n_words: int):
+        self.n = n_words + 1
+        self.wide = max(1, -(-max(map(len, items)) // 64))
+        key = np.concatenate([k * self.n + g for k, g in enumerate(items)])
+        place = np.concatenate([np.arange(len(g)) for g in items])
+        self.keys, slot = np.unique(key, return_inverse=True)
+        self.bits = np.zeros((len(self.keys) + 1, self.wide), dtype=np.uint64)
+        np.bitwise_or.at(self.bits, (slot, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+        self.dense = None
+        if len(items) * self.n <= DENSE_TABLE:
+            self.dense = np.full(len(items) * self.n, len(self.keys), dtype=np.int32)
+            self.dense[self.keys] = np.arange(len(self.keys))
+
+    def of(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        key = item * self.n + np.where(word < 0, self.n - 1, word)
+        if self.dense is not None:
+            return self.bits[self.dense[key]]
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return self.bits[np.where(self.keys[at] == key, at, len(self.keys))]
+
+
+def subsequence(item: list[int], text: list[int]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
-    places: dict[str, int] = {}
+    places: dict[int, int] = {}
     for k, w in enumerate(item):
         places[w] = places.get(w, 0) | 1 << k
     full = (1 << len(item)) - 1
@@ -226,127 +238,214 @@ def subsequence(item: list[str], text: list[str]) -> int:
     return len(item) - v.bit_count()
 
 
-def best_share(item: list[str], bag: set[str], text: list[str], a: int, b: int) -> float:
-    """The largest share of the item's words that stand in order in a stretch of text[a:b] not much longer than the item."""
-    size = int(len(item) * STRETCH) + 6
+def stretch_of(n: int) -> int:
+    """Words of a stretch that is not much longer than an item of n words."""
+    return int(n * STRETCH) + 6
+
+
+def best_share(item: list[int], text: list[int], least: float = SHARE) -> float:
+    """The largest share of the item's words that stand in order in a stretch of ``text`` not much longer than the item; 0
+    where it is under ``least``."""
+    size, need = stretch_of(len(item)), least * len(item)
     step = max(1, len(item) // 6)
-    inside = [w in bag for w in text[a:b]]
-    if sum(inside) < SHARE * len(item) or subsequence(item, text[a:b]) < SHARE * len(item):  # no stretch has more than the whole
-        return 0.0
-    hits = [0, *itertools.accumulate(inside)]
+    bag = set(item)
+    hits = np.concatenate([[0], np.cumsum([w in bag for w in text])]).tolist()
     best = 0
-    for s in range(0, max(1, (b - a) - size + step), step):
-        e = min(b - a, s + size)
-        if hits[e] - hits[s] > best and hits[e] - hits[s] >= SHARE * len(item):  # an upper bound of the subsequence
-            best = max(best, subsequence(item, text[a + s : a + e]))
-    return best / len(item)
-
-
-class Common:
-    """An upper bound of subsequences, without order: how many words, repeats counted, stretches of a text share with each item."""
-
-    def __init__(self, items: list[list[str]]):
-        self.least = np.array([max(1, math.ceil(SHARE * len(w))) for w in items])
-        self.size = max(int(len(w) * STRETCH) + 6 for w in items) + STEP
-        found: dict[str, list[list[int]]] = {}
-        for k, w in enumerate(items):
-            for t, n in Counter(w).items():
-                times = found.setdefault(t, [])
-                times.extend([] for _ in range(n - len(times)))
-                for own in times[:n]:
-                    own.append(k)
-        #: by word, the items that have it so often: those with it once, twice and so on
-        self.times = {t: [np.array(x) for x in own] for t, own in found.items()}
-
-    def starts(self, text: list[str]) -> dict[int, list[int]]:
-        """By item, the multiples of STEP from which the next STEP words may begin a stretch with SHARE of its words."""
-        out: dict[int, list[int]] = {}
-        known = [w if w in self.times else "" for w in text]
-        for s in range(0, len(text), STEP):
-            hits = [x for w, n in Counter(known[s : s + self.size]).items() if w for x in self.times[w][:n]]
-            if hits:
-                for k in np.flatnonzero(np.bincount(np.concatenate(hits), minlength=len(self.least)) >= self.least).tolist():
-                    out.setdefault(k, []).append(s)
+    for s in range(0, max(1, len(text) - size + step), step):
+        e = min(len(text), s + size)
+        if hits[e] - hits[s] > best and hits[e] - hits[s] >= need:  # an upper bound of the subsequence
+            best = max(best, subsequence(item, text[s:e]))
+    return best / len(item) if best >= need else 0.0
+
+
+class Items:
+    """The items as places in their common vocabulary; which of them a stretch of text may contain.
+
+    Prefix bound: in order of rarity, a text that shares ``need`` of an item's n words shares at least j of its first
+    n - need + j ones, for any j; j is PREFIX of ``need``. Repeats of a word in a text count each, so no leak is lost."""
+
+    def __init__(self, texts: list[str], weights: np.ndarray, least: list[float]):
+        self.hashes = [hashes([t])[0] for t in texts]
+        self.vocabulary = np.unique(np.concatenate(self.hashes))
+        self.items = [np.searchsorted(self.vocabulary, h) for h in self.hashes]
+        self.masks = Masks(self.items, len(self.vocabulary))
+        self.known = np.zeros(BUCKETS, dtype=bool)
+        self.known[buckets(self.vocabulary)] = True
+        rare = weights[buckets(self.vocabulary)]
+        own: list[list[int]] = [[] for _ in self.vocabulary]
+        self.least, self.need, self.span = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
+        distinct = [np.unique(g, return_counts=True) for g in self.items]
+        most = max(len(u) for u, _ in distinct)
+        self.words, self.times = np.full((len(texts), most), len(self.vocabulary)), np.zeros((len(texts), most), dtype=np.int16)
+        for k, g in enumerate(self.items):
+            self.least[k] = need = math.ceil(least[k] * len(g) - 1e-9)
+            self.need[k] = j = max(1, math.ceil(PREFIX * need))
+            for w in np.unique(g[np.lexsort((g, -rare[g]))][: len(g) - need + j]).tolist():
+                own[w].append(k)
+            self.span[k] = -(-(stretch_of(len(g)) - 1) // BLOCK) + 2  # blocks that a stretch from one of two neighbouring blocks on touches
+            u, n = distinct[k]
+            self.words[k, : len(u)], self.times[k, : len(u)] = u, np.minimum(n, 32_767)
+        self.often = np.array([len(o) for o in own])
+        self.first = np.cumsum(self.often) - self.often
+        self.postings = np.concatenate([np.array(o, dtype=np.int64) for o in own])
+
+    def places(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of words that some item has, and their places in the vocabulary."""
+        at = np.flatnonzero(self.known[buckets(found)])
+        g = np.searchsorted(self.vocabulary, found[at])
+        g[g == len(self.vocabulary)] = 0
+        same = self.vocabulary[g] == found[at]
+        return at[same], g[same]
+
+    def possible(self, at: np.ndarray, g: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first block and item of stretches over the prefix bound; every other block is a start."""
+        first = np.cumsum(lengths) - lengths
+        per = -(-lengths // BLOCK)
+        begin = np.cumsum(per) - per
+        owner = np.repeat(np.arange(len(lengths)), lengths)[at]
+        often = self.often[g]
+        which = self.postings[np.repeat(self.first[g] - (np.cumsum(often) - often), often) + np.arange(int(often.sum()))]
+        block = np.repeat(begin[owner] + (at - first[owner]) // BLOCK, often)
+        text = np.repeat(np.arange(len(per)), per)
+        start = np.arange(int(per.sum()))
+        even = (start - begin[text]) % 2 == 0
+        text, start = text[even], start[even]
+        out = []
+        for low in range(0, len(self.items), TOGETHER):  # bounds the table below
+            n = min(TOGETHER, len(self.items) - low)
+            inside = slice(None) if n == len(self.items) else (which >= low) & (which < low + n)
+            table = np.bincount(block[inside] * n + which[inside] - low, minlength=int(per.sum()) * n).astype(np.int32).reshape(-1, n)
+            upto = np.concatenate([np.zeros((1, n), dtype=np.int32), np.cumsum(table, axis=0, dtype=np.int32)])
+            span, need = self.span[low : low + n], self.need[low : low + n]
+            for r in np.unique(span).tolist():
+                own = np.flatnonzero(span == r)
+                end = np.minimum(start + r, begin[text] + per[text])
+                s, k = np.nonzero(upto[end][:, own] - upto[start][:, own] >= need[own])
+                out.append((text[s], start[s] - begin[text[s]], own[k] + low))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def shared(self, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """How many words, repeats counted as often as both have them, each item shares with positions lo to hi."""
+        out = np.zeros(len(item), dtype=np.int64)
+        order = np.lexsort((hi, lo))
+        same = np.concatenate([[True], (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)])
+        window = np.cumsum(same) - 1  # of each pair in order
+        a, e = np.searchsorted(at, lo[order][same]), np.searchsorted(at, hi[order][same])
+        wide = len(self.vocabulary) + 1
+        step = max(1, (1 << 21) // wide)
+        for w in range(0, len(a), step):
+            n = e[w : w + step] - a[w : w + step]
+            idx = np.repeat(a[w : w + step] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            table = np.bincount(np.repeat(np.arange(len(n)), n) * wide + g[idx], minlength=len(n) * wide).reshape(-1, wide)
+            table = np.minimum(table, 32_767).astype(np.int16)
+            x, y = np.searchsorted(window, [w, w + step])
+            for p in range(x, y, 16_384):
+                pair = order[p : min(y, p + 16_384)]
+                rows = window[p : min(y, p + 16_384)] - w
+                out[pair] = np.minimum(table[rows[:, None], self.words[item[pair]]], self.times[item[pair]]).sum(axis=1)
         return out
 
 
-def answer_words(text: str, answer: str | None) -> list[str]:
-    """Words of the option that the answer letter names, else of the answer itself."""
-    if not answer:
-        return []
-    m = re.search(rf"(?m)^\s*\(?{re.escape(answer.strip())}[).:]\s*(.+)$", text) if len(answer.strip()) == 1 else None
-    return words(m.group(1) if m else answer)
+def answer_words(text: str, answer: str | None) -> list[int]:
+    """Hashed words of the option that the answer's letter names, else of the answer itself; none where there are fewer than
+    two, as a letter or a number stands in many a text."""
+    told = (answer or "").strip()
+    if len(told) == 1:
+        m = re.search(rf"(?m)^\s*\(?{re.escape(told)}[).:]\s*(.+)$", text)
+        told = m.group(1) if m else ""
+    found = hashes([told])[0].tolist()
+    return found if len(found) > 1 else []
 
 
-def _contains(text: list[str], part: list[str]) -> bool:
-    if not part:
-        return False
-    joined = " " + " ".join(text) + " "
-    return f" {' '.join(part)} " in joined
+def _contains(text: list[int], part: list[int]) -> bool:
+    """Whether ``part`` stands in ``text``, word after word."""
+    n = len(part)
+    return n > 0 and any(text[i : i + n] == part for i, w in enumerate(text[: len(text) - n + 1]) if w == part[0])
 
 
-def _search(space: Space, items: list[tuple[int, str, str | None]]):
+def _search(space: Space, items: list[tuple[int, str, str | None]], with_answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = space.sent.table()
-        own = [words(t) for _, t, _ in items]
-        bags = [set(w) for w in own]
-        common = Common(own)
-        answers = [answer_words(t, a) for _, t, a in items]
-        used = [k for k, w in enumerate(own) if w]
-        ids = np.array([i for k in used for i in ids_of(own[k])])
-        q, owner, _ = blocks(ids, [len(own[k]) for k in used], table)
+        table, weights = space.sent.table(), space.weights.table()
+        answers = [answer_words(t, x) for _, t, x in items]
+        least = [min(SHARE, with_answer) if a else SHARE for a in answers]
+        own = Items([t for _, t, _ in items], weights, least)
+        listed = [h.tolist() for h in own.hashes]
+        q, of, _ = blocks(buckets(np.concatenate(own.hashes)), [len(h) for h in own.hashes], table)
         q /= np.linalg.norm(q, axis=1, keepdims=True) + 1e-9
-        owner = np.array(used)[owner]
+        item_first = np.searchsorted(of, np.arange(len(items)))
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("tbl", "rec_id", "item_id", "cosine", "share", "answer_found")}
             tbl, rec = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for rows, ws, ids, lengths in _texts(b, 2):
-                x, text, at = blocks(ids, lengths, table)
+            for rows, found, lengths in slices(b.column(2).to_pylist()):
+                at, g = own.places(found)
+                text, start, item = own.possible(at, g, lengths)
+                if not len(text):
+                    continue
+                first = np.cumsum(lengths) - lengths
+                # passages of the texts that may contain an item, and their cosines with the items they may contain
+                some = np.unique(text)
+                x, of_text, _ = blocks(buckets(found[np.repeat(np.isin(np.arange(len(lengths)), some), lengths)]), lengths[some].tolist(), table)
                 x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-                near = x @ q.T
-                starts = [common.starts(w) for w in ws]
-                possible = np.zeros((len(ws), len(own)), dtype=bool)
-                for t, s in enumerate(starts):
-                    possible[t, list(s)] = True
-                hit, query = np.nonzero((near >= COSINE) & possible[text][:, owner])
-                found: dict[tuple[int, int], list] = {}
-                for h, k in zip(hit.tolist(), query.tolist()):
-                    f = found.setdefault((int(text[h]), int(owner[k])), [])
-                    f.append((int(at[h]), float(near[h, k])))
-                for (t, k), places in found.items():
-                    item, w = own[k], ws[t]
-                    room = int(len(item) * STRETCH)
-                    best, until = 0.0, -1
-                    for a in sorted(p for p, _ in places):
-                        lo, hi = max(a - room, 0), min(len(w), a + WINDOW + room)
-                        if hi <= until or not any(lo < s + STEP and s < hi for s in starts[t][k]):
-                            continue
-                        best, until = max(best, best_share(item, bags[k], w, lo, hi)), hi
-                    if best >= SHARE:
-                        r = int(rows[t])
-                        for c, v in zip(out, (tbl[r], rec[r], items[k][0], max(s for _, s in places), best, _contains(w, answers[k]))):
-                            out[c].append(v)
+                near = np.maximum.reduceat(x @ q.T, item_first, axis=1)
+                begin, count = np.searchsorted(of_text, np.arange(len(some))), np.bincount(of_text, minlength=len(some))
+                t = np.searchsorted(some, text)
+                from_, to = start * BLOCK // STEP - 1, ((start + own.span[item]) * BLOCK - 1) // STEP  # passages that overlap the stretch
+                cosine = np.full(len(t), -1.0, dtype=np.float32)
+                for j in range(int((to - from_).max()) + 1):
+                    p = np.clip(np.minimum(from_ + j, to), 0, count[t] - 1)
+                    cosine = np.maximum(cosine, near[begin[t] + p, item])
+                pick = np.flatnonzero(cosine >= COSINE)
+                text, start, item, cosine = text[pick], start[pick], item[pick], cosine[pick]
+                lo = first[text] + start * BLOCK
+                hi = np.minimum(lo + own.span[item] * BLOCK, first[text] + lengths[text])
+                pick = np.flatnonzero(own.shared(item, lo, hi, at, g) >= own.least[item])
+                a, e = np.searchsorted(at, lo), np.searchsorted(at, hi)
+                pick = pick[np.argsort((e - a)[pick], kind="stable")]
+                done: dict[tuple[int, int], tuple[float, float]] = {}
+                for i in range(0, len(pick), 8192):
+                    part = pick[i : i + 8192]
+                    idx = a[part][:, None] + np.arange(int((e - a)[part].max()))
+                    region = np.where(idx < e[part][:, None], g[np.minimum(idx, len(g) - 1)], -1)
+                    common = lcs_lengths(own.masks, item[part], region)
+                    for p in part[common >= own.least[item[part]]].tolist():  # all of the region has enough: now its stretches
+                        k, key = int(item[p]), (int(text[p]), int(item[p]))
+                        share = best_share(listed[k], found[lo[p] : hi[p]].tolist(), least[k])
+                        if share >= least[k] and share > done.get(key, (0.0,))[0]:
+                            done[key] = (share, float(cosine[p]))
+                for (t1, k), (share, c) in done.items():
+                    r = int(rows[t1])
+                    told = _contains(found[first[t1] : first[t1] + lengths[t1]].tolist(), answers[k])
+                    if share >= SHARE or told:
+                        for col, v in zip(out, (tbl[r], rec[r], items[k][0], c, share, told)):
+                            out[col].append(v)
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
     return run
 
 
-def find_leaks(texts: DataFrame, held_out: DataFrame) -> DataFrame:
+def find_leaks(texts: DataFrame, held_out: DataFrame, with_answer: float = WITH_ANSWER) -> DataFrame:
     """``tbl, rec_id, item_id, cosine, share, answer_found``: items whose words stand in texts, one row per text and item.
 
-    ``texts``: tbl, rec_id, text (several rows per record are several texts). ``held_out``: item_id, text, answer; it
-    is the query set, at most MAX_ITEMS rows, and goes to all executors with the latent table. ``share`` is the part of
-    the item's words found in order; ``answer_found`` tells whether its answer's words follow each other in the text.
-    Items listed twice count each. Null and blank texts and items have no match.
+    ``texts``: tbl, rec_id, text (several rows per record are several texts). ``held_out``: item_id, text, answer. Every
+    text is held against every item, in passes of MAX_ITEMS items at most, each of which goes to the executors with the
+    latent table. ``share`` is the part of the item's words found in order; ``answer_found`` tells whether its answer's
+    words follow each other in the text. Leaks have SHARE of the words, or ``with_answer`` of them and the answer. Items
+    listed twice count each. Null and blank texts and items have no match.
     """
-    items = held_out.select("item_id", "text", "answer").filter("text is not null").limit(MAX_ITEMS + 1).collect()
-    if len(items) > MAX_ITEMS:
-        raise ValueError("the held-out set is larger than a query set may be")
     schema = "tbl string, rec_id bigint, item_id bigint, cosine double, share double, answer_found boolean"
-    known = [(r["item_id"], r["text"], r["answer"]) for r in items if words(r["text"])]
-    if not known:
-        return texts.sparkSession.createDataFrame([], schema)
-    some = texts.filter("text is not null")
-    space = fit_space(some, [t for _, t, _ in known])
-    return arrow_map(spread(some.select("tbl", "rec_id", "text")), _search(space, known), schema)
+    spark = texts.sparkSession
+    rows = held_out.select("item_id", "text", "answer").filter("text is not null")
+    passes = -(-rows.count() // MAX_ITEMS)
+    found = None
+    some = texts.filter("text is not null").select("tbl", "rec_id", "text")
+    for n in range(passes):
+        part = rows if passes == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(2 * passes)).isin(2 * n, 2 * n + 1))
+        known = [(r["item_id"], r["text"], r["answer"]) for r in part.collect()]
+        known = [k for k in known if len(hashes([k[1]])[0])]
+        if not known:
+            continue
+        space = fit_space(some, [t for _, t, _ in known])
+        hits = arrow_map(spread(some), _search(space, known, with_answer), schema)
+        found = hits if found is None else found.unionByName(hits)
+    return spark.createDataFrame([], schema) if found is None else found

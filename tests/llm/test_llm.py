@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import p1_leaks, p2_neardup, p3_sample, p4_personal, p5_abuse, p6_pairs, p7_pack, p8_mix, p9_sentences
 from granary.llm.thresholds import find_thresholds, hash63
+from granary.llm.words import hashes
 
 VOCAB = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "te", "vi", "zu") for b in ("bat", "dor", "fin", "gul", "hem", "jak")]
 
@@ -50,14 +51,34 @@ def test_half_of_an_item_is_found_in_long_texts(spark):
     assert len({(i, i % 30) for i in range(120)} - got) <= 1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcdefx"), max_size=150), st.lists(st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=90), min_size=1, max_size=3), st.sampled_from([0.45, 0.5]))
+def test_blocks_lose_no_stretch(text, items, least):
+    found, lengths = hashes([" ".join(text)])
+    own = p1_leaks.Items([" ".join(i) for i in items], np.arange(p1_leaks.BUCKETS) % 7.0, [least] * len(items))
+    at, g = own.places(found)
+    _, start, item = own.possible(at, g, lengths[lengths > 0]) if len(text) else ([], [], [])
+    blocks = set(zip(start, item))
+    for k, i in enumerate(items):
+        size = p1_leaks.stretch_of(len(i))
+        for s in range(len(text)):
+            common = p1_leaks.subsequence(i, text[s : s + size])
+            if common >= own.least[k]:
+                begin = s // p1_leaks.BLOCK // 2 * 2
+                assert (begin, k) in blocks
+                lo, hi = np.array([begin * p1_leaks.BLOCK]), np.array([min(len(text), (begin + own.span[k]) * p1_leaks.BLOCK)])
+                assert hi[0] >= min(len(text), s + size)
+                assert own.shared(np.array([k]), lo, hi, at, g)[0] >= common
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.sampled_from("abcdef"), max_size=150), st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=30))
-def test_common_words_bound_subsequences(text, item):
-    starts = p1_leaks.Common([item, ["z"]]).starts(text)
-    size = int(len(item) * p1_leaks.STRETCH) + 6
-    for s in range(len(text)):
-        if p1_leaks.subsequence(item, text[s : s + size]) >= p1_leaks.SHARE * len(item):
-            assert s // p1_leaks.STEP * p1_leaks.STEP in starts[0]
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=1, max_size=140), min_size=1, max_size=4), st.lists(st.sampled_from("abcdz"), max_size=150), st.booleans())
+def test_subsequences_of_many_equal_table(items, text, dense):
+    letters = {c: k for k, c in enumerate("abcd")}
+    masks = p1_leaks.Masks([np.array([letters[c] for c in i]) for i in items], 4)
+    masks.dense = masks.dense if dense else None
+    region = np.array([[letters.get(c, -1) for c in text]] * len(items)).reshape(len(items), -1)
+    assert p1_leaks.lcs_lengths(masks, np.arange(len(items)), region).tolist() == [p1_leaks.subsequence(i, text) for i in items]
 
 
 @settings(max_examples=40, deadline=None)
@@ -70,6 +91,55 @@ def test_subsequence_equals_table(a, b):
     assert p1_leaks.subsequence(a, b) == t[-1][-1]
 
 
+def test_leaks_in_scripts_without_spaces(spark):
+    rng = random.Random(3)
+    zh, th = "的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经", "กขคงจฉชซญดตถทธนบปพฟภมยรลวศสหอ"
+    make = lambda abc, n: "".join(rng.choices(abc, k=n))
+    items = [(1, make(zh, 60), None), (2, make(th, 70), None), (3, make(zh, 50), None)]
+    def edited(t, every):
+        return "".join("x" if k % every == every - 1 else c for k, c in enumerate(t))
+    rows = [("t", 1, make(zh, 80) + edited(items[0][1], 12) + make(zh, 90)), ("t", 2, make(th, 60) + " " + items[1][1][:50] + " " + make(th, 60)), ("t", 3, make(zh, 200)), ("t", 4, items[2][1][:12] + make(zh, 100))]
+    df = spark.createDataFrame(rows, "tbl string, rec_id bigint, text string")
+    held = spark.createDataFrame(items, "item_id bigint, text string, answer string")
+    assert {(r["rec_id"], r["item_id"]) for r in p1_leaks.find_leaks(df, held).collect()} == {(1, 1), (2, 2)}
+
+
+def test_the_answer_decides_where_words_fall_short(spark):
+    rng = random.Random(8)
+    many = [a + b for a in VOCAB for b in VOCAB]
+    stem, right = rng.choices(many, k=46), rng.choices(many, k=4)
+    item = " ".join(stem) + "\nA) " + " ".join(rng.choices(many, k=4)) + "\nB) " + " ".join(right)
+    near = stem[:22]  # with the answer 26 of 56 words, under a half
+    rows = [("t", 1, " ".join([*near, *right])), ("t", 2, " ".join([*near, *rng.choices(many, k=1), *right[:3], *rng.choices(many, k=1)])), ("t", 3, " ".join(stem))]
+    df = spark.createDataFrame(rows, "tbl string, rec_id bigint, text string")
+    held = spark.createDataFrame([(5, item, "B")], "item_id bigint, text string, answer string")
+    got = {r["rec_id"]: (r["share"], r["answer_found"]) for r in p1_leaks.find_leaks(df, held).collect()}
+    assert set(got) == {1, 3} and got[1][0] < 0.5 and got[1][1] and not got[3][1]
+    assert {r["rec_id"] for r in p1_leaks.find_leaks(df, held, with_answer=0.5).collect()} == {3}
+    assert p1_leaks.answer_words("no options", "B") == [] and len(p1_leaks.answer_words("", "two words")) == 2
+
+
+def test_held_out_sets_over_the_bound_take_several_passes(spark, monkeypatch):
+    rng = random.Random(9)
+    many = [a + b for a in VOCAB for b in VOCAB]
+    items = [(k, " ".join(rng.choices(many, k=40)), None) for k in range(30)]
+    rows = [("t", k, " ".join(rng.choices(many, k=60)) + " " + items[k][1]) for k in range(30)]
+    df = spark.createDataFrame(rows, "tbl string, rec_id bigint, text string")
+    held = spark.createDataFrame(items, "item_id bigint, text string, answer string")
+    monkeypatch.setattr(p1_leaks, "MAX_ITEMS", 12)
+    assert {(r["rec_id"], r["item_id"]) for r in p1_leaks.find_leaks(df, held).collect()} == {(k, k) for k in range(30)}
+
+
+def test_hashed_words():
+    one = lambda t: hashes([t])[0].tolist()
+    assert one("The CAFÉ, Straße") == one("the cafe\u0301 strasse") == one("ｔｈｅ café—STRASSE")
+    assert one("ﬁnd p\u0430y so\u00adft") == one("find pay soft") and one("") == one("_ - !") == []
+    assert len(one("中文字")) == 2 and len(one("中 ไท x中")) == 4
+    found, lengths = hashes(["a b", "", "中文 c"])
+    assert lengths.tolist() == [2, 0, 2] and len(found) == 4
+    assert one("w" * 400_000 + " a")[1] == one("a")[0] and one("\ud800 a") == one("a")
+
+
 # ---------------------------------------------------------------------------- 2
 
 
