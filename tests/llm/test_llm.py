@@ -490,21 +490,44 @@ def test_sentences_of_empty_and_odd_tables(spark):
 
 def test_thresholds_are_of_all_background_units(monkeypatch):
     class Known(p5_abuse.Scorer):
+        def __init__(self, net):
+            pass
+
         def score(self, segments):
-            return np.array([0.2 + 0.5 * ("loud" in s) if "meadow" in s else 0.9 for s in segments])
+            return np.array([0.75 * ("loud" in s) + 0.95 * ("vile" in s) for s in segments])
 
     monkeypatch.setattr(p5_abuse, "Scorer", Known)
     words = "the meadow is calm and this is the way to the house"
-    units = [f"{words} {i}" for i in range(9_000)] + [f"{words} loud {i}" for i in range(9_000)]
-    net = p5_abuse.Network({}, [np.zeros((w * p5_abuse.DIM, p5_abuse.FILTERS)) for w in p5_abuse.WIDTHS], [np.zeros(p5_abuse.FILTERS)] * 3, np.zeros(36), 0.0, {"*": 0.5})
-    one, other = (p5_abuse.calibrated([net], u).thresholds for u in (units, units[::-1]))
-    assert one == other and one["en"] == pytest.approx(0.7)
+    units = [f"{words} {i}" for i in range(9_000)] + [f"{words} vile {i}" for i in range(200)] + [f"{words} loud {i}" for i in range(100)]
+    known = [p5_abuse.Example([f"a vile word in the house {i}"], 1.0, 4.0, "en") for i in range(10)]
+    one, other = (p5_abuse.calibrated([None, None], known, u) for u in (units, units[::-1]))
+    assert one.thresholds == other.thresholds and one.thresholds["en"] == pytest.approx(0.76, abs=0.011)
+    assert one.held_out["en"]["found"] == 1 and one.held_out["en"]["over"] == pytest.approx(200 / 9_300)
+    assert one.threshold("it") == one.thresholds["*"]
+
+
+def test_members_never_see_their_own_fold(monkeypatch):
+    seen = []
+    monkeypatch.setattr(p5_abuse, "fit_one", lambda known, background, seed: seen.append(({e.parts[0] for e in known}, set(background))))
+    known = p5_abuse.examples([("A calm day.", 0, 0), ("You fool. Go away.", 1, 1), (None, 1, 1), ("x", None, None)])
+    units = [f"unit {i}" for i in range(50)]
+    for k in range(3):
+        p5_abuse.fit_fold(known, units, k, 3)
+    assert all(len([1 for e, _ in seen if x.parts[0] in e]) == 2 for x in known) and all(len([1 for _, b in seen if u in b]) == 2 for u in units)
+
+
+def test_long_sentences_are_learnt_whole():
+    words = [f"w{i}" for i in range(300)]
+    parts = p5_abuse.pieces(words)
+    assert all(len(p) <= p5_abuse.PIECE for p in parts)
+    grams = {tuple(p[i : i + 3]) for p in parts for i in range(len(p) - 2)}
+    assert grams == {tuple(words[i : i + 3]) for i in range(298)} and p5_abuse.pieces([]) == [[]] and p5_abuse.pieces(["a"]) == [["a"]]
 
 
 def test_background_does_not_depend_on_the_order_of_tables(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(p5_abuse, "arrow_map", lambda df, *_: df.limit(0))
-    monkeypatch.setattr(p5_abuse, "calibrated", lambda nets, background: seen.append(background))
+    monkeypatch.setattr(p5_abuse, "calibrated", lambda nets, known, background: seen.append(background))
     labels = spark.createDataFrame([], "text string, rater_a int, rater_b int")
     rows = [(t, i, f"Text {i} of {t}.") for t in "cadbe" for i in range(2)]
     for r, n in ((rows, 1), (rows[::-1], 3)):
