@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -19,34 +19,43 @@ def distinct_n(texts: DataFrame, n: int, by: list[str] | None = None) -> DataFra
     return counted.groupBy(*by).agg(F.try_divide(F.count("g").cast("double"), F.sum("c")).alias(f"distinct_{n}"))
 
 
-def self_bleu(texts: DataFrame, max_n: int = 4, epsilon: float = 0.1) -> DataFrame:
-    """``self_bleu``: mean BLEU of each text (id, text) against all others; one row, null with fewer than two texts with words.
+def self_bleu(texts: DataFrame, max_n: int = 4, epsilon: float = 0.1, by: list[str] | None = None) -> DataFrame:
+    """``self_bleu``: mean BLEU of each text (id, text) against all others, overall or ``by`` columns; null with fewer than two
+    texts with words.
 
-    The clipped count of a gram is bounded by its largest count in another text: the largest overall, or the second
-    largest where this text alone holds the largest. So grams are counted and ranked once, with no pair of texts.
-    Orders that a text lacks are left out; an order without a match counts epsilon; the brevity penalty uses the other
-    text of closest length, the shorter of two. Orders are weighted alike.
+    The clipped count of a gram is bounded by its largest count in another text, so it is the text's own count but where
+    this text alone has the largest: then the second largest. So per gram only the two largest counts matter. Texts are
+    spread by id, after which grams are counted without a shuffle; of each gram a task hands on two rows at most, whatever
+    its frequency. Orders that a text lacks are left out; an order without a match counts epsilon; the brevity penalty uses
+    the other text of closest length, the shorter of two. Orders are weighted alike.
     """
-    words = cut(texts.select("id", T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0))
-    lengths = words.select("id", F.size("w").alias("len"))
-    parts = []
+    by = by or []
+
+    def numbered_grams(n: int) -> Column:
+        return F.transform(T.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), g).alias("g")))
+
+    group = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
+    words = texts.select(*by, "id", group.alias("_grp"), T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    words = cut(words.select(*by, "id", "_grp", F.size("w").alias("len"), F.concat(*[numbered_grams(n) for n in range(1, max_n + 1)]).alias("grams")).repartition("_grp", "id"))
+    counts = words.select("_grp", "id", F.explode("grams").alias("x")).groupBy("_grp", "id", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.count(F.lit(1)).alias("c"))
+    two = counts.withColumn("r", F.row_number().over(Window.partitionBy("_grp", "n", "g").orderBy(F.col("c").desc(), "id"))).filter("r <= 2")
+    tops = two.groupBy("_grp", "n", "g").agg(F.max("c").alias("top"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("c"))), F.lit(0)).alias("second"), F.max(F.when(F.col("r") == 1, F.col("id"))).alias("id"))
+    lost = tops.filter("top > second").groupBy("_grp", "id").pivot("n", list(range(1, max_n + 1))).agg(F.sum(F.col("top") - F.col("second")))
+    own = words.select(*by, "_grp", "id", "len").join(lost, ["_grp", "id"], "left")
+    terms = []
     for n in range(1, max_n + 1):
-        grams = words.select("id", F.explode(T.ngrams(F.col("w"), n)).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias("c"))
-        tops = grams.groupBy("g").agg(F.max("c").alias("top"))
-        held = grams.join(tops, "g").groupBy("g", "top").agg(F.sum((F.col("c") == F.col("top")).cast("int")).alias("holders"), F.max(F.when(F.col("c") < F.col("top"), F.col("c"))).alias("second"))
-        best = F.when((F.col("c") == F.col("top")) & (F.col("holders") == 1), F.coalesce("second", F.lit(0))).otherwise(F.col("top"))
-        parts.append(grams.join(held, "g").groupBy("id").agg(F.sum(F.least("c", best)).alias("hit"), F.sum("c").alias("all")).select("id", F.log(F.when(F.col("hit") == 0, F.lit(epsilon)).otherwise(F.col("hit")) / F.col("all")).alias("lp")))
-    orders = parts[0]
-    for p in parts[1:]:
-        orders = orders.unionByName(p)
-    precision = orders.groupBy("id").agg(F.avg("lp").alias("lp"))
-    sizes = lengths.groupBy("len").agg(F.count(F.lit(1)).alias("n"))  # distinct lengths: few rows
-    w = Window.orderBy("len")
-    near = sizes.select("len", "n", F.lag("len").over(w).alias("low"), F.lead("len").over(w).alias("high"))
+        total = F.col("len") - (n - 1)
+        hit = total - F.coalesce(F.col(str(n)), F.lit(0))
+        terms.append(F.when(total > 0, F.log(F.when(hit == 0, F.lit(epsilon)).otherwise(hit) / total)))
+    present = F.array_compact(F.array(*terms))
+    precision = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v) / F.size(present)
+    sizes = words.groupBy("_grp", "len").agg(F.count(F.lit(1)).alias("n"))  # distinct lengths: few rows in a group
+    w = Window.partitionBy("_grp").orderBy("len")
+    near = sizes.select("_grp", "len", "n", F.lag("len").over(w).alias("low"), F.lead("len").over(w).alias("high"))
     closest = F.when(F.col("n") > 1, F.col("len")).when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull(), F.col("low")).when(F.col("len") - F.col("low") <= F.col("high") - F.col("len"), F.col("low")).otherwise(F.col("high"))
-    refs = near.select("len", closest.alias("ref")).filter("ref is not null")
+    refs = near.select("_grp", "len", closest.alias("ref")).filter("ref is not null")
     brevity = F.when(F.col("len") >= F.col("ref"), F.lit(0.0)).otherwise(1 - F.col("ref") / F.col("len"))
-    return precision.join(lengths, "id").join(refs, "len").agg(F.avg(F.exp(F.col("lp") + brevity)).alias("self_bleu"))
+    return own.withColumn("_lp", precision).join(refs, ["_grp", "len"]).groupBy(*by).agg(F.avg(F.exp(F.col("_lp") + brevity)).alias("self_bleu"))
 
 
 def cluster_entropy(vectors: DataFrame, k: int = 8, seed: int = 0, iterations: int = 50) -> DataFrame:

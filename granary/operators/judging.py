@@ -79,10 +79,51 @@ def residual_by_label(c: DataFrame) -> DataFrame:
 
 
 def interleave(examples: DataFrame, label: str, order: str, n: int) -> DataFrame:
-    """The first ``n`` examples taken one of each label in turn, labels by first appearance."""
-    w = Window.partitionBy(label).orderBy(order)
+    """The first ``n`` examples taken one of each label in turn, labels by first appearance.
+
+    No more than ``n`` of a label can be among them, so each task hands on its first ``n`` of a label at most."""
+    tops = examples.withColumn("_depth", F.row_number().over(Window.partitionBy(label).orderBy(order))).filter(F.col("_depth") <= n)
     first = Window.partitionBy(label)
-    return examples.withColumn("_depth", F.row_number().over(w)).withColumn("_first", F.min(order).over(first)).orderBy("_depth", "_first").limit(n).drop("_depth", "_first")
+    return tops.withColumn("_first", F.min(order).over(first)).orderBy("_depth", "_first").limit(n).drop("_depth", "_first")
+
+
+def vote_agreement(ballots: DataFrame, labels: DataFrame, means: dict[str, str] | None = None, key: str = "record_id", vote: str = "vote") -> DataFrame:
+    """``key, agree, cast_votes, agrees, code``: how many votes mean the label (labels: key, label), abstentions left out.
+
+    ``means`` maps a verdict to the label it means, without it a verdict means itself. More than half of the votes cast must
+    agree: else ``consistency_disagrees``, or ``consistency_no_votes`` where none was cast."""
+    b = ballots.filter(F.col(vote).isNotNull())
+    meaning = F.col(vote)
+    if means is not None:
+        meaning = F.try_element_at(F.create_map(*[F.lit(x) for kv in means.items() for x in kv]), F.col(vote))
+    counted = ballots.select(key).distinct().join(b.select(key, meaning.alias("_m")), key, "left").join(labels, key, "left")
+    # votes are counted by key; a missing vote has a null meaning and is told from an unknown verdict by the count of votes
+    votes = b.groupBy(key).agg(F.count(F.lit(1)).alias("cast_votes"))
+    agree = counted.groupBy(key).agg(F.count_if(F.col("_m") == F.col("label")).alias("agree"))
+    out = agree.join(votes, key, "left").select(key, "agree", F.coalesce("cast_votes", F.lit(0)).alias("cast_votes"))
+    agrees = F.col("agree") * 2 > F.col("cast_votes")
+    return out.select("*", agrees.alias("agrees"), F.when(F.col("cast_votes") == 0, "consistency_no_votes").when(~agrees, "consistency_disagrees").alias("code"))
+
+
+def judge_view(records: DataFrame, fields: list[str], hidden: tuple[str, ...] = ("label",)) -> DataFrame:
+    """The columns a judge may see: ``fields`` that exist, without hidden and private ones."""
+    return records.select(*[f for f in fields if f in records.columns and f not in hidden and not f.startswith("_")])
+
+
+def judge_prompt(rubric: dict, view: Column) -> Column:
+    """The prompt of a blind judge: the verdicts and criteria of a rubric, the shape of the reply, and the record's view (JSON)."""
+    lines = ["You are given one record. Judge it only by the rubric below.", "", "Verdicts: " + ", ".join(rubric["verdict"]["values"])]
+    for c in rubric["criteria"]:
+        lines.append(f"- {c['name']}: " + (", ".join(map(str, c["values"])) if c.get("values") else f"an integer from {c['min']} to {c['max']}"))
+    names = [c["name"] for c in rubric["criteria"]]
+    lines += ["", "Reply with one JSON object with the keys verdict, scores (" + ", ".join(names) + ") and confidence (verdict, " + ", ".join(names) + "; numbers from 0 to 1)" + (", and reason." if rubric.get("reason_required") == "always" else "."), "", "Record:"]
+    return F.concat(F.lit("\n".join(lines) + "\n"), view)
+
+
+def judge_against_human(results: DataFrame, human: DataFrame, key: str = "item_id") -> DataFrame:
+    """``judged, human, confidence`` pairs of gold items: every human label with the judge's result for the same item, null
+    where the judge has none."""
+    return human.join(results, key, "left").select("judged", "human", "confidence")
 
 
 def decode(levels: Column) -> Column:

@@ -95,29 +95,183 @@ def residual_error(records: DataFrame, residuals: DataFrame, fallback: float) ->
     return records.join(F.broadcast(residuals), records["label"] == residuals["judged"], "left").agg(F.avg(F.coalesce("residual", F.lit(fallback))).alias("residual_error"))
 
 
+def failed_tries(layer_results: Column) -> Column:
+    """What :func:`tries` needs of a record's layer results (layer, outcome, attempt): those that did not pass."""
+    return F.transform(F.filter(layer_results, lambda r: r["outcome"] != "pass"), lambda r: F.struct(r["attempt"].cast("int").alias("attempt"), r["layer"].alias("layer")))
+
+
+def final_judgement(layer_results: Column, repair_count: Column, layer: str = "L5") -> Column:
+    """Whether a layer's last outcome at the final attempt is a pass; null where the layer did not judge that attempt."""
+    own = F.filter(layer_results, lambda r: (r["layer"] == layer) & (F.coalesce(r["attempt"], F.lit(0)) == F.coalesce(repair_count, F.lit(0))))
+    return F.try_element_at(own, F.lit(-1))["outcome"] == "pass"
+
+
+def planned_targets(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``axis, value, quota, target`` (per ``by``): planned records by value of every axis, and their share of the axis; null
+    shares where an axis has no quota. Only cells that carry an axis count in it."""
+    by = by or []
+    values = cells.select(*by, "quota", F.explode("params").alias("axis", "value")).groupBy(*by, "axis", "value").agg(F.sum("quota").alias("quota"))
+    totals = values.groupBy(*by, "axis").agg(F.sum("quota").alias("_all"))
+    return values.join(totals, [*by, "axis"]).select(*by, "axis", "value", "quota", F.try_divide(F.col("quota").cast("double"), F.col("_all")).alias("target"))
+
+
+def _both(df: DataFrame, *aggregates: Column) -> DataFrame:
+    """Aggregates overall (null cell, ``is_total``) and per cell, in one pass."""
+    return df.groupingSets([[], ["cell_id"]], "cell_id").agg(*aggregates, F.grouping("cell_id").alias("_g")).withColumn("is_total", F.col("_g") == 1).drop("_g")
+
+
+def fidelity_by_cell(judged: DataFrame) -> DataFrame:
+    """``cell_id, is_total, judged, fidelity`` of ``judged`` (cell_id, agreed; null where not judged)."""
+    return _both(judged, F.count("agreed").alias("judged"), F.avg(F.col("agreed").cast("double")).alias("fidelity"))
+
+
+def governance_counts(flags: DataFrame) -> DataFrame:
+    """``cell_id, is_total, violations``: records (cell_id, codes) with a code at all."""
+    return _both(flags, F.count_if(F.size(F.coalesce("codes", F.array().cast("array<string>"))) > 0).alias("violations"))
+
+
+def governance_codes(flags: DataFrame) -> DataFrame:
+    """``cell_id, is_total, code, n``: issues by code, overall and per cell; a record may have several of one code."""
+    one = flags.select("cell_id", F.explode("codes").alias("code"))
+    sets = one.groupingSets([["code"], ["cell_id", "code"]], "cell_id", "code").agg(F.count(F.lit(1)).alias("n"), F.grouping("cell_id").alias("g"))
+    return sets.select("cell_id", (F.col("g") == 1).alias("is_total"), "code", "n")
+
+
+def overlap_maxima(scores: DataFrame) -> DataFrame:
+    """``cell_id, is_total, source, overlap``: highest similarity by source (cell_id, source, score), overall and per cell."""
+    sets = scores.groupingSets([["source"], ["cell_id", "source"]], "cell_id", "source").agg(F.max("score").alias("overlap"), F.grouping("cell_id").alias("g"))
+    return sets.select("cell_id", (F.col("g") == 1).alias("is_total"), "source", "overlap")
+
+
+def report(accepted: DataFrame, drops: DataFrame, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, residuals: DataFrame | None = None, fallback: float | None = None, kappa: float | None = None, flags: DataFrame | None = None, overlaps: DataFrame | None = None, usage: dict[str, float | None] | None = None, entropy: float | None = None) -> DataFrame:
+    """Every release metric, one row overall (null cell, ``is_total``) and one per cell of the plan.
+
+    ``accepted``: id, cell_id, text, label, repair_count, layer_results. ``drops``: cell_id, layer, attempts, history.
+    ``cells``: cell_id, quota, params. ``targets``: shares by axis and value; without them the planned shares of labels.
+    ``flags``: cell_id, codes of each accepted record, ``overlaps``: cell_id, source, score; without them governance and
+    overlap are not measured. What is not measured is null, never 0. Records of cells that the plan lacks raise."""
+    from granary.operators import diversity
+
+    if unknown := [r["cell_id"] for r in unknown_cells(accepted, cells).select("cell_id").distinct().limit(20).collect()]:
+        raise ValueError(f"accepted records name cells that the plan lacks: {unknown}")
+    spark = accepted.sparkSession
+    base = cells.select("cell_id", F.lit(False).alias("is_total")).unionByName(spark.range(1).select(F.lit(None).cast("string").alias("cell_id"), F.lit(True).alias("is_total")))
+    key = lambda df: df.withColumn("_k", F.when(F.col("is_total"), F.lit("")).otherwise(F.concat(F.lit("="), F.col("cell_id")))).drop("cell_id", "is_total")
+    out = base.withColumn("_k", F.when(F.col("is_total"), F.lit("")).otherwise(F.concat(F.lit("="), F.col("cell_id"))))
+
+    rows = accepted.select("cell_id", "label", final_judgement(F.col("layer_results"), F.col("repair_count")).alias("agreed"), "repair_count", failed_tries(F.col("layer_results")).alias("failed"))
+    counts = _both(rows, F.count(F.lit(1)).alias("accepted"), F.count("agreed").alias("judged"), F.avg(F.col("agreed").cast("double")).alias("fidelity"))
+    tried = _both(tries(rows, drops), F.count(F.lit(1)).alias("candidates"))
+    out = out.join(key(counts), "_k", "left").join(key(tried), "_k", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("accepted", "judged", "candidates")}).withColumn("yield", F.try_divide(F.col("accepted").cast("double"), F.col("candidates")))
+
+    per_cell = coverage(cells, accepted)
+    whole = coverage_summary(per_cell).join(per_cell.agg(F.sum("quota").alias("quota")), how="cross").withColumn("is_total", F.lit(True)).withColumn("cell_id", F.lit(None).cast("string"))
+    own = per_cell.select("cell_id", F.lit(False).alias("is_total"), "quota", "fill", F.col("fill").alias("min_cell_fill"), F.lit(None).cast("double").alias("cells_at_quota"), (F.col("missing") > 0).cast("bigint").alias("short_cells"))
+    out = out.join(key(own.unionByName(whole.select(*own.columns))), "_k", "left")
+
+    if targets is None:
+        planned = {r["value"]: r["target"] for r in planned_targets(cells).filter("axis = 'label'").collect()}
+        targets = {"label": planned} if planned else {}
+    deviations = None
+    params = cells.select("cell_id", "params")
+    for axis, want in targets.items():
+        of_cell = F.try_element_at("params", F.lit(axis))
+        values = rows.join(F.broadcast(params), "cell_id").select("cell_id", (F.coalesce("label", of_cell) if axis == "label" else of_cell).alias("value"), of_cell.alias("_own")).filter("value is not null")
+        wanted = spark.createDataFrame([(v, float(t)) for v, t in want.items()], "value string, target double")
+        all_ = balance(values, wanted, axis).agg(F.max("deviation").alias("deviation")).select(F.lit(None).cast("string").alias("cell_id"), F.lit(True).alias("is_total"), "deviation")
+        in_cell = values.filter("_own is not null").groupBy("cell_id").agg((1 - F.avg((F.col("value") == F.col("_own")).cast("double"))).alias("deviation")).select("cell_id", F.lit(False).alias("is_total"), "deviation")
+        both = all_.unionByName(in_cell)
+        deviations = both if deviations is None else deviations.unionByName(both)
+    if deviations is None:
+        out = out.withColumn("balance_max_deviation", F.lit(None).cast("double"))
+    else:
+        out = out.join(key(deviations.groupBy("cell_id", "is_total").agg(F.max("deviation").alias("balance_max_deviation"))), "_k", "left")
+
+    if residuals is None:
+        out = out.withColumn("residual_error", F.lit(None).cast("double"))
+    else:
+        with_residual = rows.join(F.broadcast(residuals), rows["label"] == residuals["judged"], "left").select("cell_id", F.coalesce("residual", F.lit(fallback)).alias("r"))
+        out = out.join(key(_both(with_residual, F.avg("r").alias("residual_error"))), "_k", "left")
+    if flags is None:
+        out = out.withColumn("governance_violations", F.lit(None).cast("bigint"))
+    else:
+        out = out.join(key(governance_counts(flags).withColumnRenamed("violations", "governance_violations")), "_k", "left").withColumn("governance_violations", F.coalesce("governance_violations", F.lit(0)))
+    if overlaps is None:
+        out = out.withColumn("overlap_max", F.lit(None).cast("double"))
+    else:
+        top = overlap_maxima(overlaps.filter(F.col("source").isin(*OVERLAP_SOURCES)))
+        out = out.join(key(top.groupBy("cell_id", "is_total").agg(F.max("overlap").alias("overlap_max"))), "_k", "left")
+
+    texts = accepted.select("id", "cell_id", "text")
+    null_cell = lambda df: df.withColumn("cell_id", F.lit(None).cast("string")).withColumn("is_total", F.lit(True))
+    distinct = null_cell(diversity.distinct_n(texts, 2)).unionByName(diversity.distinct_n(texts, 2, ["cell_id"]).withColumn("is_total", F.lit(False)))
+    bleu = null_cell(diversity.self_bleu(texts)).unionByName(diversity.self_bleu(texts, by=["cell_id"]).withColumn("is_total", F.lit(False)))
+    out = out.join(key(distinct), "_k", "left").join(key(bleu), "_k", "left")
+
+    usage = usage or {}
+    only = lambda v, kind="double": F.when(F.col("is_total"), F.lit(v).cast(kind))
+    out = out.withColumns({"kappa": only(kappa), "cluster_entropy": only(entropy)} | {f"{n}_per_record": F.when(F.col("is_total"), per_record(F.lit(usage.get(n)), F.col("accepted"))) for n in ("tokens", "cost", "seconds")})
+    return out.drop("_k")
+
+
 # ---------------------------------------------------------------------------- gate
 
-#: Thresholds that are upper bounds, and those that also hold per cell.
+#: Thresholds and the metric each holds; those that are upper bounds; those that also hold per cell.
+GATED = {
+    "fidelity_min": "fidelity",
+    "kappa_min": "kappa",
+    "coverage_min_cell_fill": "min_cell_fill",
+    "balance_tolerance": "balance_max_deviation",
+    "distinct_n_min": "distinct_2",
+    "self_bleu_max": "self_bleu",
+    "semantic_diversity_min": "cluster_entropy",
+    "residual_error_max": "residual_error",
+    "governance_violations_max": "governance_violations",
+    "overlap_max": "overlap_max",
+    "cost_per_record_max": "cost_per_record",
+}
 UPPER = {"balance_tolerance", "self_bleu_max", "residual_error_max", "governance_violations_max", "overlap_max", "cost_per_record_max"}
 PER_CELL = {"fidelity_min", "coverage_min_cell_fill", "balance_tolerance", "residual_error_max", "governance_violations_max", "overlap_max"}
 GOVERNANCE = "governance_violations_max"
+#: Sources of overlap that are gated.
+OVERLAP_SOURCES = ("seed", "held_out")
+
+
+class GateError(ValueError):
+    """The gate was asked for what it must not do."""
+
+
+def gate_values(metrics: DataFrame) -> DataFrame:
+    """``cell_id, metric, value`` of a report, under the names of thresholds."""
+    return unpivot(metrics.select("cell_id", *[F.col(m).alias(t) for t, m in GATED.items() if m in metrics.columns]), [t for t, m in GATED.items() if m in metrics.columns])
 
 
 def gate(values: DataFrame, thresholds: dict[str, float | None], waive: tuple[str, ...] = ()) -> DataFrame:
-    """``cell_id, metric, value, threshold, reason, waived`` of every failed threshold over ``values`` (cell_id, metric, value; null cell: overall).
+    """``cell_id, metric, value, threshold, reason`` of every failed threshold over ``values`` (cell_id, metric, value; null
+    cell: overall). An empty result is a pass; reason ``governance`` fails hard.
 
-    An unmeasured metric fails as ``not_measured``; bounds are inclusive. Governance has the limit 0 even where unset, is
-    never measured away by null, and can't be waived. An unset threshold holds nothing."""
+    Bounds are inclusive, unset thresholds hold nothing. Overall, an unmeasured metric fails as ``not_measured`` unless it
+    is waived; a waived metric that was measured is held all the same. In a cell an unmeasured one is left to the whole.
+    Governance has the limit 0 whatever is set, must be measured in every cell, and can't be waived."""
     if GOVERNANCE in waive:
-        raise ValueError("governance can't be waived")
+        raise GateError("governance can't be waived")
+    if unknown := (set(waive) | set(thresholds)) - set(GATED):
+        raise GateError(f"unknown thresholds: {sorted(unknown)}")
     known = {k: v for k, v in thresholds.items() if v is not None} | {GOVERNANCE: 0.0}
     limits = values.sparkSession.createDataFrame([(k, float(v), k in UPPER, k in PER_CELL, k in waive) for k, v in known.items()], "metric string, threshold double, upper boolean, per_cell boolean, waived boolean")
     cells = values.select("cell_id").distinct()
-    wanted = cells.crossJoin(F.broadcast(limits)).filter("cell_id is null or per_cell")
+    wanted = cells.join(F.broadcast(limits), F.col("cell_id").isNull() | F.col("per_cell"))
     v = values.select(F.col("cell_id").alias("c"), F.col("metric").alias("m"), "value")
     joined = wanted.join(v, F.col("cell_id").eqNullSafe(F.col("c")) & (F.col("metric") == F.col("m")), "left")
-    bad = F.when(F.col("metric") == GOVERNANCE, F.when(F.col("value").isNull() | (F.col("value") > F.col("threshold")), "governance")).when(F.col("value").isNull(), "not_measured").when(F.col("upper") & (F.col("value") > F.col("threshold")), "above_max").when(~F.col("upper") & (F.col("value") < F.col("threshold")), "below_min")
-    return joined.withColumn("reason", bad).filter("reason is not null").select("cell_id", "metric", "value", "threshold", "reason", "waived")
+    missing = F.when(F.col("cell_id").isNull() & ~F.col("waived"), "not_measured")
+    bad = (
+        F.when(F.col("metric") == GOVERNANCE, F.when(F.col("value").isNull() | (F.col("value") > F.col("threshold")), "governance"))
+        .when(F.col("value").isNull(), missing)
+        .when(F.col("upper") & (F.col("value") > F.col("threshold")), "above_max")
+        .when(~F.col("upper") & (F.col("value") < F.col("threshold")), "below_min")
+    )
+    return joined.withColumn("reason", bad).filter("reason is not null").select("cell_id", "metric", "value", "threshold", "reason")
 
 
 def unpivot(metrics: DataFrame, names: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,38 +12,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.session import arrow_map, cut, spread
+from granary.session import arrow_map, cut, spread, staged
 
-#: Most items of the small side of :func:`best_match`.
+#: Items that are held against the texts in one pass; a larger collection takes several passes.
 MAX_ITEMS = 50_000
+#: Counters of the sketch of shingle frequencies, whatever the size of a collection.
+COUNTERS = 1 << 20
+#: Shingles that two near sets must share among their rarest.
+SHARED = 12
 
 
-def _py_normalise(t: str) -> str:
-    import re
-
-    return " ".join(re.findall(r"\w+", t.casefold()))
+def _normalised_shingles(t: str, k: int) -> set[str]:
+    """What :func:`granary.functions.text.shingles` gives for a normalised text, for items that are on the driver."""
+    n = " ".join(re.findall(r"\w+", t.casefold()))
+    return set() if not n else {n} if len(n) <= k else {n[i : i + k] for i in range(len(n) - k + 1)}
 
 
-def _py_shingles(t: str, k: int) -> set[str]:
-    n = _py_normalise(t)
-    return set() if not n else {n} if len(n) <= k else {n[i : i + k] for i in range(len(n) - k + 1)}
+def _passes(items: DataFrame, columns: list[str], key: str) -> Iterator[list]:
+    """The rows of ``items`` in parts of some MAX_ITEMS, by hash of the key; in one part if they are no more."""
+    some = items.select(*columns)
+    n = some.count()
+    parts = -(-n // MAX_ITEMS)
+    for p in range(parts):
+        yield (some if parts == 1 else some.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == p)).collect()
 
 
 def best_match(texts: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     """``id, item_id, score``: of each text (id, text) the item (item_id, text) of highest Jaccard similarity.
 
     Ties go to the smallest item id. Texts that share no shingle with any item, or are null or empty, have no row. The
-    items are the query set of a held-out or seed collection, at most MAX_ITEMS; they are sent to executors once as an
-    inverted index, and each text is scored against all of them in one pass without a shuffle.
+    items are the query set of a held-out or seed collection; they go to executors as an inverted index, in passes of
+    MAX_ITEMS, and each text is scored against all of a pass at a time, without a shuffle but for joining several passes.
     """
-    rows = items.select("item_id", "text").filter("text is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError("the item collection is too large to send to executors")
-    rows = sorted((r["item_id"], _py_shingles(r["text"], k)) for r in rows)
-    ids = [i for i, _ in rows]
-    sizes = np.array([len(s) for _, s in rows], dtype=np.int64)
+    kind, item_kind = dict(texts.dtypes)["id"], dict(items.dtypes)["item_id"]
+    schema = f"id {kind}, item_id {item_kind}, score double"
+    found = None
+    for rows in _passes(items.filter("text is not null"), ["item_id", "text"], "item_id"):
+        one = arrow_map(spread(texts.select("id", "text")), _against(rows, k), schema)
+        found = one if found is None else found.unionByName(one)
+        several = found is not one
+    if found is None:
+        return texts.sparkSession.createDataFrame([], schema)
+    if several:
+        best = F.min(F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("item_id")))
+        found = found.groupBy("id").agg(best.alias("b")).select("id", "b.item_id", (-F.col("b.s")).alias("score"))
+    return found
+
+
+def _against(rows: list, k: int):
+    sets = sorted((r["item_id"], _normalised_shingles(r["text"], k)) for r in rows)
+    ids = [i for i, _ in sets]
+    sizes = np.array([len(s) for _, s in sets], dtype=np.int64)
     postings: dict[str, list[int]] = {}
-    for j, (_, s) in enumerate(rows):
+    for j, (_, s) in enumerate(sets):
         for g in s:
             postings.setdefault(g, []).append(j)
     index = {g: np.array(p, dtype=np.int32) for g, p in postings.items()}
@@ -50,7 +73,7 @@ def best_match(texts: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = _py_shingles(t, k) if t else set()
+                own = _normalised_shingles(t, k) if t else set()
                 hits = [index[g] for g in own if g in index]
                 if not hits:
                     continue
@@ -58,15 +81,15 @@ def best_match(texts: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
                 score = common / (len(own) + sizes - common)
                 j = int(score.argmax())
                 out.append((i, ids[j], float(score[j])))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.schema.field(0).type), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["id", "item_id", "score"])
+            kind = pa.string() if ids and isinstance(ids[0], str) else pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.schema.field(0).type), pa.array([o[1] for o in out], kind), pa.array([o[2] for o in out], pa.float64())], ["id", "item_id", "score"])
 
-    kind = dict(texts.dtypes)["id"]
-    return arrow_map(spread(texts.select("id", "text")), run, f"id {kind}, item_id bigint, score double")
+    return run
 
 
 def classes(texts: DataFrame, k: int = 5) -> DataFrame:
-    """``id, class_id, pos``: records of equal normalised text share a class, named by its smallest id."""
-    keyed = texts.select("id", F.sha2(T.normalise(F.col("text")), 256).alias("digest")).filter("digest is not null")
+    """``id, class_id``: records of equal normalised text share a class, named by its smallest id."""
+    keyed = cut(texts.select("id", F.sha2(T.normalise(F.col("text")), 256).alias("digest"))).filter("digest is not null")
     first = keyed.groupBy("digest").agg(F.min("id").alias("class_id"))
     return keyed.join(first, "digest").select("id", "class_id")
 
@@ -74,23 +97,72 @@ def classes(texts: DataFrame, k: int = 5) -> DataFrame:
 def similarity_join(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """``a, b, score``: all pairs a < b of different texts (id, text) whose Jaccard similarity exceeds ``threshold``.
 
-    Prefix filter: with shingles ordered by frequency over the collection, two sets over the threshold share one of
-    their first size - ceil(threshold x size) + 1 shingles. Candidates come from an equi-join on these rare shingles,
-    are cut by the size ratio, and are then checked exactly. Give it class representatives, not copies.
+    Prefix filter: in any order of all shingles, two sets over the threshold share n of their first
+    size - ceil(threshold x size) + n, for any n; n is SHARED, or less for small sets. The order is by a sketch of their frequencies, rare ones first, so that shingles are
+    ordered where they are and only prefixes are shuffled. Candidates come from an equi-join on these, which is counted by pair,
+    are cut by the size ratio, and are then checked exactly. Give it class representatives, not copies: a family of n different near texts has
+    up to n x n links, which are the result.
     """
-    sets = cut(spread(texts.select("id", "text")).select("id", F.array_distinct(F.transform(T.shingles(T.normalise(F.col("text")), k), lambda g: F.xxhash64(g))).alias("s")).filter(F.size("s") > 0))
-    grams = sets.select("id", F.size("s").alias("size"), F.explode("s").alias("g"))
-    often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(often, "g").filter("df > 1 or size > 0")
-    w = Window.partitionBy("id").orderBy("df", "g")
-    prefix = ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).filter("df > 1").select("id", "size", "g")
+    plain = spread(texts.select("id", "text")).select("id", T.normalise(F.col("text")).alias("t")).filter("t <> ''")
+    sets = staged(arrow_map(plain, _hashed_shingles(k), f"id {dict(texts.dtypes)['id']}, s array<bigint>"), "shingles")
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for r in sets.select(F.explode("s").alias("g")).groupBy(F.pmod("g", F.lit(COUNTERS)).alias("c")).count().collect():  # COUNTERS rows at most
+        counts[r["c"]] = r["count"]
+    prefix = arrow_map(sets.select("id", "s"), _prefixes(counts, threshold), f"id {dict(texts.dtypes)['id']}, size int, need int, g bigint")
     x, y = prefix.alias("x"), prefix.alias("y")
-    candidates = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).filter(F.least("x.size", "y.size") > threshold * F.greatest("x.size", "y.size")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    candidates = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).filter(F.least("x.size", "y.size") > threshold * F.greatest("x.size", "y.size")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.need", "y.need")).alias("need")).filter("n >= need").select("a", "b")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
     return candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", (common / (F.size("s_a") + F.size("s_b") - common)).alias("score")).filter(F.col("score") > threshold)
 
 
+def _hashed_shingles(k: int):
+    """Sorted 64-bit hashes of each text's distinct k-grams; a text of k characters or fewer is one gram."""
+    powers = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+                c = (c + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                c ^= c >> np.uint64(29)
+                n = max(1, len(c) - k + 1)
+                h = np.zeros(n, dtype=np.uint64)
+                for j in range(min(k, len(c))):
+                    h += c[j : j + n] * powers[j]
+                h ^= h >> np.uint64(32)
+                out.append(np.unique((h * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)))
+            flat = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+            at = np.cumsum([0, *map(len, out)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["id", "s"])
+
+    return run
+
+
+def _prefixes(counts: np.ndarray, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sets = b.column(0), b.column(1)
+            at, flat = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False)
+            rows, sizes, needs, grams = [], [], [], []
+            for k in range(len(b)):
+                s = flat[at[k] : at[k + 1]]
+                often = counts[s % COUNTERS]
+                least = math.ceil(len(s) * threshold - 1e-9)
+                need = min(SHARED, least)
+                first = s[np.lexsort((s, often))[: len(s) - least + need]]
+                first = first[counts[first % COUNTERS] > 1]  # a shingle that no other text has joins nothing
+                rows.append(np.full(len(first), k))
+                sizes.append(np.full(len(first), len(s)))
+                needs.append(np.full(len(first), need))
+                grams.append(first)
+            if rows:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(needs), pa.int32()), pa.array(np.concatenate(grams), pa.int64())], ["id", "size", "need", "g"])
+
+    return run
+
+
 def near_duplicates(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """``id, class_id, links``: one row per record with text: the class of its exact copies, and how many other classes are near."""
     own = cut(classes(texts, k))
@@ -126,31 +198,44 @@ def overlap_layer(records: DataFrame, held_out: DataFrame, seeds: DataFrame, lim
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, top: int = 1) -> DataFrame:
     """``query_id, vec_id, cosine, rank``: nearest vectors (vec_id, embedding) of each query (vec_id, embedding) but itself.
 
-    The queries are a stated set that goes to executors, at most MAX_ITEMS; each task keeps its ``top`` best per query,
+    The queries are a stated set that goes to executors in passes of MAX_ITEMS; each batch keeps its ``top`` best per query,
     and only those are shuffled. Vectors without length match nothing; ties go to the smaller id.
     """
-    q = queries.select("vec_id", "embedding").filter("embedding is not null").limit(MAX_ITEMS + 1).collect()
-    if len(q) > MAX_ITEMS:
-        raise ValueError("the query set is too large to send to executors")
-    q = [(r[0], np.array(r[1], dtype=np.float64)) for r in q]
+    schema = "query_id bigint, vec_id bigint, cosine double"
+    found = None
+    for rows in _passes(queries.filter("embedding is not null"), ["vec_id", "embedding"], "vec_id"):
+        one = arrow_map(vectors.select("vec_id", "embedding"), _nearest(rows, top), schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
+    w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def _nearest(rows: list, top: int):
+    q = [(r["vec_id"], np.array(r["embedding"], dtype=np.float64)) for r in rows]
     q = [(i, v / n) for i, v in q if (n := float(np.linalg.norm(v))) > 0]
-    ids = [i for i, _ in q]
+    ids = np.array([i for i, _ in q], dtype=np.int64)
     mat = np.array([v for _, v in q]).reshape(len(q), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if v]
-            out: list[tuple] = []
-            if rows and ids:
+            out: list[tuple[np.ndarray, ...]] = []
+            if rows and len(ids):
                 x = np.array([v for _, v in rows], dtype=np.float64)
                 n = np.linalg.norm(x, axis=1)
-                keep = n > 0
-                x, own = x[keep] / n[keep][:, None], np.array([i for i, _ in rows])[keep]
-                c = mat @ x.T
-                for j, qid in enumerate(ids):
-                    order = np.lexsort((own, -c[j]))
-                    out += [(qid, int(own[o]), float(c[j][o])) for o in order[: top + 1] if own[o] != qid][:top]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "cosine"])
-
-    w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
-    return arrow_map(vectors.select("vec_id", "embedding"), run, "query_id bigint, vec_id bigint, cosine double").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+                x, own = x[n > 0] / n[n > 0][:, None], np.array([i for i, _ in rows], dtype=np.int64)[n > 0]
+                for a in range(0, len(ids), 1024):  # bounds the product's memory
+                    c = mat[a : a + 1024] @ x.T
+                    for j, row in enumerate(c):
+                        row[own == ids[a + j]] = -np.inf
+                        k = min(top, len(row))
+                        least = np.partition(row, len(row) - k)[len(row) - k] if k else np.inf
+                        near = np.flatnonzero((row >= least) & np.isfinite(row))  # with ties at the last place
+                        near = near[np.lexsort((own[near], -row[near]))[:top]]
+                        out.append((np.full(len(near), ids[a + j]), own[near], row[near]))
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "cosine"])
+
+    return run

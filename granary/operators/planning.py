@@ -6,9 +6,11 @@ import json
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.session import numbered
+
 #: The levels of the cognitive axis, lowest first.
 BLOOM = ["Remember", "Understand", "Apply", "Analyze", "Evaluate", "Create"]
 
@@ -57,18 +59,32 @@ def cross(spark: SparkSession, axes: list[Axis]) -> DataFrame:
 def apportion(cells: DataFrame, total: int, share: str = "share", order: str = "pos", by: list[str] | None = None) -> DataFrame:
     """Adds ``quota``: whole numbers that sum to ``total`` (in each group of ``by``), by largest remainder, ties in plan order."""
     by = by or []
-    all_ = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    exact = F.col(share) / F.sum(share).over(all_) * total
-    df = cells.withColumn("_exact", exact).withColumn("_floor", F.floor(F.round("_exact", 9)))
-    rank = F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.round(F.col("_exact") - F.col("_floor"), 9).desc(), order))
-    left = F.lit(total) - F.sum("_floor").over(all_)
-    return df.withColumn("quota", (F.col("_floor") + (rank <= left).cast("bigint")).cast("bigint")).drop("_exact", "_floor")
+    sums = cells.groupBy(*by).agg(F.sum(share).alias("_sum"))
+    df = cells.join(F.broadcast(sums), by) if by else cells.crossJoin(F.broadcast(sums))  # a row per group of a plan
+    df = df.withColumn("_exact", F.col(share) / F.col("_sum") * total).withColumn("_floor", F.floor(F.round("_exact", 9)))
+    rest = F.round(F.col("_exact") - F.col("_floor"), 9).desc()
+    if by:
+        df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(rest, order)))
+    else:
+        df = numbered(df, rest, order, name="_rank").withColumn("_rank", F.col("_rank") + 1)
+    floors = df.groupBy(*by).agg(F.sum("_floor").alias("_floors"))
+    df = df.join(F.broadcast(floors), by) if by else df.crossJoin(F.broadcast(floors))
+    return df.withColumn("quota", (F.col("_floor") + (F.col("_rank") <= F.lit(total) - F.col("_floors")).cast("bigint")).cast("bigint")).drop("_sum", "_exact", "_floor", "_rank", "_floors")
+
+
+class PlanError(ValueError):
+    """A plan whose targets no valid cell can fill."""
 
 
 def fit_shares(cells: list[dict], targets: dict[str, dict[str, float]], rounds: int = 200, close: float = 1e-12) -> list[float]:
     """Shares of kept cells scaled, axis by axis, until each balanced axis has its target marginals (iterative proportional
-    fitting); an unlisted value has target 0. A plan's cells are few, so this runs on the driver."""
+    fitting); an unlisted value has target 0, and a target that no cell with a share can fill raises. A plan's cells are few,
+    so this runs on the driver."""
     share = [c["share"] for c in cells]
+    for axis, want in targets.items():
+        for v, t in want.items():
+            if t > 0 and sum(s for c, s in zip(cells, share) if c["params"].get(axis) == v) <= 0:
+                raise PlanError(f"{axis}: {v!r} has the target {t}, but no valid cell")
     total = sum(share)
     share = [s / total for s in share] if total else share
     for _ in range(rounds):
@@ -98,16 +114,83 @@ def filter_valid(cells: list[dict], constraint) -> tuple[list[dict], list[dict]]
 
 
 def label_counts(cells: DataFrame, axis: str) -> DataFrame:
-    """``value, quota``: planned records by value of an axis."""
-    return cells.select(F.col("params")[axis].alias("value"), "quota").groupBy("value").agg(F.sum("quota").alias("quota"))
+    """``value, quota``: planned records by value of an axis, cells that lack the axis under null."""
+    return cells.select(F.try_element_at("params", F.lit(axis)).alias("value"), "quota").groupBy("value").agg(F.sum("quota").alias("quota"))
 
 
 def schedule(cells: DataFrame) -> DataFrame:
     """``slot, cell_id, i``: the order in which a scheduler that always serves the cell of lowest fill, then most open slots, then
-    plan order fills all quotas when nothing is rejected. Cell i's k-th slot has the key (k / quota, k - quota, pos), so one sort gives the order."""
-    slots = cells.filter("quota > 0").select("cell_id", "pos", "quota", F.explode(F.sequence(F.lit(0), (F.col("quota") - 1).cast("int"))).alias("i"))
-    w = Window.orderBy(F.col("i") / F.col("quota"), F.col("i") - F.col("quota"), "pos")
-    return slots.select((F.row_number().over(w) - 1).alias("slot"), "cell_id", "i")
+    plan order fills all quotas when nothing is rejected. Cell i's k-th slot has the key (k / quota, k - quota, pos), so one
+    sort by ranges gives the order."""
+    slots = cells.filter("quota > 0").select("cell_id", "pos", (F.col("quota")).alias("_q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota").cast("bigint") - 1)).alias("i"))
+    slots = slots.withColumns({"_fill": F.col("i") / F.col("_q"), "_open": F.col("i") - F.col("_q")})
+    return numbered(slots, "_fill", "_open", "pos").select("slot", "cell_id", "i")
+
+
+def drawn(df: DataFrame, n: int, *keys: str, seed: str = "") -> DataFrame:
+    """A sample of exactly ``n`` rows without replacement (all, if there are fewer): those of the smallest hashes of their
+    keys, so the same however rows are partitioned; equal keys share a place in the order."""
+    return df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h", *keys).limit(n).drop("_h")
+
+
+def uniform(seed: str, *keys: Column) -> Column:
+    """A number in [0, 1) that depends on seed and keys only."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[k.cast("string") for k in keys]), 11) / float(1 << 53)
+
+
+def choose(u: Column, weights: dict[str, float]) -> Column:
+    """The value whose part of [0, total weight) holds ``u``; values of no weight are never drawn."""
+    total, upto, out = sum(weights.values()), 0.0, None
+    if total <= 0 or min(weights.values()) < 0:
+        raise PlanError("weights must be positive together, none negative")
+    some = [(v, w) for v, w in weights.items() if w > 0]
+    for v, w in some[:-1]:
+        upto += w / total
+        out = F.when(u < upto, F.lit(v)) if out is None else out.when(u < upto, F.lit(v))
+    last = F.lit(some[-1][0])
+    return last if out is None else out.otherwise(last)
+
+
+def conditional_sample(slots: DataFrame, fields: list[dict], seed: str = "0", key: str = "slot") -> DataFrame:
+    """Slots with one column per field, drawn one after the other: a field's weights may depend on what stands before it.
+
+    A field has ``name``; ``weights`` by value, or ``given`` (a column name) with ``by``: weights for each of its values; a
+    ``when`` condition (SQL) outside which it is null. A slot that has the column already keeps its value where that is
+    allowed; where it is not, or where ``given`` has a value without weights, ``valid`` is false. Draws depend on seed, slot
+    and field only, so they are the same however slots are partitioned, in one projection."""
+    out = slots.withColumn("valid", F.lit(True))
+    for f in fields:
+        name, u = f["name"], uniform(f"{seed}:{f['name']}", F.col(key))
+        if "given" in f:
+            drawn_, allowed = F.lit(None).cast("string"), F.lit(False)
+            for value, weights in f["by"].items():
+                hit = F.col(f["given"]).cast("string").eqNullSafe(F.lit(value))
+                drawn_ = F.when(hit, choose(u, weights)).otherwise(drawn_)
+                if name in slots.columns:
+                    allowed = F.when(hit, F.col(name).isin([v for v, w in weights.items() if w > 0])).otherwise(allowed)
+        else:
+            drawn_ = choose(u, f["weights"])
+            allowed = F.col(name).isin([v for v, w in f["weights"].items() if w > 0]) if name in slots.columns else None
+        on = F.expr(f["when"]) if "when" in f else F.lit(True)
+        if name in slots.columns:
+            out = out.withColumn("valid", F.col("valid") & (~on | F.col(name).isNull() | F.coalesce(allowed, F.lit(False))))
+            drawn_ = F.coalesce(F.col(name), drawn_)
+        value = F.when(F.coalesce(on, F.lit(False)), drawn_)
+        out = out.withColumn(name, value).withColumn("valid", F.col("valid") & (~F.coalesce(on, F.lit(False)) | F.col(name).isNotNull()))
+    return out
+
+
+def build_plan(spark: SparkSession, spec: dict, target: int, found: list[str] = (), constraint=None) -> tuple[DataFrame, list[dict]]:
+    """Cells with quotas (cell_id, pos, params, share, quota) of a spec's axes and balance, and the cells that a constraint
+    dropped, with reasons: cross, filter, fit shares, apportion."""
+    axes = resolve_axes(spec["axes"], found)
+    cells = [{"cell_id": r["cell_id"], "pos": r["pos"], "params": dict(r["params"]), "share": r["share"]} for r in cross(spark, axes).orderBy("pos").collect()]
+    kept, dropped = filter_valid(cells, constraint) if constraint else (cells, [])
+    if not kept:
+        raise PlanError("no combination of the axes is valid")
+    shares = fit_shares(kept, spec.get("balance", {}))
+    rows = [(c["cell_id"], k, c["params"], float(s)) for k, (c, s) in enumerate(zip(kept, shares))]
+    return apportion(spark.createDataFrame(rows, "cell_id string, pos int, params map<string,string>, share double"), target), dropped
 
 
 def candidates(slots: DataFrame, run_seed: int) -> DataFrame:

@@ -10,41 +10,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.session import cut, staged
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame  #: term, id, tf
-    lengths: DataFrame  #: id, dl
+    """Staged tables: an index is made once and serves any number of searches."""
+
+    postings: DataFrame  #: term, id, tf, dl
     terms: DataFrame  #: term, df, idf
-    average: DataFrame  #: avgdl, one row
+    average: float  #: mean length of a document, those without words included
+
+
+#: Most query terms that are sent to every task; with more, postings are joined by shuffle.
+MAX_TERMS = 100_000
 
 
 def build_index(docs: DataFrame, epsilon: float = 0.25) -> Bm25Index:
     """Index of ``docs`` (id, text). Documents without words have length 0 and no postings; idf is
-    ln(N - df + 0.5) - ln(df + 0.5), and negative values become epsilon x the mean idf, negatives included."""
-    words = docs.select("id", F.coalesce(T.tokens(F.col("text"), folded=False), F.array().cast("array<string>")).alias("w"))
-    lengths = words.select("id", F.size("w").alias("dl"))
-    postings = words.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, lengths, terms, lengths.agg(F.avg("dl").alias("avgdl")))
+    ln(N - df + 0.5) - ln(df + 0.5), and negative values become epsilon x the mean idf, negatives included.
+
+    Texts are read into words once; all else is counted from the staged postings."""
+    words = docs.select("id", T.tokens(F.col("text"), folded=False).alias("w")).filter(F.size("w") > 0)
+    counted = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    postings = staged(counted.select("term", "id", "tf", "dl"), "postings")
+    n = docs.count()
+    average = (postings.agg(F.sum("tf")).first()[0] or 0) / n if n else 0.0
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = cut(df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).first()[0]
+    return Bm25Index(postings, raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * (mean or 0.0))).otherwise(F.col("raw")).alias("idf")), average)
 
 
 def search(index: Bm25Index, queries: DataFrame, top: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``query_id, id, score, rank``: best documents of each query (query_id, text).
 
-    A term repeated in a query scores again. Documents that share no term are no hits; ties go to the smaller id.
-    Scores are summed per query and document before the ranking, which then holds hits only.
+    A term repeated in a query scores again. Documents that share no term are no hits; ties go to the smaller id. Query
+    terms, with their idf, go to the postings if they are at most MAX_TERMS; each task keeps its best per query.
     """
     terms = queries.select("query_id", F.explode(T.tokens(F.col("text"), folded=False)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    scored = (
-        index.postings.join(terms, "term").join(index.terms.select("term", "idf"), "term").join(index.lengths, "id").crossJoin(F.broadcast(index.average))
-        .withColumn("part", F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-        .groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-    )
+    weighted = cut(terms.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")))
+    few = weighted.count() <= MAX_TERMS
+    hits = index.postings.join(F.broadcast(weighted) if few else weighted, "term")
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.average)))
+    scored = hits.select("query_id", "id", part.alias("part")).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

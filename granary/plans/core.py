@@ -8,6 +8,8 @@ from granary.functions import scanners as S
 from granary.functions import text as T
 from granary.operators import diversity, governance, judging, metrics, overlap, planning, retrieval, validate
 from granary.plans.registry import register
+from granary.session import numbered
+from granary.sources import store
 from granary.sources.tables import table
 
 _NORM = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
@@ -53,13 +55,32 @@ def f9(spark, d):
     return table(spark, d, "seed_questions").filter("keyword is not null").groupBy(T.keyword(F.col("keyword")).alias("keyword")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("f11_excerpts", "SELECT seed_id, rtrim(substring(trim(regexp_replace(question, '[ \\t\\n\\r]+', ' ', 'g')), 1, 80), ' ') AS excerpt FROM seed_questions WHERE question IS NOT NULL AND regexp_matches(question, '^[\\x00-\\x7F]*$')")
+@register("f11_excerpts", "SELECT seed_id, rtrim(substring(trim(regexp_replace(question, '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'), ' '), 1, 80), ' ') AS excerpt FROM seed_questions WHERE question IS NOT NULL")
 def f11(spark, d):
-    """Excerpts of all questions; the SQL has those in ASCII only, and is the same on these."""
     return table(spark, d, "seed_questions").filter("question is not null").select("seed_id", T.excerpt(F.col("question"), 80).alias("excerpt"))
 
 
-@register("f16_choice_answers", """SELECT seed_id, coalesce(nullif(regexp_extract(response, '[Aa]nswer:\\s*([A-D])', 1), ''), nullif(regexp_extract(response, '(?:^|[^A-Za-z0-9_])([A-D])(?:$|[^A-Za-z0-9_])', 1), '')) AS answer FROM seed_questions WHERE response IS NOT NULL""")
+_NUMBERS = "regexp_extract_all({0}, '[-+]?\\d[\\d,]*\\.?\\d*')"
+
+
+@register("f15_numeric_answers", f"""WITH t AS (SELECT seed_id, regexp_extract_all(response, '[Ff]inal [Aa]nswer:?\\s*([^\\n]+)', 1) AS tails, {_NUMBERS.format('response')} AS numbers, response FROM seed_questions WHERE response IS NOT NULL), x AS (SELECT seed_id, tails[-1] AS tail, numbers FROM t)
+SELECT seed_id, replace(CASE WHEN tail IS NOT NULL AND tail <> '' THEN coalesce({_NUMBERS.format('tail')}[1], trim(tail)) ELSE numbers[-1] END, ',', '') AS answer FROM x""")
+def f15(spark, d):
+    return table(spark, d, "seed_questions").filter("response is not null").select("seed_id", T.numeric_answer(F.col("response")).alias("answer"))
+
+
+@register("f14_boxed_answers", """WITH t AS (SELECT seed_id, replace(response, ',', '') AS r FROM seed_questions WHERE response IS NOT NULL)
+SELECT seed_id, coalesce(trim(regexp_extract_all(r, '\\\\boxed\\{(.*?)\\}', 1)[-1]), trim(regexp_extract_all(r, '(?i)final answer is:?\\s*(.*)', 1)[-1]), regexp_extract_all(r, '[-+]?\\d*\\.?\\d+')[-1]) AS answer FROM t""")
+def f14(spark, d):
+    return table(spark, d, "seed_questions").filter("response is not null").select("seed_id", T.boxed_answer(F.col("response")).alias("answer"))
+
+
+@register("f17_yes_no_maybe", """SELECT seed_id, coalesce(lower(nullif(regexp_extract(response, '(?i)answer:\\s*(yes|no|maybe)', 1), '')), CASE WHEN starts_with(lower(trim(response)), 'yes') THEN 'yes' WHEN starts_with(lower(trim(response)), 'no') THEN 'no' WHEN starts_with(lower(trim(response)), 'maybe') THEN 'maybe' END) AS answer FROM seed_questions WHERE response IS NOT NULL""")
+def f17(spark, d):
+    return table(spark, d, "seed_questions").filter("response is not null").select("seed_id", T.yes_no_maybe(F.col("response")).alias("answer"))
+
+
+@register("f16_choice_answers", """SELECT seed_id, coalesce(nullif(regexp_extract(response, '[Aa]nswer:\\s*([A-D])', 1), ''), nullif(regexp_extract(response, '(?:^|[^\\p{L}\\p{N}_])([A-D])(?:$|[^\\p{L}\\p{N}_])', 1), '')) AS answer FROM seed_questions WHERE response IS NOT NULL""")
 def f16(spark, d):
     return table(spark, d, "seed_questions").filter("response is not null").select("seed_id", T.choice_answer(F.col("response")).alias("answer"))
 
@@ -72,18 +93,28 @@ def f18(spark, d):
 @register("f19_token_estimates", "SELECT source, sum(ceil(length(text) / 4.0))::BIGINT AS tokens, round(sum(ceil(length(text) / 4.0)) * 4.0 / 1e6, 9) AS cost FROM documents GROUP BY source")
 def f19(spark, d):
     t = F.sum(T.token_estimate(F.col("text")))
-    return table(spark, d, "documents").groupBy("source").agg(t.alias("tokens"), F.round(t * 4.0 / 1e6, 9).alias("cost"))
+    return table(spark, d, "documents").groupBy("source").agg(t.alias("tokens"), F.round(T.cost(t, F.lit(0), 4.0, 20.0), 9).alias("cost"))
 
 
-@register("f21_record_ids", "SELECT seed_id, sha256(concat(strlen(qa_key), ':', qa_key, strlen(bloom_level), ':', bloom_level)) AS record_id FROM seed_questions WHERE qa_key IS NOT NULL AND bloom_level IS NOT NULL")
+@register("f21_record_ids", "SELECT seed_id, sha256(coalesce(strlen(qa_key) || ':' || qa_key, '-:') || coalesce(strlen(bloom_level) || ':' || bloom_level, '-:')) AS record_id FROM seed_questions")
 def f21(spark, d):
-    return table(spark, d, "seed_questions").filter("qa_key is not null and bloom_level is not null").select("seed_id", T.content_id(F.col("qa_key"), F.col("bloom_level")).alias("record_id"))
+    return table(spark, d, "seed_questions").select("seed_id", T.content_id(F.col("qa_key"), F.col("bloom_level")).alias("record_id"))
 
 
-@register("p1r_record_texts", """SELECT seed_id, md5(trim(array_to_string(list_transform(messages, lambda m: m.content), chr(10)), chr(10) || ' ')) AS digest FROM seed_conversations WHERE messages IS NOT NULL""")
+@register("p1r_record_texts", """SELECT seed_id, md5(regexp_replace(array_to_string(list_filter(list_transform(messages, lambda m: m.content), lambda c: c IS NOT NULL), chr(10)), '^[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{3000}]+|[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{3000}]+$', '', 'g')) AS digest FROM seed_conversations WHERE len(list_filter(coalesce(messages, []), lambda m: m.content IS NOT NULL)) > 0""")
 def p1r(spark, d):
-    t = F.btrim(F.array_join(F.transform("messages", lambda m: m["content"]), "\n"), F.lit("\n "))
-    return table(spark, d, "seed_conversations").filter("messages is not null").select("seed_id", F.md5(t).alias("digest"))
+    """Texts of the conversations that have a message with content; of other records all public strings would be the text."""
+    c = table(spark, d, "seed_conversations").select("seed_id", "messages")
+    return c.filter(F.exists("messages", lambda m: m["content"].isNotNull())).select("seed_id", F.md5(governance.record_text(c)).alias("digest"))
+
+
+@register("p2_public_strings", """WITH s AS (SELECT seed_id, unnest([question, response, answer, keyword]) AS t FROM seed_questions UNION ALL SELECT seed_id, unnest(messages).content FROM seed_conversations UNION ALL SELECT seed_id, unnest(secondary_topics) FROM seed_conversations)
+SELECT seed_id, count(t) AS strings, sum(length(t))::BIGINT AS chars FROM s WHERE t IS NOT NULL GROUP BY seed_id""")
+def p2s(spark, d):
+    """Number and length of the public strings of every record, found by walking its schema."""
+    q = governance.explode_strings(table(spark, d, "seed_questions").select("seed_id", "question", "response", "answer", "keyword"))
+    c = governance.explode_strings(table(spark, d, "seed_conversations").select("seed_id", F.transform("messages", lambda m: F.struct(m["turn"].alias("turn"), m["content"].alias("content"))).alias("messages"), "secondary_topics"))
+    return q.unionByName(c).groupBy(F.col("id").alias("seed_id")).agg(F.count(F.lit(1)).alias("strings"), F.sum(F.length("text")).alias("chars"))
 
 
 # ---------------------------------------------------------------------------- joins and similarity
@@ -98,9 +129,13 @@ def j2(spark, d):
     return overlap.best_match(docs, table(spark, d, "held_out")).select(F.col("id").alias("doc_id"), "item_id", F.round("score", 6).alias("score"))
 
 
-@register("j3_near_duplicates")
+@register("j3_near_duplicates", f"""WITH n AS (SELECT doc_id, {norm('text')} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS class_id FROM n),
+g AS (SELECT doc_id AS id, unnest(s) AS g, len(s) AS n FROM (SELECT doc_id, CASE WHEN t = '' THEN [] WHEN len(l) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, len(l) - 3), lambda i: l[i] || l[i+1] || l[i+2] || l[i+3] || l[i+4])) END AS s FROM (SELECT doc_id, t, string_split(t, '') AS l FROM c WHERE doc_id = class_id))),
+p AS (SELECT a.id AS a, b.id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM g a JOIN g b ON a.g = b.g AND a.id < b.id AND least(a.n, b.n) > 0.8 * greatest(a.n, b.n) GROUP BY a.id, b.id),
+l AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM p WHERE score > 0.8 UNION ALL SELECT b FROM p WHERE score > 0.8) GROUP BY id)
+SELECT doc_id AS id, class_id, coalesce(links, 0)::BIGINT AS links FROM c LEFT JOIN l ON l.id = c.class_id""")
 def j3(spark, d):
-    """Class of exact copies and number of near classes of every document; held against brute force in tests."""
+    """Class of exact copies and number of near classes of every document."""
     return overlap.near_duplicates(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
@@ -114,13 +149,16 @@ def j4(spark, d):
 
 @register("j7_records_by_cell", """SELECT c.task, c.cell_id, count(q.seed_id) AS n FROM coverage_cells c LEFT JOIN seed_questions q ON q.cell_id = c.cell_id GROUP BY ALL""")
 def j7(spark, d):
-    q = table(spark, d, "seed_questions").groupBy("cell_id").agg(F.count("seed_id").alias("n"))
-    return table(spark, d, "coverage_cells").select("task", "cell_id").join(q, "cell_id", "left").select("task", "cell_id", F.coalesce("n", F.lit(0)).alias("n"))
+    cells = table(spark, d, "coverage_cells")
+    return metrics.coverage(cells, table(spark, d, "seed_questions")).join(cells.select("cell_id", "task"), "cell_id").select("task", "cell_id", F.col("accepted").alias("n"))
 
 
-@register("j6_pending", """SELECT q.seed_id FROM seed_questions q WHERE NOT EXISTS (SELECT 1 FROM ballots b WHERE b.record_id = q.seed_id)""")
+@register("j6_pending", """SELECT q.seed_id FROM seed_questions q WHERE NOT EXISTS (SELECT 1 FROM ballots b WHERE b.record_id = q.seed_id AND b.vote = q.answer)""")
 def j6(spark, d):
-    return table(spark, d, "seed_questions").select("seed_id").join(table(spark, d, "ballots").select(F.col("record_id").alias("seed_id")), "seed_id", "left_anti")
+    """Questions whose answer nobody voted for, as items that wait for a decision."""
+    items = table(spark, d, "seed_questions").select(F.col("seed_id").alias("item_id"), "answer")
+    right = items.join(table(spark, d, "ballots").select(F.col("record_id").alias("item_id"), "vote"), "item_id").filter(F.col("vote") == F.col("answer"))
+    return store.pending(items, right).select(F.col("item_id").alias("seed_id"))
 
 
 @register("j11_span_issues", """WITH s AS (SELECT seed_id, messages, unnest(spans) AS s FROM seed_conversations), x AS (SELECT seed_id, list_filter(messages, lambda m: m.turn = s.turn) AS same, s FROM s)
@@ -163,10 +201,15 @@ def a1b(spark, d):
     return diversity.distinct_n(table(spark, d, "seed_questions").select(F.col("response").alias("text")), 2).select(F.round("distinct_2", 6).alias("distinct_2"))
 
 
-@register("a2_self_bleu")
+@register("a2_self_bleu", f"""WITH w AS (SELECT seed_id AS id, {words('response')} AS w FROM seed_questions WHERE response IS NOT NULL), k AS (SELECT id, w, len(w) AS len FROM w WHERE len(w) > 0),
+g AS (SELECT id, n, unnest(list_transform(range(1, len - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS g FROM k, range(1, 5) r(n) WHERE len >= n), c AS (SELECT id, n, g, count(*) AS c FROM g GROUP BY ALL),
+o AS (SELECT n, g, id, c, coalesce(max(c) OVER (PARTITION BY n, g ORDER BY c DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(max(c) OVER (PARTITION BY n, g ORDER BY c DESC, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after FROM c),
+p AS (SELECT id, n, sum(least(c, greatest(before, after))) AS hit, sum(c) AS total FROM o GROUP BY id, n), q AS (SELECT id, avg(ln(CASE WHEN hit = 0 THEN 0.1 ELSE hit END / total)) AS lp FROM p GROUP BY id),
+s AS (SELECT len, count(*) AS m, lag(len) OVER (ORDER BY len) AS low, lead(len) OVER (ORDER BY len) AS high FROM k GROUP BY len), r AS (SELECT len, CASE WHEN m > 1 THEN len WHEN low IS NULL THEN high WHEN high IS NULL THEN low WHEN len - low <= high - len THEN low ELSE high END AS ref FROM s)
+SELECT round(avg(exp(lp + CASE WHEN len >= ref THEN 0 ELSE 1 - ref / len END)), 6) AS self_bleu FROM q JOIN k USING (id) JOIN r USING (len)""")
 def a2(spark, d):
-    """Self-BLEU of all responses; held against the pairwise definition in tests."""
-    return diversity.self_bleu(table(spark, d, "seed_questions").select(F.col("seed_id").alias("id"), F.col("response").alias("text")))
+    """Self-BLEU of all responses."""
+    return diversity.self_bleu(table(spark, d, "seed_questions").select(F.col("seed_id").alias("id"), F.col("response").alias("text"))).select(F.round("self_bleu", 6).alias("self_bleu"))
 
 
 @register("a3_cluster_entropy")
@@ -197,13 +240,13 @@ def g1e(spark, d):
 
 def _tox_sql(category: str) -> str:
     alt = "|".join(f"(?:{f})" for f in S.TOXICITY[category]).replace("'", "''")
-    return f"SELECT id, '{category}' AS category FROM m WHERE regexp_matches(t, '(?i)(?:^|[^A-Za-z0-9_''])(?:{alt})(?:$|[^A-Za-z0-9_])')"
+    return f"SELECT id, '{category}' AS category FROM m WHERE regexp_matches(t, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_''])(?:{alt})(?:$|[^\\p{{L}}\\p{{N}}_])')"
 
 
 @register("g4_toxic_messages", "WITH m AS (SELECT seed_id AS id, unnest(messages).content AS t FROM seed_conversations), f AS (" + " UNION ALL ".join(_tox_sql(c) for c in S.TOXICITY) + ") SELECT id, category, count(*) AS messages FROM f GROUP BY ALL")
 def g4(spark, d):
     t = _conversation_texts(spark, d)
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(S.toxicity_pattern(c)), F.lit(c)) for c in S.TOXICITY]))
+    hits = F.array_compact(F.array(*[F.when(S.has(F.col("text"), S.toxicity_pattern(c)), F.lit(c)) for c in S.TOXICITY]))
     return t.select("id", F.explode(hits).alias("category")).groupBy("id", "category").agg(F.count(F.lit(1)).alias("messages"))
 
 
@@ -257,14 +300,6 @@ def l2(spark, d):
     return table(spark, d, "seed_conversations").select("seed_id", F.explode(i).alias("i")).select("seed_id", F.col("i.code").alias("code"))
 
 
-@register("l_cascade", _TURNS + """, t AS (SELECT DISTINCT seed_id FROM x), s AS (SELECT seed_id, 1 AS b FROM seed_conversations WHERE label IS NULL OR messages IS NULL),
-z AS (SELECT c.seed_id, CASE WHEN s.b = 1 THEN 'schema' WHEN t.seed_id IS NOT NULL THEN 'turns' END AS layer FROM seed_conversations c LEFT JOIN s USING (seed_id) LEFT JOIN t USING (seed_id))
-SELECT layer, CASE WHEN layer IS NULL THEN 'pass' ELSE 'fail_repairable' END AS outcome, count(*) AS n FROM z GROUP BY ALL""")
-def lc(spark, d):
-    layers = [("schema", validate.schema_issues(["label", "messages"]), False), ("turns", validate.turn_issues(F.col("messages"), ["customer", "assistant"]), False)]
-    return validate.cascade(table(spark, d, "seed_conversations").select("seed_id", "label", "messages"), layers).groupBy("layer", "outcome").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("p10_escalated", "SELECT seed_id FROM seed_conversations WHERE coalesce(lower(difficulty) = 'hard', false) OR coalesce(contestable, false)")
 def p10(spark, d):
     return table(spark, d, "seed_conversations").filter(validate.escalates()).select("seed_id")
@@ -335,12 +370,21 @@ def a10(spark, d):
 # ---------------------------------------------------------------------------- planning
 
 
-@register("j1_cross_axes", """WITH k AS (SELECT DISTINCT params['keyword'] AS k FROM coverage_cells WHERE task = 'cfa'), o AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS o, count(*) OVER () AS n FROM k), b AS (SELECT * FROM (VALUES (0,'Remember'),(1,'Understand'),(2,'Apply'),(3,'Analyze'),(4,'Evaluate'),(5,'Create')) t(p, v))
-SELECT k || '|' || v AS cell_id, (o * 6 + p)::INT AS pos, round(1.0 / n / 6, 9) AS share FROM o, b""")
+@register("j1_cross_axes", """WITH v AS (SELECT DISTINCT task, p.key AS axis, p.value AS value FROM (SELECT task, unnest(map_entries(params)) AS p FROM coverage_cells)), o AS (SELECT *, row_number() OVER (PARTITION BY task, axis ORDER BY value) - 1 AS o, count(*) OVER (PARTITION BY task, axis) AS n FROM v),
+c AS (SELECT a.task, a.value || '|' || b.value AS cell_id, a.o * b.n + b.o AS pos, 1.0 / a.n / b.n AS share FROM o a JOIN o b ON a.task = 'cfa' AND b.task = 'cfa' AND a.axis = 'bloom_level' AND b.axis = 'keyword'
+UNION ALL SELECT a.task, a.value || '|' || b.value || '|' || e.value, (a.o * b.n + b.o) * e.n + e.o, 1.0 / a.n / b.n / e.n FROM o a JOIN o b ON a.task = 'fag' AND b.task = 'fag' AND a.axis = 'conversation_length' AND b.axis = 'label' JOIN o e ON e.task = 'fag' AND e.axis = 'product_scope')
+SELECT task, cell_id, pos::INT AS pos, round(share, 9) AS share FROM c""")
 def j1(spark, d):
-    found = [r[0] for r in table(spark, d, "coverage_cells").filter("task = 'cfa'").select(F.col("params")["keyword"].alias("k")).distinct().orderBy("k").limit(10_000).collect()]
-    axes = [planning.Axis("keyword", found), planning.Axis("bloom_level", planning.BLOOM)]
-    return planning.cross(spark, axes).select("cell_id", "pos", F.round("share", 9).alias("share"))
+    """All combinations of the values that the cells of each task have, axes and values in order of name."""
+    found: dict[str, dict[str, list[str]]] = {}
+    values = table(spark, d, "coverage_cells").select("task", F.explode("params").alias("axis", "value")).distinct()
+    for r in values.orderBy("task", "axis", "value").collect():  # a plan's axes are short
+        found.setdefault(r["task"], {}).setdefault(r["axis"], []).append(r["value"])
+    parts = [planning.cross(spark, [planning.Axis(a, v) for a, v in axes.items()]).select(F.lit(t).alias("task"), "cell_id", "pos", F.round("share", 9).alias("share")) for t, axes in found.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("w1_apportioned", """WITH x AS (SELECT cell_id, task, share / sum(share) OVER (PARTITION BY task) * 1000 AS e FROM coverage_cells), f AS (SELECT *, floor(round(e, 9)) AS f FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY round(e - f, 9) DESC, cell_id) AS r, 1000 - sum(f) OVER (PARTITION BY task) AS left_over FROM f)
@@ -351,17 +395,32 @@ def w1(spark, d):
 
 
 @register("w4_schedule", """WITH c AS (SELECT cell_id, quota, row_number() OVER (ORDER BY cell_id) AS pos FROM coverage_cells WHERE quota > 0), s AS (SELECT cell_id, quota, pos, unnest(range(quota)) AS i FROM c)
-SELECT (row_number() OVER (ORDER BY i / quota, i - quota, pos) - 1)::INT AS slot, cell_id, i::INT AS i FROM s""")
+SELECT (row_number() OVER (ORDER BY i / quota, i - quota, pos) - 1)::BIGINT AS slot, cell_id, i::BIGINT AS i FROM s""")
 def w4(spark, d):
-    from pyspark.sql import Window
+    return planning.schedule(numbered(table(spark, d, "coverage_cells").filter("quota > 0").select("cell_id", "quota"), "cell_id", name="pos"))
+
 
-    cells = table(spark, d, "coverage_cells").filter("quota > 0").select("cell_id", "quota", F.row_number().over(Window.orderBy("cell_id")).alias("pos"))  # a plan's cells are few
-    return planning.schedule(cells)
+@register("w7_candidate_seeds", """WITH s AS (SELECT cell_id, unnest(range(quota)) AS i FROM coverage_cells WHERE quota > 0) SELECT cell_id, i::BIGINT AS i, ('0x' || substring(sha256('7:' || cell_id || ':' || i), 1, 16))::UBIGINT::DECIMAL(20,0)::VARCHAR AS seed FROM s""")
+def w7(spark, d):
+    slots = planning.schedule(numbered(table(spark, d, "coverage_cells").filter("quota > 0").select("cell_id", "quota"), "cell_id", name="pos"))
+    return planning.candidates(slots, 7).select("cell_id", "i", F.col("seed").cast("string").alias("seed"))
 
 
-@register("a24_plan_labels", "SELECT params['bloom_level'] AS value, sum(quota)::BIGINT AS quota FROM coverage_cells WHERE task = 'cfa' GROUP BY 1")
+@register("a9_planned_targets", """WITH v AS (SELECT task, unnest(map_entries(params)) AS p, quota FROM coverage_cells), g AS (SELECT task, p.key AS axis, p.value AS value, sum(quota)::BIGINT AS quota FROM v GROUP BY ALL)
+SELECT task, axis, value, quota, round(quota / nullif(sum(quota) OVER (PARTITION BY task, axis), 0), 6) AS target FROM g""")
+def a9(spark, d):
+    return metrics.planned_targets(table(spark, d, "coverage_cells"), ["task"]).withColumn("target", F.round("target", 6))
+
+
+@register("a24_plan_labels", "SELECT params['bloom_level'] AS value, sum(quota)::BIGINT AS quota FROM coverage_cells GROUP BY 1")
 def a24(spark, d):
-    return planning.label_counts(table(spark, d, "coverage_cells").filter("task = 'cfa'"), "bloom_level")
+    return planning.label_counts(table(spark, d, "coverage_cells"), "bloom_level")
+
+
+@register("t4_sample")
+def t4(spark, d):
+    """A hundred questions drawn without replacement; held against the whole order of hashes in tests."""
+    return planning.drawn(table(spark, d, "seed_questions").select("seed_id", "qa_key"), 100, "seed_id", seed="t4")
 
 
 @register("w3_few_shot", """WITH x AS (SELECT seed_id, bloom_level, row_number() OVER (PARTITION BY bloom_level ORDER BY seed_id) AS depth, min(seed_id) OVER (PARTITION BY bloom_level) AS first FROM seed_questions WHERE bloom_level IS NOT NULL)
@@ -393,11 +452,13 @@ def a6(spark, d):
     return metrics.yields(table(spark, d, "seed_questions"), _tries(spark, d)).withColumn("yield", F.round("yield", 6))
 
 
-_COVER = """WITH h AS (SELECT cell_id, count(*) AS a FROM seed_questions GROUP BY 1), c AS (SELECT cell_id, quota, coalesce(a, 0)::BIGINT AS accepted, CASE WHEN quota = 0 THEN 1.0::DOUBLE ELSE coalesce(a, 0) / quota END AS fill, greatest(quota - coalesce(a, 0), 0)::BIGINT AS missing FROM coverage_cells LEFT JOIN h USING (cell_id) WHERE task = 'cfa')"""
+_COVER = """WITH h AS (SELECT cell_id, count(*) AS a FROM (SELECT cell_id FROM seed_questions UNION ALL SELECT cell_id FROM seed_conversations) GROUP BY 1), c AS (SELECT cell_id, quota, coalesce(a, 0)::BIGINT AS accepted, CASE WHEN quota = 0 THEN 1.0::DOUBLE ELSE coalesce(a, 0) / quota END AS fill, greatest(quota - coalesce(a, 0), 0)::BIGINT AS missing FROM coverage_cells LEFT JOIN h USING (cell_id))"""
 
 
 def _cover(spark, d):
-    return metrics.coverage(table(spark, d, "coverage_cells").filter("task = 'cfa'"), table(spark, d, "seed_questions"))
+    """Coverage of all cells of both tasks by all records of both."""
+    records = table(spark, d, "seed_questions").select("cell_id").unionByName(table(spark, d, "seed_conversations").select("cell_id"))
+    return metrics.coverage(table(spark, d, "coverage_cells"), records)
 
 
 @register("a7_coverage", _COVER + " SELECT cell_id, quota, accepted, round(fill, 6) AS fill, missing FROM c")
@@ -411,14 +472,23 @@ def a7s(spark, d):
     return s.select(*[F.round(c, 6).alias(c) for c in ("fill", "cells_at_quota", "min_cell_fill")], "short_cells")
 
 
-@register("a8_balance", """WITH t AS (SELECT params['bloom_level'] AS value, sum(quota) / (SELECT sum(quota) FROM coverage_cells WHERE task = 'cfa') AS target FROM coverage_cells WHERE task = 'cfa' GROUP BY 1), n AS (SELECT bloom_level AS value, count(*) AS n FROM seed_questions WHERE bloom_level IS NOT NULL GROUP BY 1), s AS (SELECT sum(n) AS s FROM n)
-SELECT 'bloom_level' AS axis, value, round(coalesce(target, 0.0), 6) AS target, round(coalesce(n, 0) / s, 6) AS actual, round(abs(coalesce(n, 0) / s - coalesce(target, 0.0)), 6) AS deviation FROM t FULL JOIN n USING (value), s""")
+def _balance_sql(axis: str, records: str) -> str:
+    return f"""SELECT '{axis}' AS axis, value, round(coalesce(target, 0.0), 6) AS target, round(coalesce(n, 0) / s, 6) AS actual, round(abs(coalesce(n, 0) / s - coalesce(target, 0.0)), 6) AS deviation FROM
+(SELECT params['{axis}'] AS value, sum(quota) / (SELECT sum(quota) FROM coverage_cells WHERE params['{axis}'] IS NOT NULL) AS target FROM coverage_cells WHERE params['{axis}'] IS NOT NULL GROUP BY 1) FULL JOIN (SELECT {axis} AS value, count(*) AS n FROM {records} WHERE {axis} IS NOT NULL GROUP BY 1) USING (value), (SELECT count(*) AS s FROM {records} WHERE {axis} IS NOT NULL)"""
+
+
+_BALANCED = {"bloom_level": "seed_questions", "keyword": "seed_questions", "label": "seed_conversations", "product_scope": "seed_conversations", "conversation_length": "seed_conversations"}
+
+
+@register("a8_balance", " UNION ALL ".join(_balance_sql(a, t) for a, t in _BALANCED.items()))
 def a8(spark, d):
-    cells = table(spark, d, "coverage_cells").filter("task = 'cfa'")
-    total = cells.agg(F.sum("quota").alias("all"))
-    targets = planning.label_counts(cells, "bloom_level").crossJoin(F.broadcast(total)).select("value", (F.col("quota") / F.col("all")).alias("target"))
-    b = metrics.balance(table(spark, d, "seed_questions").select(F.col("bloom_level").alias("value")), targets, "bloom_level")
-    return b.select("axis", "value", *[F.round(c, 6).alias(c) for c in ("target", "actual", "deviation")])
+    """Planned and actual shares of every axis of both tasks."""
+    targets = metrics.planned_targets(table(spark, d, "coverage_cells"))
+    parts = [metrics.balance(table(spark, d, t).select(F.col(axis).alias("value")), targets.filter(F.col("axis") == axis), axis) for axis, t in _BALANCED.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("axis", "value", *[F.round(c, 6).alias(c) for c in ("target", "actual", "deviation")])
 
 
 @register("a23_drop_counts", """SELECT CASE WHEN grouping(cell_id) = 0 THEN 'cell_layer' ELSE 'layer' END AS level, cell_id, layer, NULL::VARCHAR AS code, count(*) AS n FROM drops GROUP BY GROUPING SETS ((cell_id, layer), (layer))
@@ -427,39 +497,187 @@ def a23(spark, d):
     return metrics.drop_counts(table(spark, d, "drops"))
 
 
-@register("d14_gate", _COVER + """, v AS (SELECT cell_id, 'coverage_min_cell_fill' AS metric, fill AS value FROM c UNION ALL SELECT NULL, 'coverage_min_cell_fill', min(fill) FROM c),
-l AS (SELECT * FROM (VALUES ('coverage_min_cell_fill', 0.9), ('governance_violations_max', 0.0), ('kappa_min', 0.7)) t(metric, threshold)), k AS (SELECT DISTINCT cell_id FROM v)
-SELECT k.cell_id, l.metric, round(v.value, 6) AS value, l.threshold::DOUBLE AS threshold, CASE WHEN l.metric = 'governance_violations_max' THEN 'governance' WHEN v.value IS NULL THEN 'not_measured' ELSE 'below_min' END AS reason FROM k CROSS JOIN l LEFT JOIN v ON v.cell_id IS NOT DISTINCT FROM k.cell_id AND v.metric = l.metric
-WHERE (k.cell_id IS NULL OR l.metric <> 'kappa_min') AND (l.metric = 'governance_violations_max' OR v.value IS NULL OR v.value < l.threshold)""")
-def d14(spark, d):
-    c = _cover(spark, d)
-    per = c.select("cell_id", F.lit("coverage_min_cell_fill").alias("metric"), F.col("fill").alias("value"))
-    all_ = c.agg(F.min("fill").alias("value")).select(F.lit(None).cast("string").alias("cell_id"), F.lit("coverage_min_cell_fill").alias("metric"), "value")
-    return metrics.gate(per.unionByName(all_), {"coverage_min_cell_fill": 0.9, "kappa_min": 0.7}).select("cell_id", "metric", F.round("value", 6).alias("value"), "threshold", "reason")
+# layer results of questions: every ballot is a judgement at the first attempt
+_VOTED = """v AS (SELECT record_id, arg_max(coalesce(vote, ''), ballot_no) AS last FROM ballots GROUP BY 1), f AS (SELECT q.seed_id, q.cell_id, CASE WHEN v.record_id IS NULL THEN NULL ELSE coalesce(v.last = q.answer, false) END AS agreed FROM seed_questions q LEFT JOIN v ON v.record_id = q.seed_id)"""
 
 
-@register("a12_overlap_max")
-def a12(spark, d):
-    """Highest similarity to held-out items and other sources, over all questions."""
+def _accepted(spark, d):
+    """Questions as accepted records: their ballots, in order, are the judge's results."""
+    q = table(spark, d, "seed_questions").select(F.col("seed_id").alias("id"), "cell_id", F.col("response").alias("text"), F.col("bloom_level").alias("label"), "answer")
+    b = table(spark, d, "ballots").select(F.col("record_id").alias("id"), F.col("ballot_no").alias("n"), F.coalesce("vote", F.lit("")).alias("v")).join(q.select("id", "answer"), "id")
+    result = F.struct(F.col("n"), F.struct(F.lit("L5").alias("layer"), F.when(F.col("v") == F.col("answer"), "pass").otherwise("fail_repairable").alias("outcome"), F.lit(0).alias("attempt")).alias("r"))
+    results = b.groupBy("id").agg(F.transform(F.array_sort(F.collect_set(result)), lambda x: x["r"]).alias("layer_results"))  # a record has few ballots
+    return q.join(results, "id", "left").withColumns({"repair_count": F.lit(0), "layer_results": F.coalesce("layer_results", F.array().cast("array<struct<layer:string,outcome:string,attempt:int>>"))})
+
+
+@register("w6_last_judgement", "WITH " + _VOTED + " SELECT seed_id, agreed FROM f")
+def w6(spark, d):
+    return _accepted(spark, d).select(F.col("id").alias("seed_id"), metrics.final_judgement(F.col("layer_results"), F.col("repair_count")).alias("agreed"))
+
+
+@register("a4_fidelity", "WITH " + _VOTED + " SELECT cell_id, grouping(cell_id) = 1 AS is_total, count(agreed) AS judged, round(avg(agreed::INT), 6) AS fidelity FROM f GROUP BY GROUPING SETS ((), (cell_id))")
+def a4(spark, d):
+    judged = _accepted(spark, d).select("cell_id", metrics.final_judgement(F.col("layer_results"), F.col("repair_count")).alias("agreed"))
+    return metrics.fidelity_by_cell(judged).withColumn("fidelity", F.round("fidelity", 6)).select("cell_id", "is_total", "judged", "fidelity")
+
+
+_FLAGGED = "m AS (SELECT seed_id AS id, cell_id, unnest(messages).content AS t FROM seed_conversations), t AS (" + " UNION ALL ".join(_tox_sql(c).replace("SELECT id,", "SELECT id, cell_id,") for c in S.TOXICITY) + ")"
+
+
+def _flags(spark, d):
+    """Toxic categories of every conversation's messages, one code per message and category."""
+    hits = lambda m: F.array_compact(F.array(*[F.when(S.has(m["content"], S.toxicity_pattern(c)), F.lit(f"toxicity_{c}")) for c in S.TOXICITY]))
+    return table(spark, d, "seed_conversations").select("cell_id", F.coalesce(F.flatten(F.transform("messages", hits)), F.array().cast("array<string>")).alias("codes"))
+
+
+@register("a11_governance_violations", "WITH " + _FLAGGED + ", x AS (SELECT DISTINCT id FROM t) SELECT cell_id, grouping(cell_id) = 1 AS is_total, count(x.id) AS violations FROM seed_conversations c LEFT JOIN x ON x.id = c.seed_id GROUP BY GROUPING SETS ((), (cell_id))")
+def a11(spark, d):
+    return metrics.governance_counts(_flags(spark, d)).select("cell_id", "is_total", "violations")
+
+
+@register("a11_governance_codes", "WITH " + _FLAGGED + " SELECT cell_id, grouping(cell_id) = 1 AS is_total, 'toxicity_' || category AS code, count(*) AS n FROM t GROUP BY GROUPING SETS ((category), (cell_id, category))")
+def a11c(spark, d):
+    return metrics.governance_codes(_flags(spark, d))
+
+
+def _sets_sql(source: str) -> str:
+    return f"(SELECT id, unnest(s) AS g, len(s) AS n FROM (SELECT id, CASE WHEN t = '' THEN [] WHEN len(l) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, len(l) - 3), lambda i: l[i] || l[i+1] || l[i+2] || l[i+3] || l[i+4])) END AS s FROM (SELECT id, t, string_split(t, '') AS l FROM (SELECT id, {norm('t')} AS t FROM ({source}) WHERE t IS NOT NULL))))"
+
+
+_OVERLAPS = f"""q AS {_sets_sql('SELECT seed_id AS id, question AS t FROM seed_questions')}, h AS {_sets_sql('SELECT item_id AS id, text AS t FROM held_out')}, e AS {_sets_sql('SELECT label_id AS id, text AS t FROM abuse_labels')},
+best AS (SELECT 'held_out' AS source, id, max(score) AS score FROM (SELECT q.id AS id, h.id AS i, count(*) / (any_value(q.n) + any_value(h.n) - count(*)) AS score FROM q JOIN h USING (g) GROUP BY ALL) GROUP BY id UNION ALL SELECT 'seed', id, max(score) FROM (SELECT q.id AS id, e.id AS i, count(*) / (any_value(q.n) + any_value(e.n) - count(*)) AS score FROM q JOIN e USING (g) GROUP BY ALL) GROUP BY id)"""
+
+
+def _overlaps(spark, d):
+    """Best matches of every question among held-out items, and among the labelled texts in place of seeds."""
     q = table(spark, d, "seed_questions").select(F.col("seed_id").alias("id"), F.col("question").alias("text"))
-    return overlap.best_match(q, table(spark, d, "held_out")).agg(F.max("score").alias("overlap_max"))
+    return overlap.overlap_layer(q, table(spark, d, "held_out"), table(spark, d, "abuse_labels").select(F.col("label_id").alias("item_id"), "text"))
+
+
+@register("l4_overlap", f"WITH {_OVERLAPS} SELECT id, source, round(score, 6) AS score, CASE WHEN score > 0.8 THEN source || '_overlap' END AS code FROM best")
+def l4(spark, d):
+    return _overlaps(spark, d).select("id", "source", F.round("score", 6).alias("score"), "code")
 
 
-@register("a14_usage", """SELECT stage, count(*) AS calls, count(error) AS failed, round(avg(temperature), 6) AS temperature FROM ballots GROUP BY stage""")
+@register("a12_overlap_max", f"WITH {_OVERLAPS} SELECT cell_id, grouping(cell_id) = 1 AS is_total, source, round(max(score), 6) AS overlap FROM best JOIN seed_questions s ON s.seed_id = best.id GROUP BY GROUPING SETS ((source), (cell_id, source))")
+def a12(spark, d):
+    """Highest similarity by source, overall and per cell."""
+    cells = table(spark, d, "seed_questions").select(F.col("seed_id").alias("id"), "cell_id")
+    return metrics.overlap_maxima(_overlaps(spark, d).join(cells, "id")).withColumn("overlap", F.round("overlap", 6))
+
+
+_USAGE = "u AS (SELECT stage, ceil(coalesce(length(q.question), 0) / 4.0)::BIGINT AS i, ceil(coalesce(length(vote), 0) / 4.0)::BIGINT AS o, CASE WHEN model LIKE '%a%' THEN (ceil(coalesce(length(q.question), 0) / 4.0) * 4.0 + ceil(coalesce(length(vote), 0) / 4.0) * 20.0) / 1e6 END AS cost FROM ballots b LEFT JOIN seed_questions q ON q.seed_id = b.record_id)"
+
+
+def _usage(spark, d):
+    """A call per ballot: tokens of question and vote, priced for models with an a in their name, unpriced for others."""
+    q = table(spark, d, "seed_questions").select(F.col("seed_id").alias("record_id"), "question")
+    tokens_in, tokens_out = (T.token_estimate(F.coalesce(c, F.lit(""))) for c in ("question", "vote"))
+    b = table(spark, d, "ballots").join(q, "record_id", "left")
+    return b.select("stage", F.lit(1).alias("calls"), tokens_in.alias("input_tokens"), tokens_out.alias("output_tokens"), F.when(F.col("model").contains("a"), T.cost(tokens_in, tokens_out, 4.0, 20.0)).alias("cost"))
+
+
+@register("a14_usage", f"WITH {_USAGE} SELECT stage, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(cost), 6) AS cost FROM u GROUP BY stage")
 def a14(spark, d):
-    return table(spark, d, "ballots").groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.count("error").alias("failed"), F.round(F.avg("temperature"), 6).alias("temperature"))
+    return metrics.usage_totals(_usage(spark, d)).withColumn("cost", F.round("cost", 6))
+
+
+@register("a13_per_record", f"WITH {_USAGE}, n AS (SELECT count(*) AS n FROM seed_questions) SELECT round(sum(i + o) / any_value(n), 6) AS tokens_per_record, round(sum(cost) / any_value(n), 9) AS cost_per_record FROM u, n")
+def a13(spark, d):
+    u = metrics.usage_totals(_usage(spark, d)).agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("cost").alias("cost"))
+    n = table(spark, d, "seed_questions").agg(F.count(F.lit(1)).alias("n"))
+    return u.crossJoin(F.broadcast(n)).select(F.round(metrics.per_record(F.col("tokens"), F.col("n")), 6).alias("tokens_per_record"), F.round(metrics.per_record(F.col("cost"), F.col("n")), 9).alias("cost_per_record"))
+
+
+@register("a21_vote_agreement", """WITH v AS (SELECT b.record_id, count(*) FILTER (vote = answer) AS agree, count(vote) AS cast_votes FROM ballots b LEFT JOIN seed_questions q ON q.seed_id = b.record_id GROUP BY 1)
+SELECT record_id, agree, cast_votes, agree * 2 > cast_votes AS agrees, CASE WHEN cast_votes = 0 THEN 'consistency_no_votes' WHEN agree * 2 <= cast_votes THEN 'consistency_disagrees' END AS code FROM v""")
+def a21(spark, d):
+    return judging.vote_agreement(table(spark, d, "ballots"), table(spark, d, "seed_questions").select(F.col("seed_id").alias("record_id"), F.col("answer").alias("label")))
+
+
+_REPORT = "WITH " + _VOTED + """, t AS (SELECT cell_id, unnest(CASE WHEN len(coalesce(history, [])) = coalesce(attempts, 0) THEN list_transform(history, lambda h: h.layer) ELSE list_transform(range(coalesce(attempts, 0)), lambda i: layer) END) AS layer FROM drops UNION ALL SELECT cell_id, NULL FROM seed_questions),
+known AS (SELECT f.* FROM f WHERE cell_id IN (SELECT cell_id FROM coverage_cells)), tk AS (SELECT t.* FROM t WHERE cell_id IN (SELECT cell_id FROM coverage_cells)),
+n AS (SELECT cell_id, count(*) AS accepted, count(agreed) AS judged, avg(agreed::INT) AS fidelity FROM known GROUP BY 1), y AS (SELECT cell_id, count(*) AS candidates FROM tk GROUP BY 1),
+c AS (SELECT c.cell_id, c.quota, coalesce(n.accepted, 0) AS accepted, coalesce(judged, 0) AS judged, fidelity, coalesce(candidates, 0) AS candidates, CASE WHEN c.quota = 0 THEN 1.0::DOUBLE ELSE coalesce(n.accepted, 0) / c.quota END AS fill FROM coverage_cells c LEFT JOIN n USING (cell_id) LEFT JOIN y USING (cell_id)),
+r AS (SELECT cell_id, false AS is_total, accepted, judged, fidelity, candidates, quota, fill, fill AS min_cell_fill, NULL::DOUBLE AS cells_at_quota, (quota > accepted)::BIGINT AS short_cells FROM c
+UNION ALL SELECT NULL, true, sum(accepted), sum(judged), (SELECT avg(agreed::INT) FROM known), sum(candidates), sum(quota), sum(accepted) / sum(quota), min(fill), avg((fill >= 1)::INT), count(*) FILTER (quota > accepted) FROM c)"""
+
+
+def _report(spark, d):
+    """The metrics report over the questions of the plan's cells, with their drops."""
+    cells = table(spark, d, "coverage_cells")
+    ok = _accepted(spark, d).join(F.broadcast(cells.select("cell_id")), "cell_id", "left_semi")
+    drops = table(spark, d, "drops").join(F.broadcast(cells.select("cell_id")), "cell_id", "left_semi")
+    return metrics.report(ok, drops, cells, targets={})
+
+
+@register("a27_report", _REPORT + " SELECT cell_id, is_total, accepted::BIGINT AS accepted, judged::BIGINT AS judged, round(fidelity, 6) AS fidelity, candidates::BIGINT AS candidates, round(accepted / nullif(candidates, 0), 6) AS yield, quota::BIGINT AS quota, round(fill, 6) AS fill, round(min_cell_fill, 6) AS min_cell_fill, round(cells_at_quota, 6) AS cells_at_quota, short_cells FROM r")
+def a27(spark, d):
+    rounded = [F.round(c, 6).alias(c) for c in ("fidelity", "yield", "fill", "min_cell_fill", "cells_at_quota")]
+    return _report(spark, d).select("cell_id", "is_total", "accepted", "judged", "candidates", "quota", "short_cells", *rounded)
+
+
+_LIMITS = {"fidelity_min": 0.95, "kappa_min": 0.7, "coverage_min_cell_fill": 0.9, "balance_tolerance": 0.05, "residual_error_max": 0.05, "cost_per_record_max": 0.05}
+
+
+@register("d14_gate", _REPORT + f""", l AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in (_LIMITS | {'governance_violations_max': 0.0}).items())}) t(metric, threshold)),
+w AS (SELECT r.cell_id, l.metric, l.threshold, CASE l.metric WHEN 'fidelity_min' THEN r.fidelity WHEN 'coverage_min_cell_fill' THEN r.min_cell_fill END AS value FROM r CROSS JOIN l WHERE r.is_total OR l.metric IN ('fidelity_min', 'coverage_min_cell_fill', 'balance_tolerance', 'residual_error_max', 'governance_violations_max')),
+x AS (SELECT *, CASE WHEN metric = 'governance_violations_max' THEN 'governance' WHEN value IS NULL THEN CASE WHEN cell_id IS NULL AND metric <> 'kappa_min' THEN 'not_measured' END WHEN value < threshold THEN 'below_min' END AS reason FROM w)
+SELECT cell_id, metric, round(value, 6) AS value, threshold, reason FROM x WHERE reason IS NOT NULL""")
+def d14(spark, d):
+    """The gate over the report, kappa waived as nobody measured it."""
+    values = metrics.gate_values(_report(spark, d))
+    return metrics.gate(values, _LIMITS, waive=("kappa_min",)).withColumn("value", F.round("value", 6))
+
+
+_PLAIN = "[^\\p{L}\\p{N}_]"
+_CASCADE = f"""WITH {_OVERLAPS}, {_MAJORITY[5:]}, o AS (SELECT *, list_distinct(regexp_extract_all(question, '(?m)^\\s*\\(?([A-D])[).:]\\s', 1)) AS labels, coalesce(nullif(regexp_extract(response, '[Aa]nswer:\\s*([A-D])', 1), ''), nullif(regexp_extract(response, '(?:^|{_PLAIN})([A-D])(?:$|{_PLAIN})', 1), '')) AS found FROM seed_questions),
+x AS (SELECT seed_id, CASE WHEN question IS NULL OR response IS NULL OR length(question) < 1 OR length(response) < 1 THEN 'L1'
+WHEN response IS NOT NULL AND (found IS NULL OR (answer IS NOT NULL AND answer <> found)) THEN 'L1' WHEN len(labels) < 2 OR (coalesce(nullif(answer, ''), found) IS NOT NULL AND NOT list_contains(labels, coalesce(nullif(answer, ''), found))) THEN 'L1'
+WHEN regexp_matches(question || chr(10) || response, '(?i)guaranteed') OR bloom_level IS NULL THEN 'L2'
+WHEN {' OR '.join(f"regexp_matches(response, '(?i)(?:^|[^{chr(92)}p{{L}}{chr(92)}p{{N}}_{chr(39)*2}])(?:{'|'.join(f'(?:{r})' for r in S.TOXICITY[c]).replace(chr(39), chr(39)*2)})(?:$|{_PLAIN})')" for c in S.TOXICITY)} THEN 'L3'
+WHEN EXISTS (SELECT 1 FROM best WHERE best.id = o.seed_id AND best.source = 'held_out' AND score > 0.8) THEN 'L4'
+WHEN EXISTS (SELECT 1 FROM (SELECT record_id, arg_min(coalesce(vote, ''), ballot_no) AS v FROM ballots GROUP BY 1) j WHERE j.record_id = o.seed_id AND (v = '' OR NOT coalesce(v = o.answer, false))) THEN 'L5'
+WHEN EXISTS (SELECT 1 FROM m WHERE m.record_id = o.seed_id AND (cast_votes = 0 OR NOT has_majority OR coalesce(value <> o.answer, false))) THEN 'L6' END AS layer FROM o)
+SELECT layer, count(*) AS n FROM x GROUP BY layer"""
+
+
+def _cascade(spark, d):
+    """All six layers over every question: schema, answers and options; a keyword rule and a label rule; toxic words; overlap
+    with held-out items; the first ballot as judge; the majority of all ballots."""
+    q = table(spark, d, "seed_questions").withColumnRenamed("seed_id", "id")
+    schema = {"required": ["question", "response"], "properties": {"question": {"type": "string", "minLength": 1}, "response": {"type": "string", "minLength": 1}}}
+    l1 = validate.first_of(validate.json_schema_issues(schema, q.schema), F.concat(validate.answer_issues(F.col("response"), F.col("answer"), T.choice_answer), validate.option_issues(F.col("question"), F.col("response"), F.col("answer"))))
+    l2 = F.concat(validate.rule_issues({"kind": "forbidden", "keywords": ["guaranteed"], "fields": ["question", "response"]}), validate.label_issues(F.col("bloom_level"), F.col("bloom_level")))
+    scanner = governance.RuleScanner("toxicity", {c: S.toxicity_pattern(c) for c in S.TOXICITY}, "keywords")
+    l3 = validate.governance_issues(F.array(F.struct(F.col("response").alias("content"))), scanner)
+    answers = q.select("id", F.col("answer").alias("label"))
+    first = table(spark, d, "ballots").groupBy(F.col("record_id").alias("id")).agg(F.min_by(F.coalesce("vote", F.lit("")), "ballot_no").alias("v"))
+    judged = first.join(answers, "id").select("id", F.nullif("v", F.lit("")).alias("verdict"), "label", F.lit(1.0).alias("confidence"))
+    votes = judging.consistency(table(spark, d, "ballots"), table(spark, d, "seed_questions").select(F.col("seed_id").alias("record_id"), "answer")).withColumnRenamed("record_id", "id")
+    l4 = validate.overlap_issues(table(spark, d, "held_out"), text_of=F.col("question"))
+    return validate.run_cascade(q, [validate.Layer("L1", l1), validate.Layer("L2", l2), validate.Layer("L3", l3), validate.Layer("L4", l4), validate.Layer("L5", validate.judge_issues(judged)), validate.Layer("L6", validate.vote_issues(votes))])
+
+
+@register("l_cascade", _CASCADE)
+def lc(spark, d):
+    return _cascade(spark, d).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("k9_endpoints", "SELECT DISTINCT model FROM ballots WHERE model IS NOT NULL")
 def k9(spark, d):
-    from granary.sources import store
+    b = table(spark, d, "ballots").select("model", "stage")
+    return store.endpoints(b.filter("stage = 'judge'").select("model"), b.filter("stage is null or stage <> 'judge'").select("model"))
 
-    b = table(spark, d, "ballots").select("model")
-    return store.endpoints(b, b.limit(0))
+
+@register("k10_tool_rollup", "SELECT layer AS tool, count(*) AS calls, list_sort(list_distinct(list(CASE WHEN hard THEN 'hard' WHEN NOT hard THEN 'soft' END) FILTER (hard IS NOT NULL)))::VARCHAR AS sensitivities FROM drops GROUP BY layer")
+def k10(spark, d):
+    """The roll-up of calls and sensitivities, over drops as traces: layers as tools."""
+    traces = table(spark, d, "drops").select(F.col("layer").alias("tool"), F.when(F.col("hard"), "hard").when(~F.col("hard"), "soft").alias("sensitivity"))
+    r = store.tool_rollup(traces)
+    return r.select("tool", "calls", F.concat(F.lit("["), F.array_join("sensitivities", ", "), F.lit("]")).alias("sensitivities"))
 
 
 @register("s7_review_items", "SELECT sha256(question) AS item_id, min(seed_id) AS n FROM seed_questions WHERE question IS NOT NULL GROUP BY 1")
 def s7(spark, d):
-    from granary.sources import store
-
     return store.queue_items(table(spark, d, "seed_questions").filter("question is not null").select(F.col("seed_id").alias("n"), F.col("question").alias("content"))).select("item_id", "n")

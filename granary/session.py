@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "granary", cores: int | str = "*") -> SparkSession:
@@ -27,8 +28,10 @@ def get_spark(app: str = "granary", cores: int | str = "*") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where unset (tests)."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a machine's own only in local mode (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None and spark.sparkContext.getCheckpointDir() is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="granary-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
@@ -40,6 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "slot") -> DataFrame:
+    """Adds ``name``: places from 0 in a total order. Rows are sorted by ranges on all tasks; only the number of rows of each
+    range comes to the driver, and goes back as offsets."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    offsets, total = [], 0
+    for r in sorted(placed.groupBy("_part").count().collect()):
+        offsets.append((r["_part"], total))
+        total += r["count"]
+    if not offsets:
+        return placed.withColumn(name, F.col("_at")).drop("_part", "_at")
+    starts = df.sparkSession.createDataFrame(offsets, "_part int, _first bigint")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
+
+
 _staged: list[tuple[SparkSession, str]] = []
 
 

@@ -110,6 +110,24 @@ def verify_release(spark: SparkSession, path: str) -> list[str]:
     return sorted(k for k in want.keys() | have.keys() if want.get(k) != have.get(k))
 
 
+PROVENANCE = "_provenance"
+
+
+def attach(records: DataFrame, provenance: DataFrame, key: str) -> DataFrame:
+    """Records with their provenance (key and other columns) as one private struct; a record that has one already raises."""
+    if PROVENANCE in records.columns:
+        raise ReleaseError(f"records already have {PROVENANCE}")
+    packed = provenance.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in provenance.columns if c != key]).alias(PROVENANCE))
+    return records.join(packed, records[key] == packed["_key"], "left").drop("_key")
+
+
+def split(records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The inverse: bare records, and their provenance by key."""
+    if PROVENANCE not in records.columns:
+        raise ReleaseError(f"records have no {PROVENANCE}")
+    return records.drop(PROVENANCE), records.select(key, f"{PROVENANCE}.*")
+
+
 def endpoints(runs: DataFrame, provenance: DataFrame) -> DataFrame:
     """Sorted distinct models of runs and of provenance rows (model)."""
     return runs.select("model").unionByName(provenance.select("model")).filter("model is not null").distinct().orderBy("model")

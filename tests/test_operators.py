@@ -189,7 +189,7 @@ def test_tries_and_gate(spark):
     assert got == [("c", ""), ("c", ""), ("c", "L2"), ("c", "L3"), ("c", "L3"), ("d", "L1")]
     v = spark.createDataFrame([(None, "fidelity_min", 0.95), (None, "governance_violations_max", 0.0), ("c", "overlap_max", 0.9), ("c", "governance_violations_max", 1.0)], "cell_id string, metric string, value double")
     bad = {(r["cell_id"], r["metric"]): r["reason"] for r in metrics.gate(v, {"fidelity_min": 0.95, "kappa_min": 0.7, "overlap_max": 0.8}).collect()}
-    assert bad == {(None, "kappa_min"): "not_measured", (None, "overlap_max"): "not_measured", ("c", "fidelity_min"): "not_measured", ("c", "overlap_max"): "above_max", ("c", "governance_violations_max"): "governance"}
+    assert bad == {(None, "kappa_min"): "not_measured", (None, "overlap_max"): "not_measured", ("c", "overlap_max"): "above_max", ("c", "governance_violations_max"): "governance"}
     with pytest.raises(ValueError):
         metrics.gate(v, {}, ("governance_violations_max",))
 
