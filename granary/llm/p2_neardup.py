@@ -178,7 +178,7 @@ def _verify(least: float):
 class NearDuplicates:
     """Near-duplicates among ``texts`` (tbl tinyint, id bigint, text string): similarity of 5-character shingle sets over ``least``.
 
-    Only records of one ``tbl`` (0 to 7) are compared; ids are unique in it and under 2^60. Null texts and texts under five characters after
+    Only records of one ``tbl`` (0 to 7) are compared; ids are unique in it; one beyond 61 bits raises. Null texts and texts under five characters after
     :func:`normalise` have no shingles and are near nothing. A record is a class with its exact copies (equal after
     :func:`normalise`); candidates, estimates and checks are between class representatives (the smallest id). Nothing
     is capped: a band shared by many classes is joined as it is, and AQE splits it where it is skewed.
@@ -186,7 +186,8 @@ class NearDuplicates:
 
     def __init__(self, texts: DataFrame, least: float = SIMILARITY):
         self.everyone = texts.select("tbl", "id")
-        rows = texts.filter("text is not null").select((F.col("id") * TABLES + F.col("tbl")).alias("rid"), "text")
+        fits = F.when(F.col("id").between(-(1 << 60), (1 << 60) - 1), F.col("id")).otherwise(F.raise_error(F.lit("ids must lie within 61 bits")))
+        rows = texts.filter("text is not null").select((fits.cast("bigint") * TABLES + F.col("tbl")).alias("rid"), "text")
         #: rid, hi, lo: digest of every record; records of one table with one digest are copies
         self.index = staged(arrow_map(spread(rows), _digests, "rid bigint, hi bigint, lo bigint"), "digests")
         sketched = arrow_map(spread(rows), _index, INDEX)

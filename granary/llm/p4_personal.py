@@ -73,6 +73,24 @@ class Piece:
     kind: str
 
 
+def _words_back(spaced: str, at: int, n: int) -> int:
+    """Where the ``n`` words before ``at`` begin, however long they are; white space is one space each."""
+    for _ in range(n + 1):
+        at = spaced.rfind(" ", 0, at)
+        if at < 0:
+            return 0
+    return at + 1
+
+
+def _words_on(spaced: str, at: int, n: int) -> int:
+    """Where the ``n`` words behind ``at`` end."""
+    for _ in range(n + 1):
+        at = spaced.find(" ", at + 1)
+        if at < 0:
+            return len(spaced)
+    return at
+
+
 class Finder:
     """Finds personal data in one text. ``names``: known given names, neither complete nor unambiguous."""
 
@@ -116,7 +134,7 @@ class Finder:
             for m in EMAIL.finditer(text):
                 add(*m.span(), "email")
         for s, e in at.get("said", ()):
-            for m in EMAIL_SAID.finditer(text, max(0, s - 60), min(len(text), e + 80)):
+            for m in EMAIL_SAID.finditer(text, _words_back(low, s, 4), _words_on(low, e, 30)):
                 add(*m.span(), "email")
         for s, _ in at.get("id", ()):
             if (m := ID.match(text, s)) and sum(c.isdigit() for c in m["v"]) >= 5:
@@ -133,7 +151,7 @@ class Finder:
                 if m := PO_BOX.search(text, max(0, s - 8), min(len(text), e + 12)):
                     add(m.start(), self._suburb(text, m.end(), True), "street_address")
                 continue
-            for m in ADDRESS.finditer(text, max(0, s - 70), min(len(text), e + 1)):
+            for m in ADDRESS.finditer(text, _words_back(low, s, 14), min(len(text), e + 1)):
                 a, b = self._address(text, m)
                 add(a, b, "street_address")
         for s, e in self._names(text, low, at):
@@ -536,11 +554,7 @@ def _known_names(names: DataFrame) -> list[str]:
     return sorted(got)
 
 
-#: A key for tests; a deployment passes its own secret.
-TEST_KEY = b"granary test key"
-
-
-def find_personal(texts: DataFrame, names: DataFrame, key: bytes = TEST_KEY) -> DataFrame:
+def find_personal(texts: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
     """Every piece of personal data in ``texts`` (tbl, rec_id, turn, text), with its pseudonym; one pass without a shuffle.
 
     Equal numbers have equal pseudonyms in every document, in any spelling; so have names and addresses of e-mail but
@@ -549,6 +563,6 @@ def find_personal(texts: DataFrame, names: DataFrame, key: bytes = TEST_KEY) ->
     return arrow_map(spread(texts.select("tbl", "rec_id", "turn", "text").filter(F.col("text").isNotNull())), _find(_known_names(names), key), "tbl string, rec_id bigint, turn int, start_pos int, end_pos int, kind string, pseudonym string")
 
 
-def redact_personal(texts: DataFrame, names: DataFrame, key: bytes = TEST_KEY) -> DataFrame:
+def redact_personal(texts: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
     """``texts`` with typed placeholders; see :func:`find_personal`. Null texts stay null."""
     return arrow_map(spread(texts.select("tbl", "rec_id", "turn", "text")), _redact(_known_names(names), key), "tbl string, rec_id bigint, turn int, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -162,6 +163,10 @@ def truncated(text: str) -> bool:
     return True
 
 
+#: The longest placeholder; a response of more words is none, whatever its length in characters.
+MOST_WORDS = max(len(p.split()) for p in PLACEHOLDERS)
+
+
 def defect(question: str | None, response: str | None) -> str | None:
     """The defect of a pair, or None.
 
@@ -173,7 +178,8 @@ def defect(question: str | None, response: str | None) -> str | None:
     if response is None:
         return "empty"
     text = unicodedata.normalize("NFC", response)
-    bare = " ".join(WORD.findall(text.lower().replace("/", " "))) if len(text) < 60 else "long"
+    first = [m.group() for m in itertools.islice(WORD.finditer(text.lower().replace("/", " ")), MOST_WORDS + 1)]
+    bare = " ".join(first)
     if not bare or bare in PLACEHOLDERS:
         return "empty"
     if LETTER_ONLY.match(text):

@@ -13,6 +13,8 @@ from granary.session import cut, ship
 
 #: Documents packed together in one task; the number of tasks grows with the data, the work of one doesn't.
 SHARD_DOCS = 20_000
+#: Packs, each of which takes all documents, in one call.
+MAX_PACKS = 1_000
 ROWS = "pack_id int, doc_id bigint, piece int, pieces bigint, start_token bigint, n_tokens bigint, container_id string"
 
 
@@ -73,8 +75,11 @@ def pack(docs: DataFrame, containers: DataFrame, shard_docs: int = SHARD_DOCS) -
     sized = cut(docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size")))
     shards = max(1, -(-sized.count() // shard_docs))
     cap = F.col("capacity_tokens")
-    lots = F.broadcast(containers.filter("capacity_tokens > 0").select(F.col("pack_id").cast("int").alias("pack_id"), cap.cast("bigint").alias("capacity_tokens")))  # a target table of a few rows
-    each = sized.crossJoin(lots).withColumn("pieces", F.ceil(F.col("size") / cap).cast("bigint"))
+    lots = containers.filter("capacity_tokens > 0").select(F.col("pack_id").cast("int").alias("pack_id"), cap.cast("bigint").alias("capacity_tokens"))
+    if (n := lots.count()) > MAX_PACKS:
+        raise ValueError(f"{n} packs; at most {MAX_PACKS} are packed at a time")
+    lots = F.broadcast(lots)
+    each = sized.crossJoin(lots).withColumn("pieces", F.ceil(F.col("size") / cap).cast("bigint"))  # every document goes into every pack
     whole = (
         each.filter("pieces > 1")
         .withColumn("piece", F.explode(F.expr("sequence(0, cast(pieces as int) - 2)")))

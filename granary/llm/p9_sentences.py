@@ -240,6 +240,17 @@ def outer_pairs(text: str, s: int, e: int) -> list[tuple[int, int]]:
     return out
 
 
+def _last_token(text: str, begin: int, p: int) -> list[str]:
+    """What stands before position p in the unit, cut at its last white space: the last item is the token, whatever its length."""
+    back = 60
+    while True:
+        low = max(begin, p - back)
+        parts = text[low:p].rsplit(None, 1)
+        if low == begin or len(parts) > 1:
+            return parts
+        back *= 4
+
+
 class Splitter:
     def __init__(self, model: Model):
         self.model = model
@@ -370,7 +381,7 @@ class Splitter:
             w = WORD.match(text, i, e)
             if last == "." and (w is None or "." in w.group() or not (p and (text[p - 1].islower() or text[p - 1] in ")%\"”’")) or (len(w.group()) > 1 and w.group().isupper() and i == stop)):
                 return False
-            token = text[max(begin, p - 60) : p].rsplit(None, 1)
+            token = _last_token(text, begin, p)
             if token and (URLISH.search(token[-1]) or (last == "." and "." in token[-1] and "%" not in token[-1])):
                 return False
             if last == "." and token and token[-1].lower().lstrip("(“\"‘«") in self.model.abbreviations.get(lang, ()):
@@ -386,7 +397,7 @@ class Splitter:
 
     def _period(self, text, begin, p, word, lang) -> bool:
         """The decision for one period before a space and a word that is not in lower case."""
-        token = text[max(begin, p - 60) : p].rsplit(None, 1)
+        token = _last_token(text, begin, p)
         prev = token[-1].lstrip("([{“„\"‘'«¿¡") if token else ""
         if not prev:
             return False

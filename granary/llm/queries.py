@@ -128,6 +128,10 @@ def messages(spark, d):
     return table(spark, d, "seed_conversations").select(F.lit("seed_conversations").alias("tbl"), F.col("seed_id").alias("rec_id"), F.explode("messages").alias("m")).select("tbl", "rec_id", F.col("m.turn").alias("turn"), F.col("m.content").alias("text"))
 
 
+#: The key of the registered queries, which run on invented data; a deployment passes its own secret.
+TEST_KEY = b"granary test key"
+
+
 def _personal_texts(spark, d):
     q = table(spark, d, "seed_questions").select(F.lit("seed_questions").alias("tbl"), F.col("seed_id").alias("rec_id"), F.lit(0).alias("turn"), F.col("question").alias("text"))
     return messages(spark, d).unionByName(q)
@@ -136,13 +140,13 @@ def _personal_texts(spark, d):
 @query
 def p4_found(spark, d):
     """Place and kind of every piece of personal data."""
-    return p4_personal.find_personal(_personal_texts(spark, d), table(spark, d, "given_names")).drop("pseudonym")
+    return p4_personal.find_personal(_personal_texts(spark, d), table(spark, d, "given_names"), TEST_KEY).drop("pseudonym")
 
 
 @query
 def p4_redacted(spark, d):
     """Every text with typed placeholders."""
-    return p4_personal.redact_personal(_personal_texts(spark, d), table(spark, d, "given_names"))
+    return p4_personal.redact_personal(_personal_texts(spark, d), table(spark, d, "given_names"), TEST_KEY)
 
 
 def _abuse_texts(spark, d):
@@ -172,10 +176,11 @@ def p5_scores(spark, d):
 
 @query
 def p5_rates(spark, d):
-    """Records, abusive records and rate by table and source (documents' source under its normal spelling)."""
+    """Records, abusive records and rate by table and source: documents by their source under its normal spelling, other
+    tables under their own name."""
     texts, net = _abuse(spark, d)
     source = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), category_key(F.col("source")).alias("source"))
-    per = p5_abuse.score_records(texts, net).join(source, ["tbl", "rec_id"], "left")
+    per = p5_abuse.score_records(texts, net).join(source, ["tbl", "rec_id"], "left").withColumn("source", F.when(F.col("tbl") == "documents", F.col("source")).otherwise(F.col("tbl")))
     return per.groupBy("tbl", "source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("abusive").cast("bigint")).alias("abusive"), F.avg(F.col("abusive").cast("double")).alias("rate"))
 
 

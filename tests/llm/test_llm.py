@@ -357,9 +357,9 @@ def test_dates_of_birth_are_permuted_in_their_format(date, shape):
 def test_redaction_of_tables(spark):
     df = spark.createDataFrame([("t", 1, 0, "Call 0491 570 156 now", "x"), ("t", 2, None, None, "x"), ("t", 3, 1, "", "x")], "tbl string, rec_id bigint, turn int, text string, kind string")
     names = spark.createDataFrame([("Petra",), (None,)], "name string")
-    got = {r["rec_id"]: r["text"] for r in p4_personal.redact_personal(df, names).collect()}
+    got = {r["rec_id"]: r["text"] for r in p4_personal.redact_personal(df, names, b"k").collect()}
     assert re.fullmatch(r"Call \[phone \d{4} \d{3} \d{3}\] now", got[1]) and got[2] is None and got[3] == ""
-    assert p4_personal.find_personal(df.limit(0), names).count() == 0
+    assert p4_personal.find_personal(df.limit(0), names, b"k").count() == 0
 
 
 # ---------------------------------------------------------------------------- 5
@@ -542,3 +542,57 @@ def test_scores_of_empty_and_odd_tables(spark):
     got = {r["rec_id"]: r for r in p5_abuse.score_records(texts, net).collect()}
     assert set(got) == {1, 2, 3} and got[1]["abusive"] and got[2]["score"] == 0 and not got[2]["abusive"]
     assert p5_abuse.score_records(texts.limit(0), net).count() == 0
+
+
+def test_no_window_cuts_a_long_word():
+    finder = p4_personal.Finder([])
+    name = "a" * 90
+    said = f"Write to {name} (at) {'b' * 120} (dot) example today."
+    assert [said[p.start : p.end] for p in finder.pieces(said)] == [f"{name} (at) {'b' * 120} (dot) example"]
+    street = "Shop 12, Level 3, 17 " + "W" + "e" * 80 + " Street, Hollin VIC 3000"
+    found = [street[p.start : p.end] for p in finder.pieces("See " + street)] and finder.pieces("See " + street)[0]
+    assert found.kind == "street_address" and ("See " + street)[found.start : found.end].startswith("Shop 12")
+    assert p9_sentences._last_token("x " + "y" * 500 + ".", 0, 501)[-1] == "y" * 499
+    assert p9_sentences._last_token("y" * 500, 3, 500) == ["y" * 497] and p9_sentences._last_token("", 0, 0) == []
+
+
+def test_placeholders_count_words_not_characters():
+    assert p6_pairs.defect("What is it?", "N/A" + " " * 80) == "empty" == p6_pairs.defect("What is it?", "\n" * 90 + "n/a")
+    assert p6_pairs.defect("What is it?", "no response " * 20) != "empty"
+
+
+def test_ids_that_do_not_fit_raise(spark):
+    df = spark.createDataFrame([(0, 1 << 61, "some text that is long enough")], "tbl int, id bigint, text string").withColumn("tbl", F.col("tbl").cast("tinyint"))
+    with pytest.raises(Exception, match="61 bits"):
+        p2_neardup.NearDuplicates(df)
+
+
+def test_packing_invariants_in_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "x" * rng.choice([10, 50, 300, 900, 2500])) for i in range(400)], "doc_id bigint, text string")
+    made = p7_pack.pack(docs, spark.createDataFrame([(1, 1000), (2, 4000)], "pack_id int, capacity_tokens bigint"))
+    rows, fill, sizes = made.rows.toPandas(), made.fill.toPandas(), docs.select("doc_id", (F.length("text") + 1).alias("size")).toPandas()
+    con = duckdb.connect()
+    for name, frame in (("placed", rows), ("fill", fill), ("sizes", sizes)):
+        con.register(name, frame)
+    q = lambda s: con.sql(s).fetchall()
+    assert q("SELECT count(*) FROM (SELECT pack_id, container_id, sum(n_tokens) AS n FROM placed GROUP BY ALL) JOIN (SELECT DISTINCT pack_id, capacity_tokens FROM fill) USING (pack_id) WHERE n > capacity_tokens") == [(0,)]
+    assert q("SELECT count(*) FROM (SELECT pack_id, doc_id, sum(n_tokens) AS n, count(*) AS k, any_value(pieces) AS p FROM placed GROUP BY ALL) JOIN sizes USING (doc_id) WHERE n <> size OR k <> p") == [(0,)]
+    assert q("SELECT count(*) FROM placed r JOIN sizes USING (doc_id) JOIN (SELECT DISTINCT pack_id, capacity_tokens FROM fill) USING (pack_id) WHERE pieces > 1 AND size <= capacity_tokens") == [(0,)]
+    assert q("SELECT min(f) > 0.9 FROM (SELECT pack_id, avg(fill) AS f FROM fill GROUP BY 1)") == [(True,)]
+
+
+def test_equal_values_have_equal_pseudonyms_in_all_documents(spark):
+    names = spark.createDataFrame([("Petra",)], "name string")
+    rows = [("t", i, 0, f"Hello {i}, call 0412 345 67{i % 2} or write to petra.q@mail.example about TFN 123 456 78{i % 3}.") for i in range(12)]
+    df = spark.createDataFrame(rows, "tbl string, rec_id bigint, turn int, text string")
+    found = p4_personal.find_personal(df, names, b"one").collect()
+    text = {r[1]: r[3] for r in rows}
+    by: dict = {}
+    for p in found:
+        by.setdefault((p["kind"], text[p["rec_id"]][p["start_pos"] : p["end_pos"]]), set()).add(p["pseudonym"])
+    assert len(by) == 6 and all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == 6
+    other = {r["pseudonym"] for r in p4_personal.find_personal(df, names, b"two").collect()}
+    assert not other & {r["pseudonym"] for r in found}
