@@ -12,7 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.sources.store import canonical_json, write_atomic
+from granary.session import path_exists, read_file, write_file
+from granary.sources.store import canonical_json
 
 
 class SpecError(ValueError):
@@ -121,13 +122,13 @@ def plan_digest(cells: DataFrame) -> str:
 
 
 def approve_plan(cells: DataFrame, path: str, by: str) -> None:
-    write_atomic(path, {"plan": plan_digest(cells), "by": by})
+    write_file(cells.sparkSession, path, canonical_json({"plan": plan_digest(cells), "by": by}))
 
 
 def is_approved(cells: DataFrame, path: str) -> bool:
     """Whether exactly this plan was approved; a changed plan is not."""
-    p = Path(path)
-    return p.exists() and json.loads(p.read_text())["plan"] == plan_digest(cells)
+    spark = cells.sparkSession
+    return path_exists(spark, path) and json.loads(read_file(spark, path))["plan"] == plan_digest(cells)
 
 
 # ---------------------------------------------------------------------------- judges

@@ -88,6 +88,41 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df.repartition(least)
 
 
+def filesystem(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it: local disks, HDFS and object stores alike."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = filesystem(spark, path)
+    return bool(fs.exists(p))
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    fs, p = filesystem(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written beside its place and renamed, so that it is there whole or not at all."""
+    fs, p = filesystem(spark, path)
+    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    fs.delete(p, False)
+    if not fs.rename(tmp, p):
+        raise OSError(f"{path} could not be put in place")
+
+
 _shipped: set[str] = set()
 
 

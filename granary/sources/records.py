@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import ast
 import json
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.session import arrow_map
+from granary.operators.generate import cache_key
+from granary.session import arrow_map, filesystem, path_exists, read_file
 
 
 class SourceError(ValueError):
@@ -18,9 +18,14 @@ class SourceError(ValueError):
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file, n, value``: lines numbered from 1 in each file."""
-    raw = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
-    return raw.select("file", F.posexplode(F.split("value", "\n")).alias("i", "value")).select("file", (F.col("i") + 1).alias("n"), F.regexp_replace("value", "\r$", "").alias("value"))
+    """``file, n, value``: lines numbered from 1 in each file. Files are read by split; only the number of lines of each split
+    is gathered, to tell where the numbers of the next begin."""
+    raw = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    splits = raw.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("path", "block", "first", before.alias("before"))  # a row per split
+    named = raw.join(F.broadcast(starts), ["path", "block"])
+    return named.select(F.element_at(F.split("path", "/"), -1).alias("file"), (F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("n"), "value")
 
 
 def read_seeds(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -55,19 +60,21 @@ def read_corpus(spark: SparkSession, paths: list[str], min_chars: int = 50) -> D
 
 
 def _cell_text(cell: str) -> str:
-    """A CSV cell: a Python literal list of dicts gives their contents joined by a space, any other cell is its text."""
+    """A CSV cell: a Python literal list gives its items joined by a space, of dicts their content; any other cell is its text."""
     if cell.lstrip().startswith("["):
         try:
             rows = ast.literal_eval(cell)
         except (ValueError, SyntaxError):
             return cell
-        if isinstance(rows, list) and all(isinstance(r, dict) for r in rows):
-            return " ".join(str(r.get("content") or r.get("Content") or r.get("text") or "") for r in rows)
+        if isinstance(rows, list):
+            fields = ("content", "Content", "text")
+            return " ".join(str(next((r[f] for f in fields if f in r), None)) if isinstance(r, dict) else str(r) for r in rows if not isinstance(r, dict) or any(f in r for f in fields))
     return cell
 
 
 def read_held_out(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
-    """``item_key, text`` of JSON-lines and CSV files, key ``<file>:<n>``; ``columns`` restricts the CSV columns, joined by line breaks."""
+    """``item_key, text`` of JSON-lines and CSV files, key ``<file>:<n>``; ``columns`` restricts the CSV columns, joined by a space.
+    Rows without a value are left out. A multi-line CSV file is one split, so its row numbers are dense."""
     out = []
     jsonl = [p for p in paths if p.endswith(".jsonl")]
     if jsonl:
@@ -78,11 +85,11 @@ def read_held_out(spark: SparkSession, paths: list[str], columns: list[str] | No
 
         def flatten(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(["\n".join(_cell_text(str(r[c])) for c in r if r[c] is not None) for r in b.to_pylist()], pa.string())], ["text"])
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(_cell_text(str(r[c])) for c in r if r[c]) for r in b.to_pylist()], pa.string())], ["text"])
 
         flat = arrow_map(df.select(*names), flatten, "text string")
         numbered = flat.withColumn("n", F.monotonically_increasing_id() + 1)  # one split per multi-line file: dense
-        out.append(numbered.select(F.concat(F.lit(Path(p).name + ":"), F.col("n").cast("string")).alias("item_key"), "text"))
+        out.append(numbered.filter("text <> ''").select(F.concat(F.lit(p.rsplit("/", 1)[-1] + ":"), F.col("n").cast("string")).alias("item_key"), "text"))
     if not out:
         return spark.createDataFrame([], "item_key string, text string")
     df = out[0]
@@ -93,19 +100,37 @@ def read_held_out(spark: SparkSession, paths: list[str], columns: list[str] | No
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """``n, value`` of an append log: a missing file is empty, an unterminated last line is ignored, a corrupt line raises."""
-    if not Path(path).exists():
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "n int, value string")
-    rows = spark.read.text(path, wholetext=True).select(F.size(F.split("value", "\n")).alias("all"), F.posexplode(F.split("value", "\n")).alias("i", "value"))
-    whole = rows.filter((F.col("i") + 1 < F.col("all")) & (F.col("value") != "")).select((F.col("i") + 1).alias("n"), "value")
+    rows = _lines(spark, [path]).select("n", "value")
+    fs, p = filesystem(spark, path)
+    if not fs.getFileStatus(p).isDirectory() and not _ends_line(spark, path):
+        last = rows.agg(F.max("n")).first()[0]
+        rows = rows.filter(F.col("n") < last)
+    whole = rows.filter("value <> ''")
     bad = whole.filter(F.try_parse_json("value").isNull()).orderBy("n").limit(1).collect()
     if bad:
         raise SourceError(f"{path}:{bad[0]['n']}: corrupt line")
     return whole
 
 
-def read_stage(path: str, spec_version: str) -> object:
+def _ends_line(spark: SparkSession, path: str) -> bool:
+    """Whether the file's last byte ends a line; an empty file has no line to end."""
+    fs, p = filesystem(spark, path)
+    size = fs.getFileStatus(p).getLen()
+    if size == 0:
+        return True
+    stream = fs.open(p)
+    try:
+        stream.seek(size - 1)
+        return stream.read() == 10
+    finally:
+        stream.close()
+
+
+def read_stage(spark: SparkSession, path: str, spec_version: str) -> object:
     """The body of a stage document; another spec version raises."""
-    doc = json.loads(Path(path).read_text(encoding="utf-8"))
+    doc = json.loads(read_file(spark, path))
     if doc.get("spec_version") != spec_version:
         raise SourceError(f"{path}: made for spec version {doc.get('spec_version')}")
     return doc["body"]
@@ -113,7 +138,7 @@ def read_stage(path: str, spec_version: str) -> object:
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """``code, product`` (JSON) of a catalogue; a missing or repeated code raises."""
-    products = json.loads(Path(path).read_text(encoding="utf-8"))["products"]
+    products = json.loads(read_file(spark, path))["products"]
     codes = [p.get("code") for p in products]
     if None in codes or len(set(codes)) < len(codes):
         raise SourceError(f"{path}: a product code is missing or repeated")
@@ -121,8 +146,23 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tool_cache(spark: SparkSession, path: str) -> DataFrame:
-    """``key, tool, args, result`` of a tool cache log; an entry whose key is not the hash of tool and arguments raises."""
-    rows = read_log(spark, path).select(*[F.get_json_object("value", f"$.{c}").alias(c) for c in ("key", "tool", "args", "result")])
-    if not rows.filter(F.col("key") != F.sha2(F.concat_ws("\n", "tool", "args"), 256)).isEmpty():
-        raise SourceError(f"{path}: a key does not match its call")
-    return rows
+    """``key, tool, arguments, result`` (JSON) of a tool cache log; an entry that lacks one, or whose key is not the hash of
+    its tool and arguments (:func:`granary.operators.generate.cache_key`), raises."""
+
+    def check(batches):
+        for b in batches:
+            out = []
+            for n, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                e = json.loads(line)
+                e = e if isinstance(e, dict) else {}
+                whole = {"key", "tool", "arguments", "result"} <= e.keys()
+                right = whole and e["key"] == cache_key(e["tool"], e["arguments"])
+                out.append((n, e.get("key"), e.get("tool"), json.dumps(e.get("arguments"), sort_keys=True), json.dumps(e.get("result"), sort_keys=True), right))
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["n", "key", "tool", "arguments", "result", "ok"])
+
+    rows = arrow_map(read_log(spark, path).select("n", "value"), check, "n int, key string, tool string, arguments string, result string, ok boolean")
+    bad = rows.filter("not ok").orderBy("n").limit(1).collect()
+    if bad:
+        raise SourceError(f"{path}:{bad[0]['n']}: the entry is incomplete or its key does not match its call")
+    return rows.select("key", "tool", "arguments", "result")

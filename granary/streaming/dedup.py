@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from granary.operators.overlap import keep_first, similarity_join
+from granary.session import path_exists
 
 
 def settle_batch(batch: DataFrame, accepted: DataFrame | None, threshold: float = 0.8, k: int = 5) -> DataFrame:
@@ -31,10 +32,7 @@ def start(spark: SparkSession, source: str, corpus: str, checkpoint: str, thresh
     stream = spark.readStream.schema("id bigint, text string").json(source)
 
     def settle(batch: DataFrame, batch_id: int) -> None:
-        try:
-            old = spark.read.parquet(corpus).filter(F.col("batch") < batch_id)
-        except Exception:  # noqa: BLE001 - there is no table before the first batch
-            old = None
+        old = spark.read.parquet(corpus).filter(F.col("batch") < batch_id) if path_exists(spark, corpus) else None
         settle_batch(batch, old, threshold, k).write.mode("overwrite").parquet(f"{corpus}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
