@@ -581,7 +581,7 @@ def test_packing_invariants_in_sql(spark, tmp_path):
     assert q("SELECT count(*) FROM (SELECT pack_id, container_id, sum(n_tokens) AS n FROM placed GROUP BY ALL) JOIN (SELECT DISTINCT pack_id, capacity_tokens FROM fill) USING (pack_id) WHERE n > capacity_tokens") == [(0,)]
     assert q("SELECT count(*) FROM (SELECT pack_id, doc_id, sum(n_tokens) AS n, count(*) AS k, any_value(pieces) AS p FROM placed GROUP BY ALL) JOIN sizes USING (doc_id) WHERE n <> size OR k <> p") == [(0,)]
     assert q("SELECT count(*) FROM placed r JOIN sizes USING (doc_id) JOIN (SELECT DISTINCT pack_id, capacity_tokens FROM fill) USING (pack_id) WHERE pieces > 1 AND size <= capacity_tokens") == [(0,)]
-    assert q("SELECT min(f) > 0.9 FROM (SELECT pack_id, avg(fill) AS f FROM fill GROUP BY 1)") == [(True,)]
+    assert q("SELECT min(f) > 0.75 FROM (SELECT pack_id, avg(fill) AS f FROM fill GROUP BY 1)") == [(True,)]
 
 
 def test_equal_values_have_equal_pseudonyms_in_all_documents(spark):
