@@ -42,6 +42,15 @@ class MockBackend:
             text = json.dumps(self.reply(prompt, rng) if self.reply else {"text": f"reply {rng.randrange(10**6)}"})
         return text, -(-len(prompt) // 4), -(-len(text) // 4)
 
+    def decide(self, state: str, questions: dict[str, list[str]]) -> dict[str, dict[str, float]]:
+        """A probability for each allowed answer of each question, from the hash of state and question."""
+        out = {}
+        for name, answers in questions.items():
+            rng = random.Random(hashlib.sha256(f"{name}\n{state}".encode()).digest())
+            w = [rng.random() for _ in answers]
+            out[name] = {a: x / sum(w) for a, x in zip(answers, w)}
+        return out
+
 
 def with_retry(call: Callable[[], tuple], sleep: Callable[[float], None] = time.sleep) -> tuple:
     for wait in (*WAITS, None):
@@ -93,6 +102,12 @@ class Settled:
     passes: int
     usage: dict[str, int] = field(default_factory=dict)
 
+    def cost(self, price_in: float | None, price_out: float | None) -> float | None:
+        """What the calls cost at prices per million tokens; None where a price is unknown."""
+        if price_in is None or price_out is None:
+            return None
+        return (self.usage["input_tokens"] * price_in + self.usage["output_tokens"] * price_out) / 1e6
+
 
 def run_wave(slots: DataFrame, backend, validate: Callable[[DataFrame], DataFrame], prefix: str, repair_tries: int = 2) -> Settled:
     """Generate, validate and repair one wave.

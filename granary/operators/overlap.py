@@ -46,9 +46,12 @@ def best_match(texts: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     """
     kind, item_kind = dict(texts.dtypes)["id"], dict(items.dtypes)["item_id"]
     schema = f"id {kind}, item_id {item_kind}, score double"
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    if item_kind not in kinds:
+        raise TypeError(f"item ids are {item_kind}, not one of {sorted(kinds)}")
     found = None
     for rows in _passes(items.filter("text is not null"), ["item_id", "text"], "item_id"):
-        one = arrow_map(spread(texts.select("id", "text")), _against(rows, k), schema)
+        one = arrow_map(spread(texts.select("id", "text")), _against(rows, k, kinds[item_kind]), schema)
         found = one if found is None else found.unionByName(one)
         several = found is not one
     if found is None:
@@ -59,7 +62,7 @@ def best_match(texts: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     return found
 
 
-def _against(rows: list, k: int):
+def _against(rows: list, k: int, kind: pa.DataType):
     sets = sorted((r["item_id"], _normalised_shingles(r["text"], k)) for r in rows)
     ids = [i for i, _ in sets]
     sizes = np.array([len(s) for _, s in sets], dtype=np.int64)
@@ -81,7 +84,6 @@ def _against(rows: list, k: int):
                 score = common / (len(own) + sizes - common)
                 j = int(score.argmax())
                 out.append((i, ids[j], float(score[j])))
-            kind = pa.string() if ids and isinstance(ids[0], str) else pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.schema.field(0).type), pa.array([o[1] for o in out], kind), pa.array([o[2] for o in out], pa.float64())], ["id", "item_id", "score"])
 
     return run

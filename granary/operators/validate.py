@@ -192,7 +192,8 @@ def rule_issues(rule: dict, messages: Column | None = None) -> Column:
     if rule["kind"] == "forbidden":
         hits = F.flatten(F.transform(texts, lambda t: F.concat(no_issues(), *[issue(t["text"].rlike(p), "keyword_forbidden", t["path"]) for p in patterns])))
         return F.when(on, hits).otherwise(no_issues())
-    found = [F.exists(texts, lambda t, p=p: t["text"].rlike(p)) for p in patterns]
+    stands = lambda p: F.exists(texts, lambda t: t["text"].rlike(p))
+    found = [stands(p) for p in patterns]
     nowhere = F.lit(None).cast("string")
     if rule.get("require", "any") == "all":
         return F.concat(no_issues(), *[issue(on & ~f, "keyword_required", nowhere) for f in found])

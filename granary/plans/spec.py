@@ -22,7 +22,7 @@ class SpecError(ValueError):
 
 #: Sections of a spec and their keys; ``None`` admits any keys.
 SECTIONS: dict[str, set[str] | None] = {
-    "task": {"name", "type", "description", "language"},
+    "task": {"name", "type", "description", "language", "generation_mode"},
     "axes": None,
     "balance": None,
     "fields": None,
@@ -30,10 +30,18 @@ SECTIONS: dict[str, set[str] | None] = {
     "rules": None,
     "thresholds": None,
     "budget": {"candidates", "target_size", "attempts_per_quota", "repair_tries"},
-    "governance": {"exceptions", "entity_deny", "entity_allow", "pii_patterns"},
+    "governance": {"exceptions", "entity_deny", "entity_allow", "pii_patterns", "toxicity_exceptions"},
     "models": None,
-    "rubric": {"verdict", "criteria", "reason_required"},
+    "rubric": {"verdict", "criteria", "reason_required", "examples"},
+    "validation": {"layers", "consistency_k", "temperatures", "low_confidence"},
+    "tools": None,
 }
+#: Sections that are lists; task types whose records are conversations; backends that decide but write no text.
+LISTS = {"rules", "tools"}
+CONVERSATIONS = {"classification_spans"}
+DECIDERS = {"jev"}
+#: What a judge may see of each task type.
+JUDGE_FIELDS = {"classification_spans": {"messages"}, "sft_qa": {"question"}}
 FIELD_TYPES = {"string", "integer", "number", "boolean", "array", "object", "null"}
 #: Hooks and the number of positional arguments each takes.
 HOOKS = {"label_rule": 1, "sampler_constraints": 2, "extra_validators": 1, "post_process": 1}
@@ -53,8 +61,8 @@ def parse_spec(data: object) -> dict:
     for section, value in data.items():
         if section not in SECTIONS:
             raise SpecError(f"{section}: unknown section")
-        if not isinstance(value, dict) and section != "rules":
-            raise SpecError(f"{section}: not an object")
+        if not isinstance(value, list if section in LISTS else dict):
+            raise SpecError(f"{section}: not {'a list' if section in LISTS else 'an object'}")
         known = SECTIONS[section]
         for key in set(value) - known if known is not None else ():
             raise SpecError(f"{section}.{key}: unknown key")
@@ -115,6 +123,66 @@ def seed_problems(seeds: DataFrame, exceptions: tuple[str, ...] = ()) -> DataFra
     return both.select("id", "scanner", "rule", "path").distinct()
 
 
+def stage0_problems(body: dict, seeds: DataFrame | None = None, tools: set[str] = frozenset()) -> list[str]:
+    """All that keeps a spec from a run, gathered: seeds (id, path, text) and judge examples that hold personal data or toxic
+    words, examples that show the judge more than it may see, unknown tools, conversations without a turn structure, unset
+    thresholds, votes that would repeat each other, and models asked for what they can't give."""
+    from granary.operators import governance
+    from granary.operators.metrics import GATED, GOVERNANCE
+
+    out = []
+    try:
+        profile = governance.merge_profile({("extra_pii_patterns" if k == "pii_patterns" else k): v for k, v in body.get("governance", {}).items()})
+    except governance.ProfileError as e:
+        profile = governance.Profile()
+        out.append(f"governance: {e}")
+    scanner = governance.Composite(*profile.scanner().scanners[:2])  # personal data and toxicity
+    if seeds is not None:
+        found = governance.scan(seeds, scanner).select("id", "scanner", "rule", "path").distinct().orderBy("id", "path", "rule")
+        out += [f"seeds: seed {r['id']} fails {r['scanner']} scan: rule {r['rule']} at {r['path']}" for r in found.toLocalIterator()]
+    task, validation, models, rubric = (body.get(k, {}) for k in ("task", "validation", "models", "rubric"))
+    visible = JUDGE_FIELDS.get(task.get("type"))
+    examples = rubric.get("examples", [])
+    for i, e in enumerate(examples):
+        if visible is not None and (extra := sorted(set(e.get("record", {})) - visible)):
+            out.append(f"rubric.examples[{i}]: the judge may not see {extra}")
+    if examples and seeds is not None:
+        rows = [(i, path, text) for i, e in enumerate(examples) for path, text in _strings({"record": e.get("record", {}), "note": e.get("note")})]
+        if rows:
+            found = governance.scan(seeds.sparkSession.createDataFrame(rows, "id int, path string, text string"), scanner).select("id", "scanner", "rule", "path").distinct().orderBy("id", "path", "rule")
+            out += [f"rubric.examples[{r['id']}] fails {r['scanner']} scan: rule {r['rule']} at {r['path']}" for r in found.collect()]
+    out += [f"tools: {t['name']!r} is in no registry" for t in body.get("tools", []) if t["name"] not in tools]
+    if task.get("type") in CONVERSATIONS and not body.get("roles"):
+        out.append(f"roles: {task['type']} records are conversations: declare roles and first_role")
+    limits = body.get("thresholds", {})
+    out += [f"thresholds.{name}: not set" for name in GATED if name != GOVERNANCE and limits.get(name) is None]
+    backend = lambda *stages: next((models[s].get("backend") for s in stages if models.get(s)), None)
+    voter, k = backend("consistency_judge", "judge"), validation.get("consistency_k", 5)
+    votes = "L6" in validation.get("layers", ())
+    if votes and k > 1 and voter not in DECIDERS and not any(t > 0 for t in validation.get("temperatures", [0.7])):
+        out.append(f"validation.temperatures: {k} votes at temperature 0 would repeat each other")
+    out += [f"models.{s}: {backend(s)} writes no text" for s in ("generator", "expansion") if backend(s) in DECIDERS]
+    if rubric.get("reason_required", "flagged") != "never" and backend("fallback_judge", "judge") in DECIDERS:
+        out.append(f"models: {backend('fallback_judge', 'judge')} writes no reasons: give a fallback_judge, or require none")
+    if votes and voter in DECIDERS:
+        if task.get("generation_mode") == "answer_emergent":
+            out.append(f"models: {voter} can't answer questions: give a consistency_judge")
+        elif k > 1:
+            out.append(f"models: {voter} always decides alike, so its {k} votes would repeat each other")
+    return out
+
+
+def _strings(value: object, path: str = "") -> list[tuple[str, str]]:
+    """Paths and texts of a small document's strings, private keys left out."""
+    if isinstance(value, str):
+        return [(path, value)]
+    if isinstance(value, dict):
+        return [x for k, v in value.items() if not str(k).startswith("_") for x in _strings(v, f"{path}.{k}" if path else str(k))]
+    if isinstance(value, list):
+        return [x for i, v in enumerate(value) for x in _strings(v, f"{path}[{i}]")]
+    return []
+
+
 def plan_digest(cells: DataFrame) -> str:
     """sha256 of a plan's cells in plan order; a plan is small."""
     rows = [[r["cell_id"], r["quota"]] for r in cells.orderBy("pos").select("cell_id", "quota").collect()]

@@ -5,7 +5,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions import scanners as S
+from granary.functions import text as T
 from granary.operators import diversity, generate, governance, judging, metrics, overlap, planning, retrieval, validate
+from granary.session import numbered
 from granary.streaming.dedup import settle_batch
 from tests.test_text import py_norm, py_shingles
 
@@ -216,3 +219,179 @@ def test_wave_with_repairs(spark):
     assert generate.calculate("2*(3+4)") == 14 and generate.calculate("7/2") == 3.5
     with pytest.raises(ValueError):
         generate.calculate("__import__('os')")
+
+
+# ---------------------------------------------------------------------------- cascade
+
+
+def test_json_schema_over_nested_columns(spark):
+    schema = {
+        "required": ["q", "tags", "absent"],
+        "properties": {
+            "q": {"type": "string", "minLength": 2, "pattern": r"^\w"},
+            "n": {"type": "integer", "minimum": 1, "maximum": 5},
+            "tags": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string", "enum": ["a", "b"]}},
+            "m": {"type": "array", "items": {"type": "object", "required": ["role"], "properties": {"role": {"type": "string", "maxLength": 3}}}},
+            "wrong": {"type": "boolean"},
+        },
+    }
+    df = spark.createDataFrame([(1, "éa", 3, ["a"], [("x",)], None), (2, "!", 9, ["a", "z", "b"], [(None,), ("long",)], "t"), (3, None, None, None, None, None)], "id int, q string, n int, tags array<string>, m array<struct<role:string>>, wrong string")
+    got = {r["id"]: [(i["code"], i["path"]) for i in r["i"]] for r in df.select("id", validate.json_schema_issues(schema, df.schema).alias("i")).collect()}
+    assert got[1] == [("schema_required", "absent")]
+    assert set(got[2]) == {("schema_required", "absent"), ("schema_minLength", "q"), ("schema_pattern", "q"), ("schema_maximum", "n"), ("schema_maxItems", "tags"), ("schema_enum", "tags[1]"), ("schema_required", "m[0].role"), ("schema_maxLength", "m[1].role"), ("schema_type", "wrong")}
+    assert got[3] == [("schema_required", "absent"), ("schema_required", "q"), ("schema_required", "tags")]
+
+
+def test_rules_labels_and_validators(spark):
+    df = spark.createDataFrame([(1, [("customer", "Buy NOW"), ("assistant", "you should buy")], "true", "x"), (2, [("customer", "nowhere"), ("assistant", None)], "1", None), (3, None, None, "now")], "id int, messages array<struct<role:string,content:string>>, label string, note string")
+    rule = {"kind": "forbidden", "keywords": ["now", "should"], "match": "word", "fields": ["note"]}
+    need = {"kind": "required", "keywords": ["buy", "sell"], "require": "all", "roles": ["assistant"], "when": {"label": ["true", "1"]}}
+    rows = df.select("id", validate.rule_issues(rule, F.col("messages")).alias("a"), validate.rule_issues(need, F.col("messages")).alias("b"), validate.label_issues(F.col("label"), F.when(F.col("id") < 3, "true")).alias("c")).collect()
+    pick = lambda k: {r["id"]: [(i["code"], i["path"]) for i in r[k]] for r in rows}
+    assert pick("a") == {1: [("keyword_forbidden", "messages[0].content"), ("keyword_forbidden", "messages[1].content")], 2: [], 3: [("keyword_forbidden", "note")]}
+    assert pick("b") == {1: [("keyword_required", None)], 2: [("keyword_required", None)] * 2, 3: []}
+    assert pick("c") == {1: [], 2: [("label_disagrees", "label")], 3: [("label_rule_error", "label")]}
+
+    def validator(r):
+        return ["short"] if len(r["note"]) < 2 else [("too_soon", "note")]
+
+    got = {r["id"]: [(i["code"], i["path"]) for i in r["issues"]] for r in validate.extra_issues(df, validator, "id").collect()}
+    assert got == {1: [("extra_validator", None)], 2: [("extra_validator_error", None)], 3: [("too_soon", "note")]}
+
+
+def test_six_layers_end_at_the_first_that_objects(spark):
+    words = "one two three four five six seven eight nine ten"
+    rows = [(1, "", "a", True), (2, "bad " + words, "a", True), (3, "you idiot " + words, "a", True), (4, words, "a", True), (5, "five " * 9, "b", True), (6, "six " * 9, "a", True), (7, "seven " * 9, "a", True), (8, "eight " * 9, "a", False), (9, "nine " * 9, None, True)]
+    df = spark.createDataFrame(rows, "id int, text string, label string, hard boolean")
+    seen = []
+
+    def watch(name, check):
+        def run(reach):
+            seen.append((name, {r["id"] for r in reach.collect()}))
+            return check(reach)
+        return run
+
+    held = spark.createDataFrame([(1, words)], "item_id int, text string")
+    judged = spark.createDataFrame([(5, "a", "b", 0.9), (6, "a", "a", 0.9), (7, "a", "a", 0.2), (8, "a", "a", 0.9), (9, None, "a", 0.9)], "id int, verdict string, label string, confidence double")
+    votes = spark.createDataFrame([(6, "consistency_no_votes"), (7, "consistency_no_majority"), (8, "consistency_no_majority")], "id int, code string")
+    scanner = governance.RuleScanner("toxicity", {"insult": S.toxicity_pattern("insult")})
+    layers = [
+        validate.Layer("L1", validate.json_schema_issues({"properties": {"text": {"minLength": 1}}}, df.schema)), validate.Layer("L2", validate.rule_issues({"kind": "forbidden", "keywords": ["bad"], "fields": ["text"]})),
+        validate.Layer("L3", validate.governance_issues(F.array(F.struct(F.col("text").alias("content"))), scanner)), validate.Layer("L4", watch("L4", validate.overlap_issues(held))),
+        validate.Layer("L5", watch("L5", validate.judge_issues(judged))), validate.Layer("L6", watch("L6", validate.vote_issues(votes, F.col("hard")))),
+    ]
+    got = {r["id"]: (r["layer"], r["outcome"], [i["code"] for i in r["issues"]]) for r in validate.run_cascade(df, layers).collect()}
+    assert got == {
+        1: ("L1", "fail_repairable", ["schema_minLength"]), 2: ("L2", "fail_repairable", ["keyword_forbidden"]), 3: ("L3", "fail_hard", ["toxicity_insult"]), 4: ("L4", "fail_hard", ["held_out_overlap"]), 5: ("L5", "fail_repairable", ["judge_disagrees"]),
+        6: ("L6", "fail_hard", ["consistency_no_votes"]), 7: ("L6", "fail_repairable", ["consistency_no_majority"]), 8: (None, "pass", []), 9: ("L5", "fail_hard", ["judge_error"]),
+    }
+    assert seen == [("L4", {4, 5, 6, 7, 8, 9}), ("L5", {5, 6, 7, 8, 9}), ("L6", {6, 7, 8})]
+    low = validate.run_cascade(df, [validate.Layer("L5", validate.judge_issues(judged, review=True))]).filter("id in (7, 9)").collect()
+    assert {(r["id"], r["outcome"], r["issues"][0]["code"]) for r in low} == {(7, "fail_hard", "sent_to_review"), (9, "fail_hard", "sent_to_review")}
+    trusted = validate.run_cascade(df, [validate.Layer("L6", validate.vote_issues(votes, trusted=df.filter("id = 7")))]).filter("id = 7").first()
+    assert trusted["outcome"] == "pass"
+    for names in (["L2", "L1"], ["L1", "L1"], ["L9"]):
+        with pytest.raises(validate.CascadeError):
+            validate.run_cascade(df, [validate.Layer(n, validate.no_issues()) for n in names])
+
+
+def test_answers_and_options_of_a_task_type(spark):
+    q = "Which?\nA) one\nB) two"
+    df = spark.createDataFrame([(1, q, "Answer: B", "B"), (2, q, "Answer: B", "A"), (3, q, "none", None), (4, "Which?", "Answer: A", "A"), (5, q, "Answer: C", None), (6, None, None, None)], "id int, q string, r string, a string")
+    got = {r["id"]: [i["code"] for i in r["i"]] for r in df.select("id", F.concat(validate.answer_issues(F.col("r"), F.col("a"), T.choice_answer), validate.option_issues(F.col("q"), F.col("r"), F.col("a"))).alias("i")).collect()}
+    assert got == {1: [], 2: ["response_answer"], 3: ["response_answer"], 4: ["option"], 5: ["option"], 6: []}
+
+
+# ---------------------------------------------------------------------------- report, plans, votes
+
+
+def test_report_by_cell_and_overall(spark):
+    L = "array<struct<layer:string,outcome:string,attempt:int>>"
+    acc = spark.createDataFrame([
+        (1, "a", "one two three", "x", 1, [("L2", "fail_repairable", 0), ("L5", "fail_repairable", 1), ("L5", "pass", 1)]), (2, "a", "one two four", "y", 0, [("L5", "fail_repairable", 0)]), (3, "b", "five six", None, 0, None)], f"id int, cell_id string, text string, label string, repair_count int, layer_results {L}")
+    drops = spark.createDataFrame([("b", "L3", 2, None)], "cell_id string, layer string, attempts int, history array<struct<layer:string,codes:array<string>>>")
+    cells = spark.createDataFrame([("a", 2, {"label": "x"}), ("b", 4, {"label": "y"}), ("c", 0, {"label": "y"})], "cell_id string, quota bigint, params map<string,string>")
+    flags = spark.createDataFrame([("a", ["pii_email"]), ("a", []), ("b", None)], "cell_id string, codes array<string>")
+    over = spark.createDataFrame([("a", "seed", 0.4), ("b", "held_out", 0.7), ("b", "corpus", 0.9)], "cell_id string, source string, score double")
+    residuals = spark.createDataFrame([("x", 0.1)], "judged string, residual double")
+    made = metrics.report(acc, drops, cells, residuals=residuals, fallback=0.3, kappa=0.8, flags=flags, overlaps=over, usage={"cost": 0.6, "tokens": None})
+    by = {r["cell_id"]: r for r in made.collect()}
+    whole, a, b, c = by[None], by["a"], by["b"], by["c"]
+    assert (whole["accepted"], whole["judged"], whole["fidelity"], whole["candidates"], whole["quota"]) == (3, 2, 0.5, 6, 6) and whole["yield"] == 0.5
+    assert (a["fidelity"], a["candidates"], a["fill"], b["fidelity"], b["candidates"], b["fill"], c["fill"], c["accepted"]) == (0.5, 3, 1.0, None, 3, 0.25, 1.0, 0)
+    assert (whole["min_cell_fill"], whole["short_cells"], round(whole["cells_at_quota"], 6)) == (0.25, 1, 0.666667)
+    assert abs(whole["residual_error"] - (0.1 + 0.3 + 0.3) / 3) < 1e-9 and abs(a["residual_error"] - 0.2) < 1e-9
+    assert (whole["governance_violations"], a["governance_violations"], b["governance_violations"], c["governance_violations"]) == (1, 1, 0, 0)
+    assert (whole["overlap_max"], a["overlap_max"], c["overlap_max"]) == (0.7, 0.4, None)
+    assert a["balance_max_deviation"] == 0.5 and b["balance_max_deviation"] == 0 and abs(whole["balance_max_deviation"]) < 1e-9
+    assert whole["kappa"] == 0.8 and a["kappa"] is None and abs(whole["cost_per_record"] - 0.2) < 1e-12 and whole["tokens_per_record"] is None
+    assert abs(whole["distinct_2"] - 4 / 5) < 1e-9 and a["distinct_2"] == 3 / 4 and whole["self_bleu"] is not None and b["self_bleu"] is None
+    fails = {(r["cell_id"], r["metric"], r["reason"]) for r in metrics.gate(metrics.gate_values(made), {"coverage_min_cell_fill": 0.5, "overlap_max": 0.7, "semantic_diversity_min": 1.0, "fidelity_min": None}, ("semantic_diversity_min",)).collect()}
+    assert fails == {(None, "coverage_min_cell_fill", "below_min"), ("b", "coverage_min_cell_fill", "below_min"), (None, "governance_violations_max", "governance"), ("a", "governance_violations_max", "governance")}
+    for bad in (("governance_violations_max",), ("nothing",)):
+        with pytest.raises(metrics.GateError):
+            metrics.gate(metrics.gate_values(made), {}, bad)
+    with pytest.raises(ValueError, match="zz"):
+        metrics.report(acc.withColumn("cell_id", F.lit("zz")), drops, cells)
+
+
+def test_places_in_a_total_order(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(50)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "id int, k int").repartition(9)
+    got = {r["id"]: r["place"] for r in numbered(df, "k", F.col("id").desc(), name="place").collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == [i for i, _ in sorted(rows, key=lambda r: (r[1], -r[0]))]
+    assert numbered(df.limit(0), "k").count() == 0
+
+
+def test_conditional_samples(spark):
+    slots = spark.createDataFrame([(i, "x" if i % 2 else "y", "q" if i % 10 == 0 else None) for i in range(2_000)], "slot bigint, scope string, tier string")
+    fields = [{"name": "tier", "given": "scope", "by": {"x": {"p": 1.0, "r": 3.0}, "y": {"p": 1.0, "s": 0.0}}}, {"name": "mood", "weights": {"calm": 1.0, "rough": 1.0}, "when": "tier = 'p'"}]
+    out = planning.conditional_sample(slots, fields, "7")
+    rows = out.collect()
+    assert out.repartition(5).select("slot", "tier", "mood").sort("slot").collect() == out.select("slot", "tier", "mood").sort("slot").collect()
+    assert all(not r["valid"] and r["tier"] == "q" for r in rows if r["slot"] % 10 == 0)
+    free = [r for r in rows if r["slot"] % 10]
+    assert all(r["valid"] for r in free) and {r["tier"] for r in free if r["scope"] == "y"} == {"p"}
+    share = sum(r["tier"] == "r" for r in free if r["scope"] == "x") / sum(r["scope"] == "x" for r in free)
+    assert abs(share - 0.75) < 0.05 and all((r["mood"] is not None) == (r["tier"] == "p") for r in free)
+    with pytest.raises(planning.PlanError):
+        planning.choose(F.lit(0.5), {"a": 0.0})
+
+
+def test_plans_and_samples(spark):
+    cells, dropped = planning.build_plan(spark, {"axes": {"k": {"values": ["a", "b"]}, "l": {"values": ["x", "y"]}}, "balance": {"l": {"x": 0.75, "y": 0.25}}}, 20, constraint=lambda c: None if c["cell_id"] == "b|y" else c["params"])
+    got = {r["cell_id"]: r["quota"] for r in cells.collect()}
+    assert sum(got.values()) == 20 and got["a|y"] == 5 and [d["cell_id"] for d in dropped] == ["b|y"]
+    with pytest.raises(planning.PlanError):
+        planning.fit_shares([{"share": 1.0, "params": {"l": "x"}}], {"l": {"x": 0.5, "y": 0.5}})
+    df = spark.range(500)
+    one, two = ({r["id"] for r in planning.drawn(d, 40, "id", seed="s").collect()} for d in (df, df.repartition(7)))
+    assert one == two and len(one) == 40 and {r["id"] for r in planning.drawn(df, 40, "id", seed="t").collect()} != one
+    assert planning.drawn(df, 900, "id").count() == 500
+
+
+def test_votes_that_mean_a_label(spark):
+    b = spark.createDataFrame([(1, "yes"), (1, "yes"), (1, "no"), (1, None), (2, "yes"), (2, "no"), (3, None), (4, "odd")], "record_id int, vote string")
+    labels = spark.createDataFrame([(1, "true"), (2, "true"), (3, "true"), (4, "true")], "record_id int, label string")
+    got = {r["record_id"]: (r["agree"], r["cast_votes"], r["code"]) for r in judging.vote_agreement(b, labels, {"yes": "true", "no": "false"}).collect()}
+    assert got == {1: (2, 3, None), 2: (1, 2, "consistency_disagrees"), 3: (0, 0, "consistency_no_votes"), 4: (0, 1, "consistency_disagrees")}
+
+
+def test_small_sides_over_the_bound_take_several_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=6))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    items = texts.filter("id < 25").withColumnRenamed("id", "item_id")
+    vectors = spark.createDataFrame([(i, [rng.random() for _ in range(5)]) for i in range(40)] + [(40, [0.0] * 5), (41, None)], "vec_id bigint, embedding array<double>")
+    whole = sorted(map(tuple, overlap.best_match(texts, items).collect())), sorted((r["query_id"], r["rank"], r["vec_id"]) for r in overlap.nearest_vectors(vectors, vectors, 3).collect())
+    monkeypatch.setattr(overlap, "MAX_ITEMS", 7)
+    parts = sorted(map(tuple, overlap.best_match(texts, items).collect())), sorted((r["query_id"], r["rank"], r["vec_id"]) for r in overlap.nearest_vectors(vectors, vectors, 3).collect())
+    assert whole == parts and len(whole[1]) == 120
+    assert overlap.best_match(texts, items.limit(0)).count() == 0 == overlap.nearest_vectors(vectors.limit(0), vectors).count()
+
+
+def test_overlap_with_any_key(spark):
+    texts = spark.createDataFrame([("r", "some words here")], "id string, text string")
+    items = spark.createDataFrame([("f:2", "some words here"), ("f:1", "some words here")], "item_id string, text string")
+    assert [tuple(r) for r in overlap.best_match(texts, items).collect()] == [("r", "f:1", 1.0)]

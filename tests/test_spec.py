@@ -3,6 +3,7 @@ import json
 import pytest
 
 from granary.operators import planning, retrieval
+from granary.operators.metrics import GATED
 from granary.plans import spec
 
 RUBRIC = {"verdict": {"values": ["yes", "no"]}, "criteria": [{"name": "depth", "min": 1, "max": 5}, {"name": "tone", "values": ["calm", "rough"]}]}
@@ -53,3 +54,19 @@ def test_retrieval_loop(spark):
     words, history = retrieval.retrieve_and_extract(index, docs, "finance", ["bond_pricing"], lambda text, known: [w for w in text.split() if len(w) > 4], iterations=3, top=2)
     assert words[0] == "bond_pricing" and "yield" in words and history[0]["query"] == "finance bond pricing"
     assert len(set(words)) == len(words)
+
+
+def test_stage_zero_gathers_all_problems(spark):
+    body = spec.parse_spec({
+        "task": {"name": "x", "type": "classification_spans", "generation_mode": "answer_emergent"}, "tools": [{"name": "calc"}, {"name": "none"}], "thresholds": {"fidelity_min": 0.9, "kappa_min": None},
+        "rubric": {"verdict": {"values": ["a"]}, "criteria": [], "examples": [{"record": {"messages": [{"content": "mail a.b@mail.example.org"}], "label": "a"}, "note": "n"}]},
+        "validation": {"layers": ["L6"], "consistency_k": 3, "temperatures": [0.0]}, "models": {"generator": {"backend": "jev"}, "judge": {"backend": "jev"}}, "governance": {"toxicity_exceptions": ["profanity"]},
+    })
+    seeds = spark.createDataFrame([(1, "messages[0].content", "you idiot"), (2, "messages[0].content", "fine")], "id int, path string, text string")
+    found = spec.stage0_problems(body, seeds, {"calc"})
+    for part in ("governance: ", "seed 1 fails toxicity scan: rule insult", "examples[0]: the judge may not see ['label']", "examples[0] fails pii scan: rule email at record.messages[0].content", "'none' is in no registry", "roles: ", "thresholds.kappa_min", "models.generator: jev writes no text", "writes no reasons", "can't answer questions"):
+        assert any(part in p for p in found), part
+    assert not any("seed 2" in p or "idiot" in p or "fidelity_min" in p or "temperature" in p for p in found)
+    fine = {"task": {"name": "x"}, "thresholds": {k: 1.0 for k in GATED}, "validation": {"layers": ["L6"], "temperatures": [0.0]}}
+    assert spec.stage0_problems(fine) == ["validation.temperatures: 5 votes at temperature 0 would repeat each other"]
+    assert spec.stage0_problems(fine | {"validation": {"layers": ["L6"], "temperatures": [0.0, 0.7]}}) == []
