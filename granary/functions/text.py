@@ -22,7 +22,7 @@ _LONGER = {c: f for c, f in _FOLDS.items() if len(f) > 1}
 _USUAL = ("ß", "ς", "ſ", "µ")
 
 
-def _around(chars: list[str], gap: int = 8) -> str:
+def _around(chars: list[str], gap: int = 96) -> str:
     """A short class of ranges that holds the characters, and some between near ones: a quick test of what may need folding."""
     ranges: list[list[int]] = []
     for p in sorted(map(ord, chars)):
@@ -45,7 +45,7 @@ def casefold(x: Column) -> Column:
 
     def rest(t: Column) -> Column:
         spelled = F.array_join(F.transform(F.split(F.translate(t, "".join(_SINGLE), "".join(_SINGLE.values())), ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-        return F.when(t.rlike(_MAY_FOLD), spelled).otherwise(t)
+        return F.when((F.octet_length(t) > F.length(t)) & t.rlike(_MAY_FOLD), spelled).otherwise(t)
 
     return F.transform(F.array(low), rest)[0]  # bound by a lambda, so that it is computed once
 

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.session import cut
+from granary.session import cut, spread
 
 
 def distinct_n(texts: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """Distinct n-grams over all n-grams of ``texts`` (text), overall or ``by`` columns; null where there is none."""
     by = by or []
-    grams = texts.select(*by, F.explode_outer(T.ngrams(T.tokens(F.col("text")), n)).alias("g"))
+    grams = spread(texts.select(*by, "text")).select(*by, F.explode_outer(T.ngrams(T.tokens(F.col("text")), n)).alias("g"))
     counted = grams.groupBy(*by, "g").agg(F.count("g").alias("c"))
     return counted.groupBy(*by).agg(F.try_divide(F.count("g").cast("double"), F.sum("c")).alias(f"distinct_{n}"))
 
@@ -35,13 +35,15 @@ def self_bleu(texts: DataFrame, max_n: int = 4, epsilon: float = 0.1, by: list[s
         return F.transform(T.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), g).alias("g")))
 
     group = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
-    words = texts.select(*by, "id", group.alias("_grp"), T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    words = cut(words.select(*by, "id", "_grp", F.size("w").alias("len"), F.concat(*[numbered_grams(n) for n in range(1, max_n + 1)]).alias("grams")).repartition("_grp", "id"))
-    counts = words.select("_grp", "id", F.explode("grams").alias("x")).groupBy("_grp", "id", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.count(F.lit(1)).alias("c"))
+    placed = texts.select(*by, "id", group.alias("_grp"), "text").repartition("_grp", "id")
+    words = placed.select(*by, "id", "_grp", T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    grams = words.select("_grp", "id", F.explode(F.concat(*[numbered_grams(n) for n in range(1, max_n + 1)])).alias("x"))
+    counts = grams.groupBy("_grp", "id", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.count(F.lit(1)).alias("c"))
     two = counts.withColumn("r", F.row_number().over(Window.partitionBy("_grp", "n", "g").orderBy(F.col("c").desc(), "id"))).filter("r <= 2")
     tops = two.groupBy("_grp", "n", "g").agg(F.max("c").alias("top"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("c"))), F.lit(0)).alias("second"), F.max(F.when(F.col("r") == 1, F.col("id"))).alias("id"))
     lost = tops.filter("top > second").groupBy("_grp", "id").pivot("n", list(range(1, max_n + 1))).agg(F.sum(F.col("top") - F.col("second")))
-    own = words.select(*by, "_grp", "id", "len").join(lost, ["_grp", "id"], "left")
+    lengths = cut(words.select(*by, "_grp", "id", F.size("w").alias("len")))
+    own = lengths.join(lost, ["_grp", "id"], "left")
     terms = []
     for n in range(1, max_n + 1):
         total = F.col("len") - (n - 1)
@@ -49,7 +51,7 @@ def self_bleu(texts: DataFrame, max_n: int = 4, epsilon: float = 0.1, by: list[s
         terms.append(F.when(total > 0, F.log(F.when(hit == 0, F.lit(epsilon)).otherwise(hit) / total)))
     present = F.array_compact(F.array(*terms))
     precision = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v) / F.size(present)
-    sizes = words.groupBy("_grp", "len").agg(F.count(F.lit(1)).alias("n"))  # distinct lengths: few rows in a group
+    sizes = lengths.groupBy("_grp", "len").agg(F.count(F.lit(1)).alias("n"))  # distinct lengths: few rows in a group
     w = Window.partitionBy("_grp").orderBy("len")
     near = sizes.select("_grp", "len", "n", F.lag("len").over(w).alias("low"), F.lead("len").over(w).alias("high"))
     closest = F.when(F.col("n") > 1, F.col("len")).when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull(), F.col("low")).when(F.col("len") - F.col("low") <= F.col("high") - F.col("len"), F.col("low")).otherwise(F.col("high"))

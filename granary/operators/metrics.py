@@ -143,13 +143,13 @@ def overlap_maxima(scores: DataFrame) -> DataFrame:
     return sets.select("cell_id", (F.col("g") == 1).alias("is_total"), "source", "overlap")
 
 
-def report(accepted: DataFrame, drops: DataFrame, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, residuals: DataFrame | None = None, fallback: float | None = None, kappa: float | None = None, flags: DataFrame | None = None, overlaps: DataFrame | None = None, usage: dict[str, float | None] | None = None, entropy: float | None = None) -> DataFrame:
+def report(accepted: DataFrame, drops: DataFrame, cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, residuals: DataFrame | None = None, fallback: float | None = None, kappa: float | None = None, flags: DataFrame | None = None, overlaps: DataFrame | None = None, usage: dict[str, float | None] | None = None, entropy: float | None = None, with_diversity: bool = True) -> DataFrame:
     """Every release metric, one row overall (null cell, ``is_total``) and one per cell of the plan.
 
     ``accepted``: id, cell_id, text, label, repair_count, layer_results. ``drops``: cell_id, layer, attempts, history.
     ``cells``: cell_id, quota, params. ``targets``: shares by axis and value; without them the planned shares of labels.
     ``flags``: cell_id, codes of each accepted record, ``overlaps``: cell_id, source, score; without them governance and
-    overlap are not measured. What is not measured is null, never 0. Records of cells that the plan lacks raise."""
+    overlap are not measured, nor is diversity with ``with_diversity`` off. What is not measured is null, never 0. Records of cells that the plan lacks raise."""
     from granary.operators import diversity
 
     if unknown := [r["cell_id"] for r in unknown_cells(accepted, cells).select("cell_id").distinct().limit(20).collect()]:
@@ -203,16 +203,23 @@ def report(accepted: DataFrame, drops: DataFrame, cells: DataFrame, targets: dic
         top = overlap_maxima(overlaps.filter(F.col("source").isin(*OVERLAP_SOURCES)))
         out = out.join(key(top.groupBy("cell_id", "is_total").agg(F.max("overlap").alias("overlap_max"))), "_k", "left")
 
+    if not with_diversity:
+        out = out.withColumns({"distinct_2": F.lit(None).cast("double"), "self_bleu": F.lit(None).cast("double")})
+        return _whole_figures(out, usage or {}, kappa, entropy)
     texts = accepted.select("id", "cell_id", "text")
     null_cell = lambda df: df.withColumn("cell_id", F.lit(None).cast("string")).withColumn("is_total", F.lit(True))
     distinct = null_cell(diversity.distinct_n(texts, 2)).unionByName(diversity.distinct_n(texts, 2, ["cell_id"]).withColumn("is_total", F.lit(False)))
     bleu = null_cell(diversity.self_bleu(texts)).unionByName(diversity.self_bleu(texts, by=["cell_id"]).withColumn("is_total", F.lit(False)))
     out = out.join(key(distinct), "_k", "left").join(key(bleu), "_k", "left")
 
-    usage = usage or {}
-    only = lambda v, kind="double": F.when(F.col("is_total"), F.lit(v).cast(kind))
-    out = out.withColumns({"kappa": only(kappa), "cluster_entropy": only(entropy)} | {f"{n}_per_record": F.when(F.col("is_total"), per_record(F.lit(usage.get(n)), F.col("accepted"))) for n in ("tokens", "cost", "seconds")})
-    return out.drop("_k")
+    return _whole_figures(out, usage or {}, kappa, entropy)
+
+
+def _whole_figures(out: DataFrame, usage: dict[str, float | None], kappa: float | None, entropy: float | None) -> DataFrame:
+    """What is known of the whole only, beside the rest of a report."""
+    only = lambda v: F.when(F.col("is_total"), F.lit(v).cast("double"))
+    per = {f"{n}_per_record": F.when(F.col("is_total"), per_record(F.lit(usage.get(n)), F.col("accepted"))) for n in ("tokens", "cost", "seconds")}
+    return out.withColumns({"kappa": only(kappa), "cluster_entropy": only(entropy)} | per).drop("_k")
 
 
 # ---------------------------------------------------------------------------- gate

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.session import cut, staged
+from granary.session import cut, spread, staged
 
 
 @dataclass
@@ -31,13 +31,13 @@ def build_index(docs: DataFrame, epsilon: float = 0.25) -> Bm25Index:
     ln(N - df + 0.5) - ln(df + 0.5), and negative values become epsilon x the mean idf, negatives included.
 
     Texts are read into words once; all else is counted from the staged postings."""
-    words = docs.select("id", T.tokens(F.col("text"), folded=False).alias("w")).filter(F.size("w") > 0)
+    words = spread(docs.select("id", "text")).select("id", T.tokens(F.col("text"), folded=False).alias("w")).filter(F.size("w") > 0)
     counted = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     postings = staged(counted.select("term", "id", "tf", "dl"), "postings")
     n = docs.count()
     average = (postings.agg(F.sum("tf")).first()[0] or 0) / n if n else 0.0
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = cut(df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0]
     return Bm25Index(postings, raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon * (mean or 0.0))).otherwise(F.col("raw")).alias("idf")), average)
 
@@ -49,12 +49,13 @@ def search(index: Bm25Index, queries: DataFrame, top: int = 10, k1: float = 1.5,
     terms, with their idf, go to the postings if they are at most MAX_TERMS; each task keeps its best per query.
     """
     terms = queries.select("query_id", F.explode(T.tokens(F.col("text"), folded=False)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = cut(terms.join(index.terms.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")))
-    few = weighted.count() <= MAX_TERMS
+    terms = cut(terms)
+    few = terms.count() <= MAX_TERMS
+    weighted = index.terms.select("term", "idf").join(F.broadcast(terms) if few else terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
     hits = index.postings.join(F.broadcast(weighted) if few else weighted, "term")
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.average)))
     scored = hits.select("query_id", "id", part.alias("part")).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")  # sums of equal parts in another order are ties
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
