@@ -31,13 +31,16 @@ def self_bleu(texts: DataFrame, max_n: int = 4, epsilon: float = 0.1, by: list[s
     """
     by = by or []
 
-    def numbered_grams(n: int) -> Column:
-        return F.transform(T.ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), g).alias("g")))
+    def numbered_grams(h: Column, n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.lit(n), *[F.get(h, i + j) for j in range(n)]).alias("g")))
+        return F.when(F.size(h) >= n, made).otherwise(F.array().cast("array<struct<n:int,g:bigint>>"))
 
     group = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
     placed = texts.select(*by, "id", group.alias("_grp"), "text").repartition("_grp", "id")
     words = placed.select(*by, "id", "_grp", T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    grams = words.select("_grp", "id", F.explode(F.concat(*[numbered_grams(n) for n in range(1, max_n + 1)])).alias("x"))
+    # grams are hashed from their words' hashes, which are bound by a lambda, so that each word is hashed once
+    every = F.transform(F.array(F.transform("w", lambda t: F.xxhash64(t))), lambda h: F.concat(*[numbered_grams(h, n) for n in range(1, max_n + 1)]))[0]
+    grams = words.select("_grp", "id", F.explode(every).alias("x"))
     counts = grams.groupBy("_grp", "id", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.count(F.lit(1)).alias("c"))
     two = counts.withColumn("r", F.row_number().over(Window.partitionBy("_grp", "n", "g").orderBy(F.col("c").desc(), "id"))).filter("r <= 2")
     tops = two.groupBy("_grp", "n", "g").agg(F.max("c").alias("top"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("c"))), F.lit(0)).alias("second"), F.max(F.when(F.col("r") == 1, F.col("id"))).alias("id"))
