@@ -7,12 +7,12 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.abuse_phrases import ABUSIVE, HARMLESS
@@ -26,13 +26,15 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 16, 12, (1, 2, 3)
 MAX_LABELS, BACKGROUND_TEXTS = 20_000, 2_000
 #: Of these sentences, how many a member learns from: at random, at least of each language, and those it is least sure of.
 BASE_UNITS, PER_LANGUAGE, HARD_UNITS = 18_000, 700, 6_000
-#: Background sentences over this score are neither: they are left out of training.
-SUSPECT = 0.7
+#: Background sentences over this score are neither: they are left out of training. Those under NEAR have taught their lesson.
+SUSPECT, NEAR = 0.7, 0.05
 #: Share of a language's background sentences (four at least) a word must occur in to be learnt from them, and share of rarer ones learnt all the same.
 COMMON, SHOWN, RARE = 0.001, 0.05, ""
 #: Thresholds that are tried; the strict one; by which part more background may be over a threshold than over that.
 GRID, STRICT, GROWTH = np.arange(0.6, 0.9, 0.01), 0.9, 0.06
 MEMBERS = 3
+#: Epochs in which members learn all examples.
+REFIT = 3
 #: Tokens of a training stretch; longer sentences become several.
 PIECE = 56
 BATCH, RATE, SEED = 128, 0.007, 7
@@ -134,14 +136,27 @@ class Committee:
 
 
 class Scorer:
-    """Applies one network or several: every word's products with all filter columns are computed once and kept by token."""
+    """Applies one network or several: every word's products with all filter columns are computed once and kept by token.
+    Filters whose output weight is zero are left out."""
 
     def __init__(self, net: Network | Committee):
         self.nets = net.members if isinstance(net, Committee) else [net]
-        self.each = sum(WIDTHS) * FILTERS
-        self.width = self.each * len(self.nets)
-        self.weights = [np.concatenate([f.reshape(w, DIM, FILTERS).transpose(1, 0, 2).reshape(DIM, w * FILTERS) for w, f in zip(WIDTHS, n.filters)], axis=1).astype(np.float32) for n in self.nets]
-        self.table = np.zeros((1024, self.width), dtype=np.float32)  # row 0: padding and unknown words
+        self.blocks: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # width, filters of all networks, their biases, output weights by network
+        columns = []
+        for i, w in enumerate(WIDTHS):
+            own = [(k, f) for k, n in enumerate(self.nets) for f in np.flatnonzero(n.out[i * FILTERS : (i + 1) * FILTERS])]
+            outs = np.zeros((len(own), len(self.nets)), dtype=np.float32)
+            for j, (k, f) in enumerate(own):
+                outs[j, k] = self.nets[k].out[i * FILTERS + f]
+            for j in range(w):
+                for k, f in own:
+                    columns.append(np.zeros(len(self.nets) * DIM, dtype=np.float32))
+                    columns[-1][k * DIM : (k + 1) * DIM] = self.nets[k].filters[i][j * DIM : (j + 1) * DIM, f]
+            if own:
+                self.blocks.append((w, len(own), np.array([self.nets[k].biases[i][f] for k, f in own], dtype=np.float32), outs))
+        self.weights = np.array(columns, dtype=np.float32).reshape(len(columns), len(self.nets) * DIM).T
+        self.bias = np.array([n.bias for n in self.nets], dtype=np.float32)
+        self.table = np.zeros((1024, len(columns)), dtype=np.float32)  # row 0: padding and unknown words
         self.rows: dict[str, int] = {}
         self.used = 1
 
@@ -154,49 +169,48 @@ class Scorer:
             if self.used == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             r = self.used
-            for k, (v, w) in enumerate(zip(vs, self.weights)):
-                if v is not None:
-                    self.table[r, k * self.each : (k + 1) * self.each] = v @ w
+            self.table[r] = np.concatenate([np.zeros(DIM, dtype=np.float32) if v is None else v for v in vs]) @ self.weights
             self.used += 1
         if len(self.rows) < 2_000_000:  # tokens that were never trained all share row 0
             self.rows[token] = r
         return r
 
-    def score(self, segments: list[str]) -> np.ndarray:
-        """Scores of cleaned segments between 0 and 1."""
-        if not segments:
-            return np.zeros(0, dtype=np.float32)
+    def each(self, found: list[list[str]]) -> np.ndarray:
+        """Scores between 0 and 1 of the raw tokens of cleaned segments: a row per segment, a column per network."""
+        out = np.empty((len(found), len(self.nets)), dtype=np.float32)
         ids: list[int] = []
         starts: list[int] = []
         pad = [0] * max(WIDTHS)
         rows, row = self.rows, self.row
-        for s in segments:
+        for s in found:
             starts.append(len(ids))
-            ids.extend([rows[t] if t in rows else row(t) for t in raw_tokens(s)])
+            ids.extend([rows[t] if t in rows else row(t) for t in s])
             ids.extend(pad)
-        out = np.empty(len(segments), dtype=np.float32)
         at = np.array(starts + [len(ids)])
-        idx = np.array(ids)
+        idx = np.array(ids, dtype=np.int64)
         k = 0
-        while k < len(segments):  # bounded slices keep memory flat
-            e = int(np.searchsorted(at, at[k] + 20_000, "right")) - 1
+        while k < len(found):  # bounded slices keep memory flat and in the cache
+            e = int(np.searchsorted(at, at[k] + 4_000, "right")) - 1
             e = max(e, k + 1)
             part = self.table[idx[at[k] : at[e]]]
-            begin = at[k:e] - at[k]
-            total = np.zeros(e - k, dtype=np.float32)
-            for i, net in enumerate(self.nets):
-                feats, off = [], i * self.each
-                for w, b in zip(WIDTHS, net.biases):
-                    c = part[:, off : off + FILTERS].copy()
-                    for j in range(1, w):
-                        c[:-j] += part[j:, off + j * FILTERS : off + (j + 1) * FILTERS]
-                    off += w * FILTERS
-                    feats.append(np.maximum(np.maximum.reduceat(c, begin, axis=0) + b, 0))
-                total += 1 / (1 + np.exp(-(np.concatenate(feats, axis=1) @ net.out + net.bias)))
-            out[k:e] = total / len(self.nets)
+            # a segment's windows begin at its words or at the first word of its padding; later ones reach into the next segment
+            ends = np.stack([at[k:e], at[k + 1 : e + 1] - len(pad) + 1], axis=1).ravel() - at[k]
+            total = np.tile(self.bias, (e - k, 1))
+            off = 0
+            for w, n, b, outs in self.blocks:
+                c = part[:, off : off + n].copy()
+                for j in range(1, w):
+                    c[:-j] += part[j:, off + j * n : off + (j + 1) * n]
+                off += w * n
+                total += np.maximum(np.maximum.reduceat(c, ends, axis=0)[::2] + b, 0) @ outs
+            out[k:e] = 1 / (1 + np.exp(-total))
             k = e
         return out
 
+    def score(self, segments: list[str]) -> np.ndarray:
+        """Scores of cleaned segments between 0 and 1: the mean of the networks' scores."""
+        return self.each([raw_tokens(s) for s in segments]).mean(axis=1)
+
 
 def pieces(found: list[str]) -> list[list[str]]:
     """Tokens in stretches of PIECE for training, which overlap by the widest filter: no token is left out."""
@@ -315,59 +329,95 @@ def examples(labelled: list[tuple[str, float | None, float | None]]) -> list[Exa
     return out
 
 
-def fit_one(known: list[Example], background: list[str], seed: int) -> Network:
-    """Train on labelled texts, example remarks and background sentences.
-
-    Most background is harmless, some of it is not, and nobody says which. Sentences drawn at random teach a first network
-    as harmless. What it calls abusive all the same (SUSPECT) is left out from then on; of the rest, those it is least sure
-    of join in as harder examples."""
-    rng = np.random.default_rng(seed)
+def divided(background: list[str], rng: np.random.Generator) -> tuple[list[str], list[str]]:
+    """Sentences drawn at random, with some of each language, and the rest."""
     base, rest, took = [], [], Counter()
     for i, k in enumerate(rng.permutation(len(background))):
         u = background[k]
         lang = quick_language(u, "en")
         (base if i < BASE_UNITS or took[lang] < PER_LANGUAGE else rest).append(u)
         took[lang] += 1
-    rows: list[tuple[list[str], float, float]] = []
-    several = []
+    return base, rest
+
+
+def common_words(background: list[str]) -> set[tuple[str, str]]:
+    """Languages and words that are not rare in the background."""
+    cleaned = [(quick_language(u, "en"), tokens(clean(u))) for u in background]
+    counts = Counter((lang, t) for lang, ts in cleaned for t in set(ts))
+    least = {lang: max(4.0, n * COMMON) for lang, n in Counter(lang for lang, _ in cleaned).items()}
+    return {key for key, n in counts.items() if n >= least[key[0]]}
+
+
+def harmless(units: list[str], common: set[tuple[str, str]], rng: np.random.Generator) -> list[tuple[list[str], float, float]]:
+    """Training rows of background sentences. Words that are rare in the background teach nothing there: what little abuse
+    it holds would unteach its own words."""
+    rows = []
+    for u in units:
+        lang = quick_language(u, "en")
+        rows += [(p, 0.0, 1.0) for p in pieces([t if (lang, t) in common or rng.random() < SHOWN else RARE for t in tokens(clean(u))])]
+    return rows
+
+
+def remarks(known: list[Example], scorer: Scorer | None = None) -> list[tuple[list[str], float, float]]:
+    """Training rows of examples. Which sentence of a longer abusive text is the remark: the one that ``scorer`` scores
+    highest; without it these are left out."""
+    rows = []
     for e in known:
-        if e.label and len(e.parts) > 1:
-            several.append(e)
-        else:
-            rows += [(p, e.label, e.weight) for u in e.parts for p in pieces(tokens(clean(u))) for _ in range(2)]
-
-    # words that are rare in the background teach nothing there: what little abuse it holds would unteach its own words
-    cleaned = {u: (quick_language(u, "en"), tokens(clean(u))) for u in background}
-    counts = Counter((lang, t) for lang, ts in cleaned.values() for t in set(ts))
-    least = {lang: max(4.0, n * COMMON) for lang, n in Counter(lang for lang, _ in cleaned.values()).items()}
-
-    def seen(u: str) -> list[str]:
-        lang, ts = cleaned[u]
-        return [t if counts[lang, t] >= least[lang] or rng.random() < SHOWN else RARE for t in ts]
-
-    def again(net: Network | None, negatives: list[str], epochs: int) -> Network:
-        every = rows + [(p, 0.0, 1.0) for u in negatives for p in pieces(seen(u))]
-        return train([t for t, _, _ in every], [v for _, v, _ in every], [w for _, _, w in every], epochs, net, seed)
-
-    net = again(None, base[: BASE_UNITS // 3], 3)
-    # which sentence of a longer abusive text is the remark: the one a first network scores highest
-    for e in several:
-        worst = e.parts[int(np.argmax(Scorer(net).score([clean(u) for u in e.parts])))]
-        rows += [(p, 1.0, e.weight) for p in pieces(tokens(clean(worst))) for _ in range(2)]
-    net = again(net, base, 2)
+        parts = e.parts
+        if e.label and len(parts) > 1:
+            parts = [parts[int(np.argmax(scorer.score([clean(u) for u in parts])))]] if scorer else []
+        rows += [(p, e.label, e.weight) for u in parts for p in pieces(tokens(clean(u))) for _ in range(2)]
+    return rows
+
+
+def learn(rows: list[tuple[list[str], float, float]], epochs: int, start: Network | None, seed: int) -> Network:
+    return train([t for t, _, _ in rows], [v for _, v, _ in rows], [w for _, _, w in rows], epochs, start, seed)
+
+
+def fit_one(known: list[Example], background: list[str], seed: int) -> Network:
+    """Train on labelled texts, example remarks and background sentences.
+
+    Most background is harmless, some of it is not, and nobody says which. Sentences drawn at random teach a first network
+    as harmless. What it calls abusive all the same (SUSPECT) is left out from then on; of the rest, those it is least sure
+    of join in as harder examples."""
+    rng = np.random.default_rng(seed)
+    base, rest = divided(background, rng)
+    common = common_words(background)
+    net = learn(remarks(known) + harmless(base[: BASE_UNITS // 3], common, rng), 3, None, seed)
+    rows = remarks(known, Scorer(net))
+    net = learn(rows + harmless(base, common, rng), 2, net, seed)
     sure = Scorer(net).score([clean(u) for u in base])
     base = [u for u, s in zip(base, sure) if s < SUSPECT]
     hard: list[str] = []
     if rest:
         s = Scorer(net).score([clean(u) for u in rest])
         hard = [rest[i] for i in np.argsort(-s) if s[i] < SUSPECT][:HARD_UNITS]
-    return again(net, base + hard, 4)
+    return learn(rows + harmless(base + hard, common, rng), 4, net, seed)
+
+
+def refit(known: list[Example], background: list[str], starts: list[Network], k: int, common: set[tuple[str, str]], epochs: int, seed: int = SEED) -> Network:
+    """Member k trained on from ``starts[k]`` with all examples, sentences drawn from the background and all others that the
+    committee is not sure of (over NEAR).
+
+    Members that are kept from a third of the examples miss what only that third shows, and the mean of three falls under
+    a threshold with them. What the committee calls abusive (SUSPECT) is left out of the harmless sentences."""
+    rng = np.random.default_rng(seed + k)
+    judge = Scorer(Committee(starts, {}))
+    base, rest = divided(background, rng)
+    calm = [u for u, s in zip(base, judge.score([clean(u) for u in base])) if s < SUSPECT]
+    calm += [u for u, s in zip(rest, judge.score([clean(u) for u in rest])) if NEAR <= s < SUSPECT]
+    return learn(remarks(known, judge) + harmless(calm, common, rng), epochs, starts[k], seed + k)
 
 
 def fit(labelled: list[tuple[str, float | None, float | None]], background: list[str], members: int = MEMBERS, seed: int = SEED) -> Committee:
-    """Train a committee (see :func:`fit_fold`), then set a threshold for each language (see :func:`calibrated`)."""
+    """Train a committee (see :func:`fit_fold`), set a threshold for each language (see :func:`calibrated`), then train its
+    members on with all examples (see :func:`refit`)."""
     known = examples(labelled)
-    return calibrated([fit_fold(known, background, k, members, seed) for k in range(members)], known, background)
+    folds = [fit_fold(known, background, k, members, seed) for k in range(members)]
+    net = calibrated(folds, known, background)
+    common = common_words(background)
+    net.members = [refit(known, background, folds, k, common, REFIT, seed=seed) for k in range(members)]
+    return net
 
 
 def fold_of(text: str, members: int) -> int:
@@ -460,16 +510,27 @@ def fit_on(labels: DataFrame, texts: DataFrame) -> Committee:
     drawn: dict[str, list[tuple[int, str]]] = {}
     for r in some.select("tbl", "text", h.alias("h")).filter(F.col("h") <= limit).collect() if sizes else ():
         drawn.setdefault(r["tbl"], []).append((r["h"], r["text"]))
-    background = [u for tbl in sorted(drawn) for _, t in sorted(drawn[tbl])[:BACKGROUND_TEXTS] for u in units(t)]
+    background = [u for tbl in sorted(drawn) for _, t in sorted(drawn[tbl])[:BACKGROUND_TEXTS] for u in units(clean(t))]  # as they are scored
     known = examples(labelled)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a task trains a member
+    folds = _members(texts.sparkSession, lambda k: fit_fold(known, background, k, MEMBERS))
+    common = common_words(background)
+    whole = _members(texts.sparkSession, lambda k: refit(known, background, folds, k, common, REFIT))
+    net = calibrated(folds, known, background)
+    for k, member in enumerate(whole):
+        net.members[k] = member
+    return net
+
+
+def _members(spark: SparkSession, make: Callable[[int], Network]) -> list[Network]:
+    """Members of a committee, each trained by a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [pickle.dumps(fit_fold(known, background, k, MEMBERS)) for k in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["id", "net"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pickle.dumps(make(k)) for k in b.column(0).to_pylist()], pa.binary())], ["id", "net"])
 
-    nets = arrow_map(texts.sparkSession.range(0, MEMBERS, 1, MEMBERS), run, "id bigint, net binary").collect()
-    return calibrated([pickle.loads(r["net"]) for r in sorted(nets, key=lambda r: r["id"])], known, background)
+    nets = arrow_map(spark.range(0, MEMBERS, 1, MEMBERS), run, "id bigint, net binary").collect()
+    return [pickle.loads(r["net"]) for r in sorted(nets, key=lambda r: r["id"])]
 
 
 def score_texts(texts: DataFrame, net: Committee) -> DataFrame:

@@ -596,3 +596,21 @@ def test_equal_values_have_equal_pseudonyms_in_all_documents(spark):
     assert len(by) == 6 and all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == 6
     other = {r["pseudonym"] for r in p4_personal.find_personal(df, names, b"two").collect()}
     assert not other & {r["pseudonym"] for r in found}
+
+
+def test_a_score_does_not_depend_on_the_next_sentence():
+    rng = np.random.default_rng(2)
+    words = ["calm", "vile", "day", "loud"]
+    net = p5_abuse.Network({p5_abuse.bucket(w): rng.normal(0, 1, p5_abuse.DIM) for w in words}, [rng.normal(0, 0.2, (w * p5_abuse.DIM, p5_abuse.FILTERS)) for w in p5_abuse.WIDTHS], [np.zeros(p5_abuse.FILTERS) for _ in p5_abuse.WIDTHS], np.abs(rng.normal(0, 1, len(p5_abuse.WIDTHS) * p5_abuse.FILTERS)) / 8, -2.0, {"*": 0.5})
+    s = p5_abuse.Scorer(net)
+    texts = ["calm day", "vile loud vile", "", "day", "loud vile day calm"]
+    alone = [float(s.score([t])[0]) for t in texts]
+    assert len(set(alone)) == 5 and s.score(texts) == pytest.approx(alone, abs=1e-6) and s.score(texts[::-1]) == pytest.approx(alone[::-1], abs=1e-6)
+
+
+def test_every_member_learns_all_examples_in_the_end():
+    rng = random.Random(5)
+    calm = [" ".join(rng.choices(VOCAB, k=8)) + "." for _ in range(300)]
+    labelled = [(t, 0, 0) for t in calm[:60]] + [("Zorvath mulkin drane.", 1, 1)] * 4  # equal texts are in one fold
+    net = p5_abuse.fit(labelled, calm[60:])
+    assert min(p5_abuse.Scorer(m).score(["zorvath mulkin drane."])[0] for m in net.members) > 0.7
