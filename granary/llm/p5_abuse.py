@@ -17,24 +17,25 @@ from pyspark.sql import functions as F
 
 from granary.llm.abuse_phrases import ABUSIVE, HARMLESS
 from granary.llm.languages import quick_language
-from granary.llm.sampling import by_hash
 from granary.llm.thresholds import hash63
-from granary.session import arrow_map, spread
+from granary.session import arrow_map, cut, ship, spread, staged
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 16, 12, (1, 2, 3)
-#: Bounds of the training sample: labelled rows; texts per table, by hash, whose sentences serve as mostly harmless examples.
-MAX_LABELS, BACKGROUND_TEXTS = 20_000, 2_000
+#: Most labelled rows, which people write: more raise. Texts per table, by hash, whose sentences serve as mostly harmless examples for a start.
+MAX_LABELS, BACKGROUND_TEXTS = 1_000_000, 2_000
 #: Of these sentences, how many a member learns from: at random, at least of each language, and those it is least sure of.
 BASE_UNITS, PER_LANGUAGE, HARD_UNITS = 18_000, 700, 6_000
-#: Background sentences over this score are neither: they are left out of training. Those under NEAR have taught their lesson.
-SUSPECT, NEAR = 0.7, 0.05
+#: Background sentences over this score are neither: they are left out of training, and so are those over SURE by members that
+#: know all examples. Those under NEAR have taught their lesson.
+SUSPECT, SURE, NEAR = 0.7, 0.8, 0.05
 #: Share of a language's background sentences (four at least) a word must occur in to be learnt from them, and share of rarer ones learnt all the same.
 COMMON, SHOWN, RARE = 0.001, 0.05, ""
 #: Thresholds that are tried; the strict one; by which part more background may be over a threshold than over that.
-GRID, STRICT, GROWTH = np.arange(0.6, 0.9, 0.01), 0.9, 0.06
+GRID, STRICT, GROWTH = np.arange(0.6, 0.9, 0.01).tolist(), 0.9, 0.06
+EDGES = np.array([*GRID, STRICT])
 MEMBERS = 3
-#: Epochs in which members learn all examples.
-REFIT = 3
+#: Epochs in which members learn all examples; sentences of all texts that a task trains a member on.
+REFIT, GROUP = 3, 24_000
 #: Tokens of a training stretch; longer sentences become several.
 PIECE = 56
 BATCH, RATE, SEED = 128, 0.007, 7
@@ -135,9 +136,19 @@ class Committee:
         return self.thresholds.get(lang, self.thresholds["*"])
 
 
+class Buckets(dict):
+    """Buckets of raw tokens, kept by token."""
+
+    def __missing__(self, token: str) -> int:
+        place = bucket(normal(token))
+        if len(self) < 2_000_000:
+            self[token] = place
+        return place
+
+
 class Scorer:
-    """Applies one network or several: every word's products with all filter columns are computed once and kept by token.
-    Filters whose output weight is zero are left out."""
+    """Applies one network or several: every known word's products with all filter columns are computed once. Filters whose
+    output weight is zero are left out."""
 
     def __init__(self, net: Network | Committee):
         self.nets = net.members if isinstance(net, Committee) else [net]
@@ -154,47 +165,33 @@ class Scorer:
                     columns[-1][k * DIM : (k + 1) * DIM] = self.nets[k].filters[i][j * DIM : (j + 1) * DIM, f]
             if own:
                 self.blocks.append((w, len(own), np.array([self.nets[k].biases[i][f] for k, f in own], dtype=np.float32), outs))
-        self.weights = np.array(columns, dtype=np.float32).reshape(len(columns), len(self.nets) * DIM).T
         self.bias = np.array([n.bias for n in self.nets], dtype=np.float32)
-        self.table = np.zeros((1024, len(columns)), dtype=np.float32)  # row 0: padding and unknown words
-        self.rows: dict[str, int] = {}
-        self.used = 1
-
-    def row(self, token: str) -> int:
-        place = bucket(normal(token))
-        vs = [n.vectors.get(place) for n in self.nets]
-        if all(v is None for v in vs):
-            r = 0
-        else:
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            r = self.used
-            self.table[r] = np.concatenate([np.zeros(DIM, dtype=np.float32) if v is None else v for v in vs]) @ self.weights
-            self.used += 1
-        if len(self.rows) < 2_000_000:  # tokens that were never trained all share row 0
-            self.rows[token] = r
-        return r
-
-    def each(self, found: list[list[str]]) -> np.ndarray:
-        """Scores between 0 and 1 of the raw tokens of cleaned segments: a row per segment, a column per network."""
-        out = np.empty((len(found), len(self.nets)), dtype=np.float32)
-        ids: list[int] = []
-        starts: list[int] = []
-        pad = [0] * max(WIDTHS)
-        rows, row = self.rows, self.row
-        for s in found:
-            starts.append(len(ids))
-            ids.extend([rows[t] if t in rows else row(t) for t in s])
-            ids.extend(pad)
-        at = np.array(starts + [len(ids)])
-        idx = np.array(ids, dtype=np.int64)
+        known = sorted({place for n in self.nets for place in n.vectors})
+        self.row = np.zeros(BUCKETS + 1, dtype=np.int32)  # row 0: unknown words, and padding, whose bucket is BUCKETS
+        self.row[known] = np.arange(1, len(known) + 1)
+        vectors = np.zeros((len(known) + 1, len(self.nets) * DIM), dtype=np.float32)
+        for k, n in enumerate(self.nets):
+            for place, v in n.vectors.items():
+                vectors[self.row[place], k * DIM : (k + 1) * DIM] = v
+        self.table = vectors @ np.array(columns, dtype=np.float32).reshape(len(columns), len(self.nets) * DIM).T
+        self.buckets = Buckets()
+
+    def each(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Scores between 0 and 1 of segments, given by the buckets of all their words and their numbers of words: a row per
+        segment, a column per network."""
+        out = np.empty((len(lens), len(self.nets)), dtype=np.float32)
+        pad = max(WIDTHS)
+        at = np.concatenate([[0], np.cumsum(lens + pad)])
+        idx = np.full(at[-1], BUCKETS)
+        idx[np.arange(len(ids)) + np.repeat(np.arange(len(lens)) * pad, lens)] = ids
+        idx = self.row[idx]
         k = 0
-        while k < len(found):  # bounded slices keep memory flat and in the cache
+        while k < len(lens):  # bounded slices keep memory flat and in the cache
             e = int(np.searchsorted(at, at[k] + 4_000, "right")) - 1
             e = max(e, k + 1)
             part = self.table[idx[at[k] : at[e]]]
             # a segment's windows begin at its words or at the first word of its padding; later ones reach into the next segment
-            ends = np.stack([at[k:e], at[k + 1 : e + 1] - len(pad) + 1], axis=1).ravel() - at[k]
+            ends = np.stack([at[k:e], at[k + 1 : e + 1] - pad + 1], axis=1).ravel() - at[k]
             total = np.tile(self.bias, (e - k, 1))
             off = 0
             for w, n, b, outs in self.blocks:
@@ -209,7 +206,18 @@ class Scorer:
 
     def score(self, segments: list[str]) -> np.ndarray:
         """Scores of cleaned segments between 0 and 1: the mean of the networks' scores."""
-        return self.each([raw_tokens(s) for s in segments]).mean(axis=1)
+        return self.each(*read_words(segments, self.buckets)).mean(axis=1)
+
+
+def read_words(segments: list[str], buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words of all cleaned segments, and the number of words of each."""
+    ids: list[int] = []
+    lens: list[int] = []
+    for s in segments:
+        found = raw_tokens(s)
+        lens.append(len(found))
+        ids.extend(map(buckets.__getitem__, found))
+    return np.array(ids, dtype=np.int64), np.array(lens, dtype=np.int64)
 
 
 def pieces(found: list[str]) -> list[list[str]]:
@@ -221,12 +229,12 @@ def pieces(found: list[str]) -> list[list[str]]:
 def train(texts: list[list[str]], labels: list[float], weights: list[float], epochs: int, start: Network | None = None, seed: int = SEED) -> Network:
     """Adam on weighted cross-entropy; word vectors, filters and output are learnt together, from those of ``start`` if given.
 
-    ``texts`` are token lists of at most PIECE tokens. Of the word vectors only those of a batch's words are moved.
+    ``texts`` are lists of at most PIECE tokens or buckets. Of the word vectors only those of a batch's words are moved.
 
     Output weights never fall under zero: a filter tells abuse or nothing, and no harmless word beside a remark takes
     away from it, however often it stood in harmless sentences."""
     rng = np.random.default_rng(seed)
-    toks = [[bucket(t) if t else -1 for t in x] for x in texts]
+    toks = [[-1 if t == RARE else bucket(t) if isinstance(t, str) else t for t in x] for x in texts]
     seen = sorted({t for x in toks for t in x} - {-1})
     place = {t: i + 1 for i, t in enumerate(seen)} | {-1: 0}
     ids = np.zeros((len(toks), PIECE + max(WIDTHS) + 1), dtype=np.int64)
@@ -340,25 +348,25 @@ def divided(background: list[str], rng: np.random.Generator) -> tuple[list[str],
     return base, rest
 
 
-def common_words(background: list[str]) -> set[tuple[str, str]]:
-    """Languages and words that are not rare in the background."""
+def common_words(background: list[str]) -> set[tuple[str, int]]:
+    """Languages and buckets of words that are not rare in the background."""
     cleaned = [(quick_language(u, "en"), tokens(clean(u))) for u in background]
-    counts = Counter((lang, t) for lang, ts in cleaned for t in set(ts))
+    counts = Counter((lang, bucket(t)) for lang, ts in cleaned for t in set(ts))
     least = {lang: max(4.0, n * COMMON) for lang, n in Counter(lang for lang, _ in cleaned).items()}
     return {key for key, n in counts.items() if n >= least[key[0]]}
 
 
-def harmless(units: list[str], common: set[tuple[str, str]], rng: np.random.Generator) -> list[tuple[list[str], float, float]]:
-    """Training rows of background sentences. Words that are rare in the background teach nothing there: what little abuse
-    it holds would unteach its own words."""
-    rows = []
-    for u in units:
-        lang = quick_language(u, "en")
-        rows += [(p, 0.0, 1.0) for p in pieces([t if (lang, t) in common or rng.random() < SHOWN else RARE for t in tokens(clean(u))])]
-    return rows
+def harmless(units: list[tuple[str, list[int]]], common: set[tuple[str, int]], rng: np.random.Generator) -> list[tuple[list, float, float]]:
+    """Training rows of background sentences, given by their languages and the buckets of their words. Words that are rare
+    in the background teach nothing there: what little abuse it holds would unteach its own words."""
+    return [(p, 0.0, 1.0) for lang, ids in units for p in pieces([t if (lang, t) in common or rng.random() < SHOWN else RARE for t in ids])]
+
+
+def as_read(background: list[str]) -> list[tuple[str, list[int]]]:
+    return [(quick_language(u, "en"), [bucket(t) for t in tokens(clean(u))]) for u in background]
 
 
-def remarks(known: list[Example], scorer: Scorer | None = None) -> list[tuple[list[str], float, float]]:
+def remarks(known: list[Example], scorer: Scorer | None = None) -> list[tuple[list, float, float]]:
     """Training rows of examples. Which sentence of a longer abusive text is the remark: the one that ``scorer`` scores
     highest; without it these are left out."""
     rows = []
@@ -370,7 +378,7 @@ def remarks(known: list[Example], scorer: Scorer | None = None) -> list[tuple[li
     return rows
 
 
-def learn(rows: list[tuple[list[str], float, float]], epochs: int, start: Network | None, seed: int) -> Network:
+def learn(rows: list[tuple[list, float, float]], epochs: int, start: Network | None, seed: int) -> Network:
     return train([t for t, _, _ in rows], [v for _, v, _ in rows], [w for _, _, w in rows], epochs, start, seed)
 
 
@@ -383,21 +391,21 @@ def fit_one(known: list[Example], background: list[str], seed: int) -> Network:
     rng = np.random.default_rng(seed)
     base, rest = divided(background, rng)
     common = common_words(background)
-    net = learn(remarks(known) + harmless(base[: BASE_UNITS // 3], common, rng), 3, None, seed)
+    net = learn(remarks(known) + harmless(as_read(base[: BASE_UNITS // 3]), common, rng), 3, None, seed)
     rows = remarks(known, Scorer(net))
-    net = learn(rows + harmless(base, common, rng), 2, net, seed)
+    net = learn(rows + harmless(as_read(base), common, rng), 2, net, seed)
     sure = Scorer(net).score([clean(u) for u in base])
     base = [u for u, s in zip(base, sure) if s < SUSPECT]
     hard: list[str] = []
     if rest:
         s = Scorer(net).score([clean(u) for u in rest])
         hard = [rest[i] for i in np.argsort(-s) if s[i] < SUSPECT][:HARD_UNITS]
-    return learn(rows + harmless(base + hard, common, rng), 4, net, seed)
+    return learn(rows + harmless(as_read(base + hard), common, rng), 4, net, seed)
 
 
-def refit(known: list[Example], background: list[str], starts: list[Network], k: int, common: set[tuple[str, str]], epochs: int, seed: int = SEED) -> Network:
-    """Member k trained on from ``starts[k]`` with all examples, sentences drawn from the background and all others that the
-    committee is not sure of (over NEAR).
+def refit(known: list[Example], background: list[str], starts: list[Network], k: int, common: set[tuple[str, int]], near: list[tuple[str, list[int]]] | None = None, seed: int = SEED) -> Network:
+    """Member k trained on from ``starts[k]`` with all examples, sentences drawn from the background and ``near``, or all
+    others there that the committee is not sure of (over NEAR).
 
     Members that are kept from a third of the examples miss what only that third shows, and the mean of three falls under
     a threshold with them. What the committee calls abusive (SUSPECT) is left out of the harmless sentences."""
@@ -405,8 +413,9 @@ def refit(known: list[Example], background: list[str], starts: list[Network], k:
     judge = Scorer(Committee(starts, {}))
     base, rest = divided(background, rng)
     calm = [u for u, s in zip(base, judge.score([clean(u) for u in base])) if s < SUSPECT]
-    calm += [u for u, s in zip(rest, judge.score([clean(u) for u in rest])) if NEAR <= s < SUSPECT]
-    return learn(remarks(known, judge) + harmless(calm, common, rng), epochs, starts[k], seed + k)
+    if near is None:
+        near = as_read([u for u, s in zip(rest, judge.score([clean(u) for u in rest])) if NEAR <= s < SUSPECT])
+    return learn(remarks(known, judge) + harmless(as_read(calm) + near, common, rng), REFIT, starts[k], seed + k)
 
 
 def fit(labelled: list[tuple[str, float | None, float | None]], background: list[str], members: int = MEMBERS, seed: int = SEED) -> Committee:
@@ -416,7 +425,7 @@ def fit(labelled: list[tuple[str, float | None, float | None]], background: list
     folds = [fit_fold(known, background, k, members, seed) for k in range(members)]
     net = calibrated(folds, known, background)
     common = common_words(background)
-    net.members = [refit(known, background, folds, k, common, REFIT, seed=seed) for k in range(members)]
+    net.members = [refit(known, background, folds, k, common, seed=seed) for k in range(members)]
     return net
 
 
@@ -429,6 +438,11 @@ def fit_fold(known: list[Example], background: list[str], k: int, members: int,
     return fit_one([e for e in known if fold_of(e.parts[0], members) != k], [u for u in background if fold_of(u, members) != k], seed + k)
 
 
+def lowest(over: np.ndarray) -> int:
+    """The place in GRID of the lowest threshold, given how many sentences are over each of EDGES."""
+    return int(np.flatnonzero(over <= (1 + GROWTH) * over[-1] + 1)[0])
+
+
 def calibrated(members: list[Network], known: list[Example], background: list[str]) -> Committee:
     """A committee with a threshold for each language, from scores that members give to what they were not trained on.
 
@@ -465,42 +479,69 @@ def calibrated(members: list[Network], known: list[Example], background: list[st
     for lang, own in calm.items():
         if lang == "*" or len(own) >= 200:
             c = np.sort(own)
-            over = len(c) - np.searchsorted(c, GRID)
-            net.thresholds[lang] = float(GRID[np.flatnonzero(over <= (1 + GROWTH) * (len(c) - np.searchsorted(c, STRICT)) + 1)[0]])
+            net.thresholds[lang] = GRID[lowest(len(c) - np.searchsorted(c, EDGES))]
     net.held_out = {lang: {"examples": len(own), "found": float(np.mean(np.array(own) >= net.threshold(lang))), "background": len(calm.get(lang, ())), "over": float(np.mean(np.array(calm.get(lang) or [0.0]) >= net.threshold(lang)))} for lang, own in sorted(hits.items())}
     return net
 
 
+READ = "tbl string, rec_id bigint, langs array<string>, folds binary, lens binary, words binary"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    buckets = Buckets()
+    for b in batches:
+        made: list[tuple] = []
+        for t in b.column(2).to_pylist():
+            parts = units(clean(t)) if t else []
+            words, lens = read_words(parts, buckets)
+            made.append(([quick_language(u, "en") for u in parts], bytes(fold_of(u, MEMBERS) for u in parts), lens.astype(np.int32).tobytes(), words.astype(np.int32).tobytes()))
+        langs, folds, lens, words = zip(*made) if made else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1).cast(pa.int64()), pa.array(langs, pa.list_(pa.string())), pa.array(folds, pa.binary()), pa.array(lens, pa.binary()), pa.array(words, pa.binary())], ["tbl", "rec_id", "langs", "folds", "lens", "words"])
+
+
+def read_texts(texts: DataFrame) -> DataFrame:
+    """A row per row of ``texts`` (tbl, rec_id, text) with its sentences' languages, folds, numbers of words, and the buckets
+    of all words: what scoring needs, so that texts are read into words once."""
+    return arrow_map(spread(texts.select("tbl", "rec_id", "text")), _read, READ)
+
+
+def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of all sentences of a batch: the row they are in, language, fold, number of words; and all words."""
+    langs = b.column(2).to_pylist()
+    folds, lens, words = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=t).astype(np.int64) for k, t in ((3, np.uint8), (4, np.int32), (5, np.int32)))
+    return np.repeat(np.arange(len(langs)), [len(x) for x in langs]), [x for own in langs for x in own], folds, lens, words
+
+
 def _scores(net: Committee):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for b in batches:
-            tbl, ids, texts = (b.column(k).to_pylist() for k in range(3))
-            segments: list[str] = []
-            owner: list[int] = []
-            for k, t in enumerate(texts):
-                for u in units(clean(t)) if t else ():
-                    segments.append(u)
-                    owner.append(k)
-            s = scorer.score(segments)
-            best, margin = np.zeros(len(texts)), np.full(len(texts), -1.0)
-            langs: list[str | None] = [None] * len(texts)
-            for k, v, u in zip(owner, s.tolist(), segments):
-                if v > best[k]:
-                    best[k] = v
-                if v >= 0.3 and v - net.threshold(lang := quick_language(u, "en")) > margin[k]:
-                    margin[k], langs[k] = v - net.threshold(lang), lang
-            yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()), pa.array(ids, pa.int64()), pa.array(best), pa.array(langs, pa.string()), pa.array(margin >= 0)], ["tbl", "rec_id", "score", "lang", "abusive"])
+            owner, langs_of, _, lens, words = _unpacked(b)
+            s = scorer.each(words, lens).mean(axis=1).astype(float)
+            best, margin = np.zeros(b.num_rows), np.full(b.num_rows, -1.0)
+            langs: list[str | None] = [None] * b.num_rows
+            np.maximum.at(best, owner, s)
+            for i in np.flatnonzero(s >= 0.3).tolist():
+                k, lang = owner[i], langs_of[i]
+                if s[i] - net.threshold(lang) > margin[k]:
+                    margin[k], langs[k] = s[i] - net.threshold(lang), lang
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best), pa.array(langs, pa.string()), pa.array(margin >= 0)], ["tbl", "rec_id", "score", "lang", "abusive"])
 
     return run
 
 
-def fit_on(labels: DataFrame, texts: DataFrame) -> Committee:
-    """Fit on at most MAX_LABELS labelled rows and BACKGROUND_TEXTS texts of each table, both by hash order.
+def fit_on(labels: DataFrame, texts: DataFrame, read: DataFrame | None = None) -> Committee:
+    """Fit on all labelled rows and all texts; ``read`` are these texts as :func:`read_texts` gives them, if they are at hand.
 
-    One job counts the texts of all tables, one reads those under a hash; tables are taken by name."""
+    A first committee starts from the sentences of at most BACKGROUND_TEXTS texts of each table, by hash order (one job
+    counts the texts of all tables, one reads those under a hash; tables are taken by name). It then meets every sentence of
+    every text (see :func:`meet`): thresholds and common words are counted over all of them, and all different ones that it is
+    not sure of train its members on, in tasks of GROUP sentences whose networks are averaged. What it is sure to be
+    harmless would move them by next to nothing."""
     rows = labels.select("text", F.col("rater_a").cast("double"), F.col("rater_b").cast("double")).filter("text is not null")
-    labelled = [tuple(r) for r in by_hash(rows, MAX_LABELS, "text").collect()]
+    labelled = [tuple(r) for r in rows.orderBy(hash63("text"), "rater_a", "rater_b").limit(MAX_LABELS + 1).collect()]
+    if len(labelled) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labelled rows are not supported")
     some = texts.filter("text is not null").select("tbl", "rec_id", "text")
     sizes = {r["tbl"]: r["n"] for r in some.groupBy("tbl").agg(F.count(F.lit(1)).alias("n")).collect()}
     h = hash63("rec_id", "text", seed="background")
@@ -512,16 +553,118 @@ def fit_on(labels: DataFrame, texts: DataFrame) -> Committee:
         drawn.setdefault(r["tbl"], []).append((r["h"], r["text"]))
     background = [u for tbl in sorted(drawn) for _, t in sorted(drawn[tbl])[:BACKGROUND_TEXTS] for u in units(clean(t))]  # as they are scored
     known = examples(labelled)
-
-    folds = _members(texts.sparkSession, lambda k: fit_fold(known, background, k, MEMBERS))
-    common = common_words(background)
-    whole = _members(texts.sparkSession, lambda k: refit(known, background, folds, k, common, REFIT))
+    spark = texts.sparkSession
+    folds = _members(spark, lambda k: fit_fold(known, background, k, MEMBERS))
+    first = common_words(background)
+    whole = _members(spark, lambda k: refit(known, background, folds, k, first))
+    over: dict[str, np.ndarray] = {}
+    if folds:
+        over, common, near = meet(staged(read_texts(texts), "words") if read is None else read, folds, whole)
+        whole = _averaged(near, whole, lambda k, own: refit(known, background, whole, k, common, own))
     net = calibrated(folds, known, background)
     for k, member in enumerate(whole):
         net.members[k] = member
+    return with_counts(net, over) if over else net
+
+
+def with_counts(net: Committee, over: dict[str, np.ndarray]) -> Committee:
+    """Thresholds and rates of the background from counts over all sentences (see :func:`meet`)."""
+    net.thresholds = {lang: GRID[lowest(n[1:])] for lang, n in over.items() if lang == "*" or n[0] >= max(200, over["*"][0] * COMMON)}
+    for lang, rates in net.held_out.items():
+        n = over.get(lang, np.zeros(len(EDGES) + 1))
+        rates |= {"background": int(n[0]), "over": float(n[1 + GRID.index(net.threshold(lang))] / max(n[0], 1))}
     return net
 
 
+def _meets(folds: list[Network], whole: list[Network]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, other, judge = [Scorer(n) for n in folds], Scorer(Committee(folds, {})), Scorer(Committee(whole, {}))
+        over: dict[str, np.ndarray] = {}
+        words_in: dict[str, np.ndarray] = {}
+        for b in batches:
+            _, langs, fold, lens, words = _unpacked(b)
+            name, lang = np.unique(np.array(langs, dtype=str), return_inverse=True)
+            place = np.repeat(np.arange(len(lens)), lens)
+            held, s = np.zeros(len(lens)), judge.each(words, lens)
+            for k, scorer in enumerate(own):
+                held[fold == k] = scorer.each(words[fold[place] == k], lens[fold == k])[:, 0]
+            for j, code in enumerate(name.tolist()):
+                mine = held[lang == j]
+                n = over.setdefault(code, np.zeros(len(EDGES) + 1, dtype=np.int64))
+                n[0] += len(mine)
+                n[1:] += (mine[:, None] >= EDGES).sum(axis=0)
+            met = np.unique(place * BUCKETS + words)  # a word counts once in a sentence
+            for j, code in enumerate(name.tolist()):
+                seen, n = np.unique((met % BUCKETS)[lang[met // BUCKETS] == j], return_counts=True)
+                words_in.setdefault(code, np.zeros(BUCKETS, dtype=np.int32))[seen] += n.astype(np.int32)
+            at = np.concatenate([[0], np.cumsum(lens)])
+            some = np.flatnonzero((np.maximum(s.mean(axis=1), held) >= NEAR) & (s.mean(axis=1) < SURE))
+            parts = [words[at[i] : at[i + 1]] for i in some.tolist()]
+            both = np.concatenate([s[some], other.each(np.concatenate([words[:0], *parts]), lens[some])], axis=1).mean(axis=1)
+            rows = [(0, langs[i], None, None, p.astype(np.int32).tobytes()) for i, p, v in zip(some.tolist(), parts, both.tolist()) if v < SUSPECT]
+            yield _met(rows)
+        for code, n in over.items():
+            yield _met([(1, code, k, v, None) for k, v in enumerate(n.tolist())])
+        for code, n in words_in.items():
+            yield _met([(2, code, k, int(n[k]), None) for k in np.flatnonzero(n).tolist()])
+
+    return run
+
+
+def _met(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "lang", "place", "n", "words"])
+
+
+def meet(read: DataFrame, folds: list[Network], whole: list[Network]) -> tuple[dict[str, np.ndarray], set[tuple[str, int]], DataFrame]:
+    """What a committee makes of every sentence: by language (and for all, "*") how many there are and how many are over each of
+    EDGES by the member they were kept from; languages and words that are not rare; and the different sentences, as languages
+    and words, that it is neither sure to be harmless (under NEAR) nor calls abusive (SURE, or SUSPECT together with the folds).
+
+    A language of under a thousandth (COMMON) of all sentences is mostly another one misread: it has no common words and, as in :func:`with_counts`, the threshold of all together."""
+    met = staged(arrow_map(read, _meets(folds, whole), "kind int, lang string, place int, n bigint, words binary"), "met")
+    over: dict[str, np.ndarray] = {"*": np.zeros(len(EDGES) + 1, dtype=np.int64)}
+    for r in met.filter("kind = 1").groupBy("lang", "place").agg(F.sum("n").alias("n")).collect():
+        over.setdefault(r["lang"], np.zeros(len(EDGES) + 1, dtype=np.int64))[r["place"]] = r["n"]
+        over["*"][r["place"]] += r["n"]
+    least = {lang: max(4.0, n[0] * COMMON) for lang, n in over.items() if lang != "*" and n[0] >= over["*"][0] * COMMON}
+    enough = F.lit(False)
+    for lang, n in least.items():
+        enough = enough | ((F.col("lang") == lang) & (F.col("n") >= n))
+    common = {(r["lang"], r["place"]) for r in met.filter("kind = 2").groupBy("lang", "place").agg(F.sum("n").alias("n")).filter(enough).collect()}
+    return over, common, met.filter("kind = 0").select("lang", "words").distinct()
+
+
+def _averaged(near: DataFrame, members: list[Network], make: Callable[[int, list[tuple[str, list[int]]]], Network]) -> list[Network]:
+    """Members trained on with all sentences of ``near``: by groups of some GROUP sentences, each in a task of its own, whose
+    networks are averaged one by one. Which group a sentence is in depends on nothing but the sentence and their number."""
+    near = cut(near)
+    groups = max(1, round(near.count() / GROUP))
+    keys = near.sparkSession.range(len(members) * groups)
+    rows = keys.join(near.withColumn("group", hash63("lang", "words") % groups), F.col("id") % groups == F.col("group"), "left").select("id", "lang", "words")
+
+    def run(t: pa.Table) -> pa.Table:
+        i = t.column("id")[0].as_py()
+        own = sorted((lang, w) for lang, w in zip(t.column("lang").to_pylist(), t.column("words").to_pylist()) if lang is not None)
+        net = make(i // groups, [(lang, np.frombuffer(w, dtype=np.int32).tolist()) for lang, w in own])
+        return pa.table({"id": pa.array([i], pa.int64()), "net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    ship(near.sparkSession)
+    nets = staged(rows.repartition(4 * len(members) * groups, "id").groupBy("id").applyInArrow(run, "id bigint, net binary"), "nets")
+    out: list[list[Network]] = [[] for _ in members]
+    for r in nets.orderBy("id").toLocalIterator():
+        k, net = r["id"] // groups, pickle.loads(r["net"])
+        out[k] = [mean_of(out[k][0], net, r["id"] % groups)] if out[k] else [net]
+    return [own[0] for own in out]
+
+
+def mean_of(mean: Network, net: Network, n: int) -> Network:
+    """The mean of ``n`` networks and another one; a word that one of the two does not know has the other's vector."""
+    step = lambda a, b: a + (b - a) / (n + 1)
+    vectors = {t: step(mean.vectors.get(t, v), net.vectors.get(t, v)).astype(np.float32) for t, v in (net.vectors | mean.vectors).items()}
+    return Network(vectors, [step(a, b) for a, b in zip(mean.filters, net.filters)], [step(a, b) for a, b in zip(mean.biases, net.biases)], step(mean.out, net.out), float(step(mean.bias, net.bias)), mean.thresholds)
+
+
 def _members(spark: SparkSession, make: Callable[[int], Network]) -> list[Network]:
     """Members of a committee, each trained by a task."""
 
@@ -539,9 +682,16 @@ def score_texts(texts: DataFrame, net: Committee) -> DataFrame:
     A text's score is the largest of its sentences; it is abusive if one reaches the threshold of that sentence's
     language. Null and blank texts score 0. Whole texts are read in one pass without a shuffle.
     """
-    return arrow_map(spread(texts.select("tbl", "rec_id", "text")), _scores(net), "tbl string, rec_id bigint, score double, lang string, abusive boolean")
+    return score_read(read_texts(texts), net)
+
+
+def score_read(read: DataFrame, net: Committee) -> DataFrame:
+    """:func:`score_texts` of texts that are read into words."""
+    return arrow_map(read, _scores(net), "tbl string, rec_id bigint, score double, lang string, abusive boolean")
 
 
 def score_records(texts: DataFrame, net: Committee) -> DataFrame:
-    """``tbl, rec_id, score, lang, abusive`` with one row per record: its highest score and that sentence's language."""
-    return score_texts(texts, net).groupBy("tbl", "rec_id").agg(F.max("score").alias("score"), F.max_by("lang", "score").alias("lang"), F.max("abusive").alias("abusive"))
+    """``tbl, rec_id, score, lang, abusive`` with one row per record: its highest score and that sentence's language.
+    ``texts`` may be as :func:`read_texts` gives them."""
+    scored = score_read(texts, net) if "words" in texts.columns else score_texts(texts, net)
+    return scored.groupBy("tbl", "rec_id").agg(F.max("score").alias("score"), F.max_by("lang", "score").alias("lang"), F.max("abusive").alias("abusive"))

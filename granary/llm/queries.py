@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.matching import category_key
 from granary.llm import p1_leaks, p2_neardup, p3_sample, p4_personal, p5_abuse, p6_pairs, p7_pack, p8_mix, p9_sentences
+from granary.session import staged
 from granary.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,7 +158,8 @@ def _abuse_texts(spark, d):
 
 def _abuse(spark, d):
     texts = _abuse_texts(spark, d)
-    return texts, p5_abuse.fit_on(table(spark, d, "abuse_labels"), texts)
+    read = staged(p5_abuse.read_texts(texts), "words")
+    return read, p5_abuse.fit_on(table(spark, d, "abuse_labels"), texts, read)
 
 
 @query

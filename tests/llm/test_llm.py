@@ -614,3 +614,45 @@ def test_every_member_learns_all_examples_in_the_end():
     labelled = [(t, 0, 0) for t in calm[:60]] + [("Zorvath mulkin drane.", 1, 1)] * 4  # equal texts are in one fold
     net = p5_abuse.fit(labelled, calm[60:])
     assert min(p5_abuse.Scorer(m).score(["zorvath mulkin drane."])[0] for m in net.members) > 0.7
+
+
+def plain_network(strength):
+    """A network that adds up nothing: a sentence's score is that of its strongest word."""
+    axis = np.eye(p5_abuse.DIM, dtype=np.float32)[0]
+    filters = [np.zeros((w * p5_abuse.DIM, p5_abuse.FILTERS), dtype=np.float32) for w in p5_abuse.WIDTHS]
+    filters[0][0, 0] = 1
+    out = np.zeros(len(p5_abuse.WIDTHS) * p5_abuse.FILTERS, dtype=np.float32)
+    out[0] = 1
+    return p5_abuse.Network({p5_abuse.bucket(w): axis * v for w, v in strength.items()}, filters, [np.zeros(p5_abuse.FILTERS) for _ in p5_abuse.WIDTHS], out, -6.0, {"*": 0.5})
+
+
+def test_every_sentence_is_counted_and_every_unsure_one_is_met(spark):
+    net = plain_network({"loud": 6.0, "vile": 12.0, "rude": 7.0})  # scores 0.5, 0.998, 0.73
+    rows = [("t", i, f"The meadow is calm. The {'loud' if i % 2 else 'vile' if i % 4 else 'rude'} road is by the house {i}. The end") for i in range(400)]
+    rows += [("t", 900, None), ("t", 901, " "), ("t", 902, "El camino")]
+    for n in (1, 5):
+        over, common, near = p5_abuse.meet(p5_abuse.read_texts(spark.createDataFrame(rows, "tbl string, rec_id bigint, text string").repartition(n)), [net] * 3, [net] * 3)
+        assert over["en"][0] == 1200 and over["en"][1] == 200 and over["en"][-1] == 100 and over["es"][0] == 1 and (over["*"] == over["en"] + over["es"]).all()
+        assert {w for w in ("meadow", "loud", "calm", "end") if ("en", p5_abuse.bucket(w)) in common} == {"meadow", "loud", "calm", "end"} and ("es", p5_abuse.bucket("camino")) not in common
+        want = np.array([p5_abuse.bucket(t) for t in p5_abuse.tokens("the loud road is by the house 7")], dtype=np.int32).tobytes()
+        assert [(r["lang"], bytes(r["words"])) for r in near.collect()] == [("en", want)]  # numbers are one word
+
+
+def test_thresholds_come_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(p5_abuse, "BACKGROUND_TEXTS", 10)
+    monkeypatch.setattr(p5_abuse, "GROUP", 20)
+    labels = spark.createDataFrame([("You stupid moron.", 1, 1), ("A calm day.", 0, 0), ("A day.", None, None), (None, 1, 1)], "text string, rater_a int, rater_b int")
+    rng = random.Random(3)
+    rows = [("t", i, f"The {rng.choice(VOCAB)} is {rng.choice(VOCAB)} at the {rng.choice(VOCAB)}. You stupid {rng.choice(VOCAB)}!") for i in range(300)]
+    texts = spark.createDataFrame(rows, "tbl string, rec_id bigint, text string")
+    net = p5_abuse.fit_on(labels, texts)
+    assert net.held_out["en"]["background"] == 600 and "en" in net.thresholds
+    monkeypatch.setattr(p5_abuse, "MAX_LABELS", 2)
+    with pytest.raises(ValueError, match="labelled rows"):
+        p5_abuse.fit_on(labels, texts)
+
+
+def test_networks_are_averaged_one_by_one():
+    nets = [plain_network({"loud": v}) for v in (1.0, 3.0, 8.0)]
+    mean = p5_abuse.mean_of(p5_abuse.mean_of(nets[0], nets[1], 1), nets[2], 2)
+    assert mean.vectors[p5_abuse.bucket("loud")][0] == pytest.approx(4.0) and mean.bias == pytest.approx(-6.0) and mean.out == pytest.approx(nets[0].out)
