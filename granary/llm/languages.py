@@ -56,6 +56,7 @@ def winner(votes_by: dict[str, float], least: float = 1.5, lead: float = 1.5) ->
 
 
 _SETS = {lang: frozenset(words.split()) for lang, words in STOPWORDS.items()}
+_ALL = frozenset().union(*_SETS.values())
 _TELLING = re.compile(r"[\u0370-\u03ff\u0400-\u04ff\u0590-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3]+")
 
 
@@ -69,7 +70,7 @@ def quick_language(text: str, before: str = "und") -> str:
         if _KANA.search(text):
             return "ja"
         return max((sum(map(len, p.findall(text))), lang) for lang, p in _RANGES)[1]
-    words = set(text.lower().split())
+    words = _ALL.intersection(text.lower().split())
     best, second, name = 0, 0, before
     for lang, own in _SETS.items():
         n = len(words & own)

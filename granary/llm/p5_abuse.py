@@ -187,7 +187,7 @@ class Scorer:
         idx = self.row[idx]
         k = 0
         while k < len(lens):  # bounded slices keep memory flat and in the cache
-            e = int(np.searchsorted(at, at[k] + 4_000, "right")) - 1
+            e = int(np.searchsorted(at, at[k] + 2_000, "right")) - 1
             e = max(e, k + 1)
             part = self.table[idx[at[k] : at[e]]]
             # a segment's windows begin at its words or at the first word of its padding; later ones reach into the next segment
@@ -583,20 +583,24 @@ def _meets(folds: list[Network], whole: list[Network]):
         words_in: dict[str, np.ndarray] = {}
         for b in batches:
             _, langs, fold, lens, words = _unpacked(b)
-            name, lang = np.unique(np.array(langs, dtype=str), return_inverse=True)
+            name = sorted(set(langs))
+            code_of = {code: j for j, code in enumerate(name)}
+            lang = np.array([code_of[code] for code in langs], dtype=np.int64)
             place = np.repeat(np.arange(len(lens)), lens)
             held, s = np.zeros(len(lens)), judge.each(words, lens)
             for k, scorer in enumerate(own):
                 held[fold == k] = scorer.each(words[fold[place] == k], lens[fold == k])[:, 0]
-            for j, code in enumerate(name.tolist()):
+            for j, code in enumerate(name):
                 mine = held[lang == j]
                 n = over.setdefault(code, np.zeros(len(EDGES) + 1, dtype=np.int64))
                 n[0] += len(mine)
                 n[1:] += (mine[:, None] >= EDGES).sum(axis=0)
-            met = np.unique(place * BUCKETS + words)  # a word counts once in a sentence
-            for j, code in enumerate(name.tolist()):
-                seen, n = np.unique((met % BUCKETS)[lang[met // BUCKETS] == j], return_counts=True)
-                words_in.setdefault(code, np.zeros(BUCKETS, dtype=np.int32))[seen] += n.astype(np.int32)
+            met = np.sort(place * BUCKETS + words)
+            met = met[np.diff(met, prepend=-1) > 0]  # a word counts once in a sentence
+            of = lang[met // BUCKETS]
+            met %= BUCKETS
+            for j, code in enumerate(name):
+                words_in[code] = words_in.get(code, 0) + np.bincount(met[of == j], minlength=BUCKETS).astype(np.int32)
             at = np.concatenate([[0], np.cumsum(lens)])
             some = np.flatnonzero((np.maximum(s.mean(axis=1), held) >= NEAR) & (s.mean(axis=1) < SURE))
             parts = [words[at[i] : at[i + 1]] for i in some.tolist()]
