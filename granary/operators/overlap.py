@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,14 @@ from granary.session import arrow_map, cut, spread, staged
 
 #: Items that are held against the texts in one pass; a larger collection takes several passes.
 MAX_ITEMS = 50_000
-#: Counters of the sketch of shingle frequencies, whatever the size of a collection.
-COUNTERS = 1 << 20
-#: Shingles that two near sets must share among their rarest.
-SHARED = 12
+#: Bits of the narrowest sketch of a set of shingles.
+LEAST_BITS = 256
+#: Sketches of the smallest block, and blocks that a sketch goes to on average at most.
+BLOCK, COPIES = 4096, 8
+#: Sketches of two blocks that are compared at a time, so that what is counted stays in the cache.
+TILE, COLUMNS = 16, 8192
+#: Words of the sketches are compared until other texts are so many times over what near ones may differ in; the rest only of pairs that are left.
+ENOUGH = 1.3
 
 
 def _normalised_shingles(t: str, k: int) -> set[str]:
@@ -91,7 +97,10 @@ def _against(rows: list, k: int, kind: pa.DataType):
 
 def classes(texts: DataFrame, k: int = 5) -> DataFrame:
     """``id, class_id``: records of equal normalised text share a class, named by its smallest id."""
-    keyed = cut(texts.select("id", F.sha2(T.normalise(F.col("text")), 256).alias("digest"))).filter("digest is not null")
+    return _classes(cut(texts.select("id", F.sha2(T.normalise(F.col("text")), 256).alias("digest"))).filter("digest is not null"))
+
+
+def _classes(keyed: DataFrame) -> DataFrame:
     first = keyed.groupBy("digest").agg(F.min("id").alias("class_id"))
     return keyed.join(first, "digest").select("id", "class_id")
 
@@ -99,77 +108,253 @@ def classes(texts: DataFrame, k: int = 5) -> DataFrame:
 def similarity_join(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """``a, b, score``: all pairs a < b of different texts (id, text) whose Jaccard similarity exceeds ``threshold``.
 
-    Prefix filter: in any order of all shingles, two sets over the threshold share n of their first
-    size - ceil(threshold x size) + n, for any n; n is SHARED, or less for small sets. The order is by a sketch of their frequencies, rare ones first, so that shingles are
-    ordered where they are and only prefixes are shuffled. Candidates come from an equi-join on these, which is counted by pair,
-    are cut by the size ratio, and are then checked exactly. Give it class representatives, not copies: a family of n different near texts has
-    up to n x n links, which are the result.
+    Every text becomes a sketch of some 1.1 bits a shingle: the parity of
+    the number of its shingles in each slot of a hash. Two sketches differ in no more bits than the sets differ in shingles,
+    which for sets over the threshold are at most (1 - t) / (1 + t) of both sizes: what differs in more bits is no pair, so no pair
+    is lost. Sketches are compared by blocks of like size (:func:`_blocks`) with all that are in reach of the size ratio; only these
+    are shuffled, not shingles. The pairs that are left are checked exactly on their texts. The comparisons are quadratic in the
+    texts of like size. Give it class representatives, not copies: a family of n different near texts has up to n x n links,
+    which are the result.
     """
-    plain = spread(texts.select("id", "text")).select("id", T.normalise(F.col("text")).alias("t")).filter("t <> ''")
-    sets = staged(arrow_map(plain, _hashed_shingles(k), f"id {dict(texts.dtypes)['id']}, s array<bigint>"), "shingles")
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    for r in sets.select(F.explode("s").alias("g")).groupBy(F.pmod("g", F.lit(COUNTERS)).alias("c")).count().collect():  # COUNTERS rows at most
-        counts[r["c"]] = r["count"]
-    prefix = arrow_map(sets.select("id", "s"), _prefixes(counts, threshold), f"id {dict(texts.dtypes)['id']}, size int, need int, g bigint")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    candidates = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).filter(F.least("x.size", "y.size") > threshold * F.greatest("x.size", "y.size")).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.need", "y.need")).alias("need")).filter("n >= need").select("a", "b")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", (common / (F.size("s_a") + F.size("s_b") - common)).alias("score")).filter(F.col("score") > threshold)
+    return _similar(texts, staged(_sketched(texts, k).drop("digest"), "sketches"), threshold, k)
+
+
+def _sketched(texts: DataFrame, k: int) -> DataFrame:
+    """``id, digest, size, bits``: of each text the digest of what it is normalised to, and the size and the sketch of its shingles."""
+    plain = spread(texts.select("id", "text")).select("id", T.normalise(F.col("text")).alias("t"))
+    return arrow_map(plain, _sketches(k), f"id {dict(texts.dtypes)['id']}, digest binary, size int, bits binary")
+
+
+def _similar(texts: DataFrame, sketches: DataFrame, threshold: float, k: int) -> DataFrame:
+    """What :func:`similarity_join` gives, for those texts that have a row in ``sketches`` (a staged table)."""
+    kind = dict(texts.dtypes)["id"]
+    sketches = sketches.filter("size > 0")
+    blocks = _blocks({r["size"]: r["count"] for r in sketches.groupBy("size").count().collect()}, threshold)
+    placed = arrow_map(sketches, _placed(*blocks), f"block int, other boolean, id {kind}, size int, bits binary")
+    placed = placed.repartition(max(1, len(blocks[-1])), "block").sortWithinPartitions("block", "other", "size")
+    near = arrow_map(placed, _compared(threshold), f"x {kind}, y {kind}")
+    candidates = cut(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b"))
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if candidates.count() <= MAX_ITEMS:  # so few ids go to the texts, not the texts to them
+        wanted = F.broadcast(wanted)
+    own = staged(texts.select("id", "text").join(wanted, "id", "left_semi"), "candidates")
+    side = lambda c: own.select(F.col("id").alias(c), T.normalise(F.col("text")).alias(f"t_{c}"))
+    both = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+    return arrow_map(both, _scored(k), f"a {kind}, b {kind}, score double").filter(F.col("score") > threshold)
 
 
 def _hashed_shingles(k: int):
-    """Sorted 64-bit hashes of each text's distinct k-grams; a text of k characters or fewer is one gram."""
+    """Sorted 64-bit hashes of a text's distinct k-grams; a text of k characters or fewer is one gram."""
     powers = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(k)]
 
+    def hashed(t: str) -> np.ndarray:
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        c = (c + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        c ^= c >> np.uint64(29)
+        n = max(1, len(c) - k + 1)
+        h = np.zeros(n, dtype=np.uint64)
+        for j in range(min(k, len(c))):
+            h += c[j : j + n] * powers[j]
+        h ^= h >> np.uint64(32)
+        return np.unique(h * np.uint64(0xD6E8FEB86659FD93))
+
+    return hashed
+
+
+def _width(size: int) -> int:
+    """Bits of the sketch of a set: a power of two, so that a wider sketch can be folded to a narrower one's width."""
+    return max(LEAST_BITS, 1 << math.ceil(0.75 * size - 1).bit_length())
+
+
+def _sketches(k: int):
+    hashed = _hashed_shingles(k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            b = b.filter(b.column(1).is_valid())
+            digests, sizes, bits = [], [], []
             for t in b.column(1).to_pylist():
-                c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-                c = (c + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-                c ^= c >> np.uint64(29)
-                n = max(1, len(c) - k + 1)
-                h = np.zeros(n, dtype=np.uint64)
-                for j in range(min(k, len(c))):
-                    h += c[j : j + n] * powers[j]
-                h ^= h >> np.uint64(32)
-                out.append(np.unique((h * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)))
-            flat = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-            at = np.cumsum([0, *map(len, out)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["id", "s"])
+                h = hashed(t) if t else np.zeros(0, dtype=np.uint64)
+                width = _width(len(h))
+                odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                digests.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest())
+                sizes.append(len(h))
+                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["id", "digest", "size", "bits"])
 
     return run
 
 
-def _prefixes(counts: np.ndarray, threshold: float):
+def _blocks(counts: dict[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Sizes in ascending order, the first block and the number of blocks of each, and for each block the first block that has it in reach.
+
+    Blocks are ranges of sizes; a size of very many texts has several. They grow with the collection, so that a sketch
+    goes to COPIES blocks on average at most.
+    """
+    sizes = sorted(counts)
+    least = BLOCK
+    while True:
+        first, parts, bounds, full = [], [], [], least
+        for s in sizes:
+            n = max(1, counts[s] // least)
+            if full >= least or n > 1:
+                first.append(len(bounds))
+                bounds += [[s, s, -(-counts[s] // n)] for _ in range(n)]
+                full = least if n > 1 else counts[s]
+            else:
+                first.append(len(bounds) - 1)
+                bounds[-1][1:] = s, full + counts[s]
+                full += counts[s]
+            parts.append(n)
+        reach, p = [], 0
+        for q, (low, _, _) in enumerate(bounds):
+            while p < q and bounds[p][1] <= threshold * low * (1 - 1e-9):
+                p += 1
+            reach.append(p)
+        if sum((q - reach[q] + 1) * n for q, (_, _, n) in enumerate(bounds)) <= COPIES * max(1, sum(counts.values())):
+            return np.array(sizes, dtype=np.int64), np.array(first, dtype=np.int64), np.array(parts, dtype=np.uint64), reach
+        least *= 2
+
+
+def _placed(sizes: np.ndarray, first: np.ndarray, parts: np.ndarray, reach: list[int]):
+    """Every sketch in its own block, and as another one in all earlier blocks that have it in reach."""
+    reach = np.array(reach, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(sizes, b.column("size").to_numpy())
+            part = np.array([int.from_bytes(x[:8], "little") for x in b.column("bits").to_pylist()], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            block = first[at] + ((part >> np.uint64(33)) % parts[at]).astype(np.int64)
+            copies = block - reach[block] + 1
+            row = np.repeat(np.arange(len(block)), copies)
+            to = block[row] - (np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies))
+            for i in range(0, len(row), 10_000):  # bounds the batches
+                r = row[i : i + 10_000]
+                own = b.take(pa.array(r))
+                yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 10_000], pa.int32()), pa.array(to[i : i + 10_000] != block[r]), own.column("id"), own.column("size"), own.column("bits")], ["block", "other", "id", "size", "bits"])
+
+    return run
+
+
+def _by_width(ids: pa.Array, sizes: np.ndarray, bits: list[bytes]) -> list[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """Width, ids, sizes and words (a row for each word, a column for each sketch) of the sketches of each width, in order of size."""
+    order = np.argsort(sizes, kind="stable")
+    widths = np.array([8 * len(bits[i]) for i in order], dtype=np.int64)
+    out = []
+    for w in np.unique(widths).tolist():
+        own = order[widths == w]
+        words = np.frombuffer(b"".join(bits[i] for i in own), dtype="<u8").reshape(len(own), w // 64)
+        out.append((w, ids.take(pa.array(own)), sizes[own], np.ascontiguousarray(words.T)))
+    return out
+
+
+def _folded(words: np.ndarray, n: int) -> np.ndarray:
+    while len(words) > n:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def _near(xs: list[tuple], ys: list[tuple], threshold: float) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids of the pairs of x and y (of each pair once, if they are the same list) whose sketches don't exclude them."""
+    share = (1 - threshold) / (1 + threshold)
+    for wx, ids_x, sizes_x, words_x in xs:
+        for wy, ids_y, sizes_y, words_y in ys:
+            if xs is ys and wx > wy:
+                continue
+            n = min(wx, wy) // 64
+            low = np.searchsorted(sizes_y, threshold * sizes_x * (1 - 1e-9))
+            high = np.searchsorted(sizes_y, sizes_x / threshold * (1 + 1e-9), "right") if threshold > 0 else np.full(len(sizes_x), len(sizes_y))
+            x, y = _folded(words_x, n), _folded(words_y, n)
+            kind = np.uint16 if n < 1024 else np.uint32
+            for i in range(0, len(sizes_x), TILE):
+                rows = slice(i, min(i + TILE, len(sizes_x)))
+                triangle = xs is ys and wx == wy
+                begin, end = max(int(low[i]), i + 1 if triangle else 0), int(high[rows.stop - 1])
+                for j in range(begin, end, COLUMNS):
+                    columns = slice(j, min(j + COLUMNS, end))
+                    most = np.minimum((sizes_x[rows.stop - 1] + sizes_y[columns]) * share + 1e-6, 64 * n).astype(kind)  # of the tile's largest
+                    some = min(n, 2 * int(most[-1] * ENOUGH / 56) + 2)  # of other texts' words some 28 bits differ
+                    differing = _differing(x[:some, rows], y[:some, columns], kind)
+                    r, c = np.nonzero(differing <= most)
+                    if len(r):
+                        d, r, c = differing[r, c], r + i, c + j
+                        d = d + np.bitwise_count(x[some:, r] ^ y[some:, c]).sum(axis=0, dtype=np.int64)
+                        left = (d <= (sizes_x[r] + sizes_y[c]) * share + 1e-6) & (c >= low[r]) & (c < high[r]) & ((c > r) if triangle else True)
+                        if left.any():
+                            yield ids_x.take(pa.array(r[left])), ids_y.take(pa.array(c[left]))
+
+
+def _differing(x: np.ndarray, y: np.ndarray, kind: type) -> np.ndarray:
+    """How many bits of each sketch of x (words, rows) and y (words, columns) differ."""
+    shape = x.shape[1], y.shape[1]
+    total, mixed, few, some = np.zeros(shape, kind), np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, np.uint8)
+    for k in range(0, len(x), 2):  # widths have an even number of words; 128 bits fit in a byte
+        np.bitwise_count(np.bitwise_xor(x[k][:, None], y[k], out=mixed), out=few)
+        np.bitwise_count(np.bitwise_xor(x[k + 1][:, None], y[k + 1], out=mixed), out=some)
+        total += np.add(few, some, out=few)
+    return total
+
+
+def _compared(threshold: float):
+    """The pairs of each block, and of a block with the others in its reach; its own sketches come first, only these are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, own = None, [], None
+
+        def closed() -> Iterator[tuple[pa.Array, pa.Array]]:
+            nonlocal own
+            if parts:
+                own = _by_width(pa.concat_arrays([p.column("id") for p in parts]), np.concatenate([p.column("size").to_numpy() for p in parts]), [x for p in parts for x in p.column("bits").to_pylist()])
+                parts.clear()
+                yield from _near(own, own, threshold)
+
+        def found() -> Iterator[tuple[pa.Array, pa.Array]]:
+            nonlocal block, own
+            for b in batches:
+                key = b.column("block").to_numpy() * np.int64(2) + b.column("other").to_numpy(zero_copy_only=False)
+                at = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+                for i, j in zip(at, at[1:]):
+                    if i == j:
+                        continue
+                    if key[i] >> 1 != block:
+                        yield from closed()
+                        block, own = key[i] >> 1, None
+                    part = b.slice(i, j - i)
+                    if key[i] & 1:
+                        yield from closed()
+                        yield from _near(own or [], _by_width(part.column("id"), part.column("size").to_numpy(), part.column("bits").to_pylist()), threshold)
+                    else:
+                        parts.append(part)
+            yield from closed()
+
+        for x, y in found():
+            yield pa.RecordBatch.from_arrays([x, y], ["x", "y"])
+
+    return run
+
+
+def _scored(k: int):
+    """Exact similarity of pairs of normalised texts (a, b, t_a, t_b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = lru_cache(256)(_hashed_shingles(k))  # texts come again in the pairs of a family
         for b in batches:
-            ids, sets = b.column(0), b.column(1)
-            at, flat = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False)
-            rows, sizes, needs, grams = [], [], [], []
-            for k in range(len(b)):
-                s = flat[at[k] : at[k + 1]]
-                often = counts[s % COUNTERS]
-                least = math.ceil(len(s) * threshold - 1e-9)
-                need = min(SHARED, least)
-                first = s[np.lexsort((s, often))[: len(s) - least + need]]
-                first = first[counts[first % COUNTERS] > 1]  # a shingle that no other text has joins nothing
-                rows.append(np.full(len(first), k))
-                sizes.append(np.full(len(first), len(s)))
-                needs.append(np.full(len(first), need))
-                grams.append(first)
-            if rows:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.concatenate(needs), pa.int32()), pa.array(np.concatenate(grams), pa.int64())], ["id", "size", "need", "g"])
+            scores = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = hashed(x), hashed(y)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                scores.append(common / (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], ["a", "b", "score"])
 
     return run
 
 
 def near_duplicates(texts: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """``id, class_id, links``: one row per record with text: the class of its exact copies, and how many other classes are near."""
-    own = cut(classes(texts, k))
-    reps = texts.join(own.filter("id = class_id").select("id"), "id", "left_semi")
-    pairs = similarity_join(reps, threshold, k)
+    sketches = staged(_sketched(texts, k), "sketches")
+    own = cut(_classes(sketches.select("id", "digest")))
+    reps = staged(sketches.select("id", "size", "bits").join(own.filter("id = class_id").select("id"), "id", "left_semi"), "representatives")
+    pairs = _similar(texts, reps, threshold, k)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     return own.join(degree, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -1,6 +1,8 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions import scanners as S
 from granary.functions import text as T
 from granary.operators import diversity, generate, governance, judging, metrics, overlap, planning, retrieval, validate
-from granary.session import numbered
+from granary.session import numbered, shared_dir
 from granary.streaming.dedup import settle_batch
 from tests.test_text import py_norm, py_shingles
 
@@ -54,6 +56,49 @@ def test_near_duplicates_one_row_per_record(spark):
     assert overlap.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 4])
+def test_similarity_join_over_blocks_and_widths(spark, monkeypatch, block):
+    """Sketches of several widths, sizes of many texts in several blocks, blocks that meet and blocks that don't."""
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "COPIES", 40)
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    rows = []
+    for n in (1, 4, 20, 48, 70, 110, 200, 330):
+        for _ in range(3):
+            w = rng.choices(vocab, k=n)
+            for k in range(6):  # a family around the threshold; words change place for place, so sizes are alike
+                rows.append((len(rows), " ".join(rng.choice(vocab) if rng.random() < 0.015 * k else x for x in w[: n - n * k // 100])))
+    first = {}
+    reps = [(i, x) for i, x in rows if first.setdefault(x, i) == i]
+    want = brute(reps)
+    df = spark.createDataFrame(reps, "id bigint, text string")
+    got = [(r["a"], r["b"]) for r in overlap.similarity_join(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 80
+    named = df.select(F.concat(F.lit("n"), F.lpad("id", 4, "0")).alias("id"), "text")
+    got = {(r["a"], r["b"]) for r in overlap.similarity_join(named).collect()}
+    assert got == {(f"n{a:04}", f"n{b:04}") for a, b in want}
+
+
+def test_near_duplicates_need_no_more_disk_than_texts(spark):
+    """What is shuffled and staged stays in proportion to the texts, also where all of them are of the same words."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randrange(100, 400))) for _ in range(600)]
+    texts += [x + " end" for x in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+
+    def written():
+        at = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        folder = Path(urlparse(shared_dir(spark)).path)
+        return sum(at.apply(i).totalShuffleWrite() for i in range(at.size())) + sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+    before = written()
+    got = {r["id"]: r["links"] for r in overlap.near_duplicates(df).collect()}
+    assert {i for i, n in got.items() if n} == {*range(20), *range(600, 620)}
+    assert written() - before < sum(map(len, texts))
+
+
 def test_keep_first_equals_greedy(spark):
     rng = random.Random(3)
     edges = list({tuple(sorted(rng.sample(range(25), 2))) for _ in range(40)})
